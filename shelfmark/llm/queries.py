@@ -1,9 +1,10 @@
 """Registered queries of the subpackage and their SQL."""
 
+from .minhash import op2_near_duplicates
 from .mixing import op10_mix_sources
 from .sharding import op8_kd_shards
 
-QUERIES = {f.__name__: f for f in (op8_kd_shards, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op2_near_duplicates, op8_kd_shards, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
