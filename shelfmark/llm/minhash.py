@@ -43,6 +43,8 @@ REGION, NEAR = 24, 4
 AGREE = 22
 #: Forest rows in a task; documents confirmed together; texts of a large component in a block.
 FOREST_ROWS, BLOCK_DOCS = 100_000, 256
+#: Documents with fewer linked classes are strays of a large component; its signatures meet in blocks.
+STRAY, STRAY_BLOCK, MEMBER_BLOCK = 8, 500, 4000
 _A = mix(np.arange(1, HASHES + 1, dtype=_U)) | _U(1)
 
 
@@ -242,15 +244,15 @@ def _confirm(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": ab[:, 0], "b": ab[:, 1]})
 
 
-def _confirm_blocks(pairs: DataFrame, docs: DataFrame, blocks: int) -> DataFrame:
+def _confirm_blocks(pairs: DataFrame, docs: DataFrame, blocks: int, many: bool = False) -> DataFrame:
     """The links among pairs (a, b, component, members), each pair in one block.
 
     A small component is whole in its block, with others; a large one is dealt by hash of
-    its pairs' lesser members, so no block grows with a group.
+    a, and of b where its partners may be many, so no block grows with a group.
     """
     parts = F.ceil(F.col("members") / BLOCK_DOCS)
     block = F.when(F.col("members") <= BLOCK_DOCS, F.pmod(F.xxhash64("component"), F.lit(blocks))).otherwise(
-        F.xxhash64("component", F.pmod(F.xxhash64("a"), parts)).bitwiseOR(F.lit(1 << 62)))
+        F.xxhash64("component", F.pmod(F.xxhash64("a"), parts), F.pmod(F.xxhash64("b"), parts) if many else F.lit(0)).bitwiseOR(F.lit(1 << 62)))
     placed = scratch.write(pairs.select("a", "b", block.alias("block")), "blocks")
     members = placed.groupBy("block", F.col("a").alias("doc_id")).agg(F.collect_list("b").alias("partners")).unionByName(
         placed.select("block", F.col("b").alias("doc_id"), F.lit(None).cast("array<long>").alias("partners")))
@@ -259,11 +261,46 @@ def _confirm_blocks(pairs: DataFrame, docs: DataFrame, blocks: int) -> DataFrame
     return scratch.write(texts.groupBy("block").applyInPandas(_confirm, "a long, b long"), "links")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _agreeing_block(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of a stray document and a member of another component that may be links."""
+    stray, member = rows[rows["stray"]], rows[~rows["stray"]]
+    unpack = lambda x: np.frombuffer(b"".join(x["signature"]), np.uint32).reshape(-1, HASHES)
+    x, y, n = unpack(stray), unpack(member), member["n_shingles"].to_numpy()
+    found = []
+    for k, (node, label, size) in enumerate(zip(stray["node"], stray["label"], stray["n_shingles"])):
+        ok = ((y == x[k]).sum(axis=1) >= AGREE) & (member["label"].to_numpy() != label) & (100 * np.minimum(n, size) >= PERCENT * np.maximum(n, size))
+        found += [(node, v) for v in member["node"].to_numpy()[ok]]
+    ab = np.array(found, np.int64).reshape(-1, 2)
+    return pd.DataFrame({"a": ab[:, 0], "b": ab[:, 1]})
+
+
+def _strays(graph: DataFrame, sizes: DataFrame, joined: DataFrame, classes: DataFrame) -> DataFrame:
+    """Candidates of documents that found few links in a large component.
+
+    Their signatures meet those of all members, in blocks of both; what agrees in AGREE
+    minima is a candidate. So neighbours in the orders bind the bulk of a hot region, and
+    nobody at its rim depends on having had the right neighbour.
+    """
+    large = graph.join(sizes.filter(F.col("members") > REGION), "component")
+    labelled = large.join(joined.select("node", F.col("component").alias("own")), "node", "left").withColumn("label", F.coalesce("own", "node"))
+    few = labelled.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") < STRAY).select("label", F.lit(True).alias("few"))
+    labelled = labelled.join(few, "label", "left").join(classes.select(F.col("doc_id").alias("node"), "n_shingles", "signature"), "node")
+    labelled = scratch.write(labelled.select("node", "component", "members", "label", "n_shingles", "signature", F.coalesce("few", F.lit(False)).alias("few")), "large")
+    counts = labelled.filter("few").groupBy("component").agg(F.ceil(F.count("*") / STRAY_BLOCK).alias("stray_parts"))
+    rows = labelled.join(counts, "component").withColumn("member_parts", F.ceil(F.col("members") / MEMBER_BLOCK))
+    columns = ("component", "node", "label", "n_shingles", "signature")
+    to = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    stray = rows.filter("few").select(*columns, F.lit(True).alias("stray"), F.pmod(F.xxhash64("node"), F.col("stray_parts")).alias("i"), to("member_parts").alias("j"))
+    member = rows.select(*columns, F.lit(False).alias("stray"), to("stray_parts").alias("i"), F.pmod(F.xxhash64("node"), F.col("member_parts")).alias("j"))
+    pairs = stray.unionByName(member).groupBy("component", "i", "j").applyInPandas(lambda rows: _agreeing_block(rows), "a long, b long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, component) of the graph of those pairs that are links on full sets.
 
-    Large candidate components first confirm two pairs of each document; then only pairs
-    that are still unconnected are confirmed, all of them.
+    Large candidate components first confirm two pairs of each document; then pairs that
+    are still unconnected, all of them; then the candidates of strays.
     """
     pairs = scratch.write(pairs, "pairs")
     graph = scratch.write(scratch.components(pairs, "a", "b"), "related")
@@ -273,16 +310,19 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     turn = F.row_number().over(W.partitionBy("b").orderBy(F.xxhash64("a", "b")))
     placed = scratch.write(placed.withColumn("turn", F.when(F.col("members") > BLOCK_DOCS, turn).otherwise(0)), "placed")
     links = _confirm_blocks(placed.filter("turn <= 2"), docs, blocks)
-    joined = scratch.components(links, "a", "b")
-    later = placed.filter("turn > 2")
-    if later.isEmpty():
-        return joined
-    joined = scratch.write(joined, "joined")
-    for end in ("a", "b"):
-        later = later.join(joined.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
-    apart = ~F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False))
-    more = _confirm_blocks(later.filter(apart), docs, blocks)
-    return scratch.components(links.union(more), "a", "b")
+    if sizes.filter(F.col("members") > REGION).isEmpty():
+        return scratch.components(links, "a", "b")
+    placed_of = graph.join(sizes, "component").withColumnRenamed("node", "a")
+    later = placed.filter("turn > 2").select("a", "b")
+    for step in ("later", "strays"):
+        joined = scratch.write(scratch.components(links, "a", "b"), "joined")
+        if step == "strays":
+            later = _strays(graph, sizes, joined, classes)
+        for end in ("a", "b"):
+            later = later.join(joined.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+        apart = ~F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False))
+        links = links.union(_confirm_blocks(later.filter(apart).select("a", "b").join(placed_of, "a"), docs, blocks, many=True))
+    return scratch.components(links, "a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -293,7 +333,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = signed.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("c"))
     classes = scratch.write(classes.select("set_key", "c.*"), "classes")
     pairs = candidates(classes)
-    joined = confirm(pairs, docs)
+    joined = confirm(pairs, docs, classes)
     labels = classes.join(joined, classes.doc_id == joined.node, "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id"))
     scratch.release(spark)
     out = signed.select("doc_id", "n_shingles", "set_key").join(labels, "set_key", "left")

@@ -1,11 +1,14 @@
 """Registered queries of the subpackage and their SQL."""
 
+from . import urls
 from .minhash import op2_near_duplicates
 from .mixing import op10_mix_sources
+from .repeats import op5_repeated_passages
 from .sharding import op8_kd_shards
+from .urls import op3_url_filter
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates, op8_kd_shards, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_url_filter, op5_repeated_passages, op8_kd_shards, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filter": urls.oracle()}
