@@ -88,15 +88,12 @@ def _distinct(h: np.ndarray, at: np.ndarray, *marks: np.ndarray):
 
 def first_pass(parts: int, window: int, block: int):
     def run(batches):
-        import uuid
-
         for batch in slices(batches, BATCH):
             words = Words(batch.column("text"))
             if not len(words.hashes):
                 continue
-            own = uuid.uuid4().hex
-            # a retried task has new batches: all of its rows carry its own names
-            yield _rows(own, rows=[np.asarray(batch.column("row"), np.int64).tobytes()], begins=[words.first.astype(np.int64).tobytes()], part=[-1], pack=[b""])
+            own, head = _head(batch, words.first, parts)
+            yield head
             ok = _ends(words.first, block) & np.repeat(np.diff(words.first) >= window, np.diff(words.first))
             at = np.flatnonzero(ok)
             if not len(at):
@@ -106,7 +103,7 @@ def first_pass(parts: int, window: int, block: int):
             first, several, (aligned,), local = _distinct(h, at, place % block == 0)
             h = h[first]
             if len(local):
-                yield _rows(own, part=[-2], pack=[np.sort(local).astype(np.int64).tobytes()])
+                yield _rows(own, part=[-1 - len(local) % parts], pack=[np.sort(local).astype(np.int64).tobytes()])
             flags = (aligned * 1 + several * 2).astype(np.uint8)
             to = (h >> _U(33)) % _U(parts)
             for p, _, pack in _packs(own, to.astype(np.int64), parts, [h.astype(np.uint32)], at[first], flags):
@@ -120,14 +117,24 @@ def _rows(batch: str, part, pack, rows=None, begins=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([batch] * len(part)), pa.array(pack, pa.binary()), pa.array(rows or none, pa.binary()), pa.array(begins or none, pa.binary())], ["part", "batch", "pack", "rows", "begins"])
 
 
-ANSWERS = "batch string, at binary"
+def _head(batch: pa.RecordBatch, first: np.ndarray, parts: int) -> tuple[str, pa.RecordBatch]:
+    """A batch's name, which a retried task gives again, and the row with its directory."""
+    rows = np.asarray(batch.column("row"), np.int64).tobytes()
+    name = hashlib.sha1(rows).hexdigest()
+    return name, _rows(name, part=[-1 - int(name[:8], 16) % parts], pack=[None], rows=[rows], begins=[first.astype(np.int64).tobytes()])
+
+
+ANSWERS = "batch string, at binary, rows binary, begins binary"
 
 
 def _answer(kinds: list[str], anchored: bool):
     """Of one partition's packs: positions of hashes that start at least twice, one of them
-    being an indexed block if ``anchored``. What its batch has twice is answered there."""
+    being an indexed block if ``anchored``. What its batch has twice is answered there;
+    negative partitions pass directories and such answers on."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        if rows["part"].iloc[0] < 0:
+            return rows.rename(columns={"pack": "at"})[["batch", "at", "rows", "begins"]]
         packs = [_unpack(p, kinds) for p in rows["pack"]]
         sizes = [len(p[1]) for p in packs]
         columns = [np.concatenate(c) for c in zip(*[p[0] for p in packs])]
@@ -147,8 +154,8 @@ def _answer(kinds: list[str], anchored: bool):
             own = at[k : k + n][answer[k : k + n]]
             k += n
             if len(own):
-                out.append((batch, own.astype(np.int64).tobytes()))
-        return pd.DataFrame(out, columns=["batch", "at"])
+                out.append((batch, own.astype(np.int64).tobytes(), None, None))
+        return pd.DataFrame(out, columns=["batch", "at", "rows", "begins"])
 
     return run
 
@@ -168,21 +175,15 @@ def _by_row(parts: pd.DataFrame) -> pd.DataFrame:
 
 
 def _probe(made: DataFrame, kinds: list[str], anchored: bool) -> DataFrame:
-    """(row, starts) from written packs: answers of all partitions, back at their rows."""
-    answers = made.filter("part >= 0").select("part", "batch", "pack").groupBy("part").applyInPandas(_answer(kinds, anchored), ANSWERS)
-    local = made.filter("part = -2").select("batch", F.col("pack").alias("at"))
-    heads = made.filter("part = -1").select("batch", F.lit(None).cast("binary").alias("at"), "rows", "begins")
-    none = F.lit(None).cast("binary")
-    every = answers.union(local).withColumn("rows", none).withColumn("begins", none).unionByName(heads)
-    return every.groupBy("batch").applyInPandas(_by_row, "row long, starts binary")
+    """(row, starts) from packs: answers of all partitions, back at their rows."""
+    answers = made.groupBy("part").applyInPandas(_answer(kinds, anchored), ANSWERS)
+    return answers.groupBy("batch").applyInPandas(_by_row, "row long, starts binary")
 
 
 def second_pass(parts: int, window: int, block: int):
     """Packs of the windows whose whole blocks are all hits."""
 
     def run(batches):
-        import uuid
-
         for batch in slices(batches, BATCH):
             words = Words(batch.column("text"))
             first = words.first
@@ -202,12 +203,12 @@ def second_pass(parts: int, window: int, block: int):
                 at = at[keep]
             if not len(at):
                 continue
-            own = uuid.uuid4().hex
-            yield _rows(own, rows=[np.asarray(batch.column("row"), np.int64).tobytes()], begins=[first.astype(np.int64).tobytes()], part=[-1], pack=[b""])
+            own, head = _head(batch, first, parts)
+            yield head
             h, more = rolling(words.hashes, window)[at], rolling(words.hashes, window, 11)[at].astype(np.uint16)
             firsts, several, _, local = _distinct(h, at)
             if len(local):
-                yield _rows(own, part=[-2], pack=[np.sort(local).astype(np.int64).tobytes()])
+                yield _rows(own, part=[-1 - len(local) % parts], pack=[np.sort(local).astype(np.int64).tobytes()])
             to = (mix(h) >> _U(20)) % _U(parts)
             for p, _, pack in _packs(own, to[firsts].astype(np.int64), parts, [h[firsts], more[firsts]], at[firsts], several.astype(np.uint8) * 2):
                 yield _rows(own, part=[p], pack=[pack])
