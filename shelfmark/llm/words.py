@@ -51,7 +51,7 @@ class Words:
     begin, end: each word's bytes in data, if asked for.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False, spans: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, spans: bool = False, hashed: bool = True):
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         texts = texts.cast(pa.large_string())
@@ -75,6 +75,8 @@ class Words:
         if spans:
             self.begin, self.end = begin, end
         del begins, ends, space
+        if not hashed:
+            return
         out = np.empty(len(begin), _U)
         k = 0
         with np.errstate(over="ignore"):
