@@ -44,7 +44,7 @@ AGREE = 22
 #: Forest rows in a task; documents confirmed together; texts of a large component in a block.
 FOREST_ROWS, BLOCK_DOCS = 100_000, 256
 #: Documents with fewer linked classes are strays of a large component; its signatures meet in blocks.
-STRAY, STRAY_BLOCK, MEMBER_BLOCK = 8, 500, 4000
+STRAY, STRAY_BLOCK, MEMBER_BLOCK = 8, 64, 512
 _A = mix(np.arange(1, HASHES + 1, dtype=_U)) | _U(1)
 
 
@@ -221,7 +221,8 @@ def _agreeing(batches):
 
 
 def _confirm(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links of one block: documents with their partners in it, on full sets."""
+    """Confirms one block's documents with their partners in it, on full sets; one edge to the
+    least document of each part that links join. Pairs already joined need no look."""
     rows = rows.reset_index(drop=True)
     out, begin = shingles(Words(pa.array(rows["text"], pa.large_string()), lower=True))
     sets = [np.unique(out[begin[i] : begin[i + 1]]) for i in range(len(rows))]
@@ -229,19 +230,37 @@ def _confirm(rows: pd.DataFrame) -> pd.DataFrame:
     for i, d in enumerate(rows["doc_id"]):
         at.setdefault(d, []).append(i)
 
-    def linked(x: np.ndarray, y: np.ndarray) -> bool:
-        if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
-            return False
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return 100 * both >= PERCENT * (len(x) + len(y) - both)
-
-    found = {
-        (rows["doc_id"][i], p)
-        for i, partners in enumerate(rows["partners"]) if partners is not None
-        for p in partners if any(linked(sets[i], sets[j]) for j in at.get(p, ()))
-    }
-    ab = np.array(sorted(found), np.int64).reshape(-1, 2)
-    return pd.DataFrame({"a": ab[:, 0], "b": ab[:, 1]})
+    stars = Stars()
+    for i, partners in enumerate(rows["partners"]):
+        for p in partners if partners is not None else ():
+            if not stars.joined(rows["doc_id"][i], p) and any(_link(sets[i], sets[j]) for j in at.get(p, ())):
+                stars.join(rows["doc_id"][i], p)
+    return stars.edges()
+
+
+class Stars:
+    """Union-find of one block's documents; its edges go to the least of each part."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while self.up.get(x, x) != x:
+            self.up[x] = self.up.get(self.up[x], self.up[x])
+            x = self.up[x]
+        return x
+
+    def joined(self, a: int, b: int) -> bool:
+        return self.find(a) == self.find(b)
+
+    def join(self, a: int, b: int) -> None:
+        a, b = sorted((self.find(a), self.find(b)))
+        self.up.setdefault(a, a)
+        self.up[b] = a
+
+    def edges(self) -> pd.DataFrame:
+        ab = np.array([(self.find(x), x) for x in self.up if self.find(x) != x], np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": ab[:, 0], "b": ab[:, 1]})
 
 
 def _confirm_blocks(pairs: DataFrame, docs: DataFrame, blocks: int, many: bool = False) -> DataFrame:
@@ -261,68 +280,88 @@ def _confirm_blocks(pairs: DataFrame, docs: DataFrame, blocks: int, many: bool =
     return scratch.write(texts.groupBy("block").applyInPandas(_confirm, "a long, b long"), "links")
 
 
-def _agreeing_block(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a stray document and a member of another component that may be links."""
-    stray, member = rows[rows["stray"]], rows[~rows["stray"]]
-    unpack = lambda x: np.frombuffer(b"".join(x["signature"]), np.uint32).reshape(-1, HASHES)
-    x, y, n = unpack(stray), unpack(member), member["n_shingles"].to_numpy()
+def _link(x: np.ndarray, y: np.ndarray) -> bool:
+    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
+def _stray_block(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links of a block's strays to members of other components, on full sets; one link to
+    each component is enough."""
+    rows = rows.reset_index(drop=True)
+    stray, member = np.flatnonzero(rows["stray"]), np.flatnonzero(~rows["stray"])
+    minima = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(-1, HASHES)
+    n, label, node = (rows[c].to_numpy() for c in ("n_shingles", "label", "node"))
+    sets: dict[int, np.ndarray] = {}
+
+    def full(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = np.unique(shingles(Words(pa.array([rows["text"][i]], pa.large_string()), lower=True))[0])
+        return sets[i]
+
     found = []
-    for k, (node, label, size) in enumerate(zip(stray["node"], stray["label"], stray["n_shingles"])):
-        ok = ((y == x[k]).sum(axis=1) >= AGREE) & (member["label"].to_numpy() != label) & (100 * np.minimum(n, size) >= PERCENT * np.maximum(n, size))
-        found += [(node, v) for v in member["node"].to_numpy()[ok]]
-    ab = np.array(found, np.int64).reshape(-1, 2)
+    for i in stray:
+        agree = (minima[member] == minima[i]).sum(axis=1)
+        ok = (agree >= AGREE) & (label[member] != label[i]) & (100 * np.minimum(n[member], n[i]) >= PERCENT * np.maximum(n[member], n[i]))
+        done = set()
+        for j in member[ok][np.argsort(-agree[ok], kind="stable")]:
+            if label[j] not in done and _link(full(i), full(j)):
+                done.add(label[j])
+                found.append((min(node[i], node[j]), max(node[i], node[j])))
+    ab = np.array(sorted(found), np.int64).reshape(-1, 2)
     return pd.DataFrame({"a": ab[:, 0], "b": ab[:, 1]})
 
 
-def _strays(graph: DataFrame, sizes: DataFrame, joined: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidates of documents that found few links in a large component.
+def _strays(graph: DataFrame, sizes: DataFrame, joined: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links of documents that found few in a large component.
 
-    Their signatures meet those of all members, in blocks of both; what agrees in AGREE
-    minima is a candidate. So neighbours in the orders bind the bulk of a hot region, and
-    nobody at its rim depends on having had the right neighbour.
+    Their signatures meet those of all members, in blocks of both, and what agrees in AGREE
+    minima is confirmed there. So neighbours in the orders bind the bulk of a hot region,
+    and nobody at its rim depends on having had the right neighbour.
     """
     large = graph.join(sizes.filter(F.col("members") > REGION), "component")
     labelled = large.join(joined.select("node", F.col("component").alias("own")), "node", "left").withColumn("label", F.coalesce("own", "node"))
     few = labelled.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") < STRAY).select("label", F.lit(True).alias("few"))
-    labelled = labelled.join(few, "label", "left").join(classes.select(F.col("doc_id").alias("node"), "n_shingles", "signature"), "node")
-    labelled = scratch.write(labelled.select("node", "component", "members", "label", "n_shingles", "signature", F.coalesce("few", F.lit(False)).alias("few")), "large")
+    labelled = scratch.write(labelled.join(few, "label", "left").select("node", "component", "members", "label", F.coalesce("few", F.lit(False)).alias("few")), "large")
     counts = labelled.filter("few").groupBy("component").agg(F.ceil(F.count("*") / STRAY_BLOCK).alias("stray_parts"))
     rows = labelled.join(counts, "component").withColumn("member_parts", F.ceil(F.col("members") / MEMBER_BLOCK))
-    columns = ("component", "node", "label", "n_shingles", "signature")
+    rows = rows.join(classes.select(F.col("doc_id").alias("node"), "n_shingles", "signature"), "node").join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+    columns = ("component", "node", "label", "n_shingles", "signature", "text")
     to = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     stray = rows.filter("few").select(*columns, F.lit(True).alias("stray"), F.pmod(F.xxhash64("node"), F.col("stray_parts")).alias("i"), to("member_parts").alias("j"))
     member = rows.select(*columns, F.lit(False).alias("stray"), to("stray_parts").alias("i"), F.pmod(F.xxhash64("node"), F.col("member_parts")).alias("j"))
-    pairs = stray.unionByName(member).groupBy("component", "i", "j").applyInPandas(lambda rows: _agreeing_block(rows), "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return stray.unionByName(member).groupBy("component", "i", "j").applyInPandas(_stray_block, "a long, b long")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, component) of the graph of those pairs that are links on full sets.
 
     Large candidate components first confirm two pairs of each document; then pairs that
-    are still unconnected, all of them; then the candidates of strays.
+    are still unconnected, all of them, and strays against all members.
     """
     pairs = scratch.write(pairs, "pairs")
     graph = scratch.write(scratch.components(pairs, "a", "b"), "related")
+    # texts of candidates are read from the corpus once; sides of any size are shuffled
+    texts = scratch.write(docs.join(graph.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id"), "related-texts")
+    scratch.release(pairs.sparkSession)
     sizes = graph.groupBy("component").agg(F.count("*").alias("members"))
     blocks = max(1, graph.count() // BLOCK_DOCS)
     placed = pairs.join(graph.select(F.col("node").alias("a"), "component"), "a").join(sizes, "component")
     turn = F.row_number().over(W.partitionBy("b").orderBy(F.xxhash64("a", "b")))
     placed = scratch.write(placed.withColumn("turn", F.when(F.col("members") > BLOCK_DOCS, turn).otherwise(0)), "placed")
-    links = _confirm_blocks(placed.filter("turn <= 2"), docs, blocks)
+    links = _confirm_blocks(placed.filter("turn <= 2"), texts, blocks)
+    joined = scratch.components(links, "a", "b")
     if sizes.filter(F.col("members") > REGION).isEmpty():
-        return scratch.components(links, "a", "b")
-    placed_of = graph.join(sizes, "component").withColumnRenamed("node", "a")
-    later = placed.filter("turn > 2").select("a", "b")
-    for step in ("later", "strays"):
-        joined = scratch.write(scratch.components(links, "a", "b"), "joined")
-        if step == "strays":
-            later = _strays(graph, sizes, joined, classes)
-        for end in ("a", "b"):
-            later = later.join(joined.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
-        apart = ~F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False))
-        links = links.union(_confirm_blocks(later.filter(apart).select("a", "b").join(placed_of, "a"), docs, blocks, many=True))
-    return scratch.components(links, "a", "b")
+        return joined
+    joined = scratch.write(joined, "joined")
+    later = placed.filter("turn > 2")
+    for end in ("a", "b"):
+        later = later.join(joined.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+    later = later.filter(~F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False)))
+    more = _confirm_blocks(later, texts, blocks, many=True)
+    return scratch.components(links.union(more).union(_strays(graph, sizes, joined, classes, texts)), "a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
