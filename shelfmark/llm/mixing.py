@@ -91,7 +91,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     drawn = drawn.withColumn("count", F.greatest(F.ceil(F.col("upper") * per_shard - F.col("u")), F.lit(0)) - F.greatest(F.ceil(F.col("lower") * per_shard - F.col("u")), F.lit(0)))
     drawn = drawn.withColumn("from", F.coalesce(F.sum("count").over(W.partitionBy("rank").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     k = (
-        drawn.filter("count > 0 and n_blocks > 0")
+        drawn.filter("count > 0 and n_blocks > 0").repartition(scratch.shuffle_partitions(spark), "rank", "shard")
         .select("rank", "n_blocks", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("count") - 1)).alias("k"))
         .filter(F.col("k") < F.col("n_blocks") * cap)
         .withColumn("pass", F.floor(F.col("k") / F.col("n_blocks")))
@@ -105,8 +105,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     parts = placed.filter("size > 0").select("rank", "row", "begin", (F.col("begin") + F.col("size")).alias("end"))
     parts = parts.withColumn("index", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block))))
     words_in = F.least("end", (F.col("index") + 1) * block) - F.greatest("begin", F.col("index") * block)
-    taken = parts.join(used, ["rank", "index"]).groupBy("row").agg(F.sum(words_in * F.col("times")).alias("taken"))
-    return ranked.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = parts.join(used.hint("merge"), ["rank", "index"]).groupBy("row").agg(F.sum(words_in * F.col("times")).alias("taken"))
+    return ranked.join(taken.hint("merge"), "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:
