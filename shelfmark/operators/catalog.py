@@ -93,29 +93,78 @@ def info(rows: DataFrame) -> DataFrame:
 
 
 KINDS = ("missing", "extra", "type", "size", "content", "link", "hardlink", "device", "mode", "owner", "mtime", "xattrs", "acls")
+COMPARED = {"type": "string", "size": "long", "digest": "string", "mode": "int", "mtime": "long", "link": "string", "rdev": "array<bigint>", "uid": "long", "gid": "long", "xattrs": "map<string,binary>"}
+ACLS = ("system.posix_acl_access", "system.posix_acl_default")
 
 
-def differences(rows: DataFrame, disk: DataFrame) -> DataFrame:
-    """(path, kind, rank, archive, disk) of live entries against a tree.
+def _side(rows: DataFrame, name: str) -> DataFrame:
+    columns = [F.col(c) if c in rows.columns else F.lit(None).cast(kind).alias(c) for c, kind in COMPARED.items()]
+    return rows.select("path", F.lit(True).alias(f"in_{name}"), *[x.alias(f"{name}_{c}") for x, c in zip(columns, COMPARED)])
+
+
+def _hard_links(rows: DataFrame) -> DataFrame:
+    """Live hard links with their targets, which may be tombstones."""
+    target = rows.select(F.col("id").alias("t_id"), F.col("path").alias("t_path"), F.col("dead").alias("t_dead"), F.col("size").alias("t_size"), F.col("digest").alias("t_digest"))
+    return live(rows).filter("type = 'hardlink'").join(target, F.col("hardlink") == F.col("t_id"), "left")
 
-    A full outer join on path; a type difference hides all others, a size difference hides
-    the content's.
-    """
-    a = live(rows).select("path", F.lit(True).alias("in_a"), *[F.col(c).alias(f"a_{c}") for c in ("type", "size", "digest", "mode", "mtime")])
-    d = disk.select("path", F.lit(True).alias("in_d"), *[F.col(c).alias(f"d_{c}") for c in ("type", "size", "digest", "mode", "mtime")])
-    both = a.join(d, "path", "full_outer")
 
-    def one(kind: str, when: F.Column, column: str | None = None) -> F.Column:
-        value = lambda side: F.col(f"{side}_{column}").cast("string") if column else F.lit(None).cast("string")
-        return F.when(when, F.struct(F.lit(kind).alias("kind"), F.lit(KINDS.index(kind)).alias("rank"), value("a").alias("archive"), value("d").alias("disk")))
+def _pruned(both: DataFrame, rows: DataFrame) -> DataFrame:
+    """Paths of one side only that aren't differences: what lies below a missing or an extra
+    directory, directories on the way to an entry, and sockets."""
+    single = both.filter(F.col("in_a").isNull() | F.col("in_d").isNull())
+    on_the_way = live(rows).select(F.explode(P.ancestors(F.col("path"), False)).alias("path")).distinct()
+    extra = single.filter((F.col("in_a").isNull()) & (F.col("d_type") == "dir")).select("path")
+    dirs = single.filter(F.col("in_d").isNull() & (F.col("a_type") == "dir")).select("path").union(extra.join(on_the_way, "path", "left_anti"))
+    below = single.select("path", F.explode(P.ancestors(F.col("path"), False)).alias("dir")).join(dirs.withColumnRenamed("path", "dir"), "dir", "left_semi").select("path")
+    sockets = single.filter(F.col("in_a").isNull() & (F.col("d_type") == "socket")).select("path")
+    return below.union(extra.join(on_the_way, "path", "left_semi")).union(sockets)
 
+
+def differences(rows: DataFrame, disk: DataFrame) -> DataFrame:
+    """(path, kind, rank, archive, disk, names) of live entries against a tree, all KINDS.
+
+    A full outer join on path. A type difference hides all others, a size difference the
+    content's. A hard link is a file with the content of its target, and differs as such when
+    the tree (with dev and ino) has two files. Columns that a side lacks, and nulls, aren't
+    compared. names: of the extended attributes that differ.
+    """
+    a = live(rows)
+    links = _hard_links(rows) if "hardlink" in rows.columns else None
+    if links is not None:
+        content = links.withColumn("size", F.coalesce("t_size", "size")).withColumn("digest", F.coalesce("t_digest", "digest")).select(*rows.columns)
+        a = a.filter("type != 'hardlink'").unionByName(content)
+    both = _side(a, "a").join(_side(disk, "d"), "path", "full_outer")
+
+    def one(kind: str, when: F.Column, show=None, names: F.Column | None = None) -> F.Column:
+        value = lambda side: show(side).cast("string") if show else F.lit(None).cast("string")
+        return F.when(when, F.struct(F.lit(kind).alias("kind"), F.lit(KINDS.index(kind)).alias("rank"), value("a").alias("archive"), value("d").alias("disk"),
+                                     (F.lit(None).cast("array<string>") if names is None else names).alias("names")))
+
+    column = lambda c: lambda side: F.col(f"{side}_{c}")
+    differ = lambda c: F.col(f"a_{c}") != F.col(f"d_{c}")
+    kind = F.when(F.col("a_type") == "hardlink", "reg").otherwise(F.col("a_type"))
     in_both = F.col("in_a").isNotNull() & F.col("in_d").isNotNull()
-    same_type = in_both & (F.col("a_type") == F.col("d_type"))
+    same = in_both & (kind == F.col("d_type"))
+    reg = same & (kind == "reg")
+    keys = F.array_sort(F.array_union(F.map_keys("a_xattrs"), F.map_keys("d_xattrs")))
+    unequal = F.filter(keys, lambda n: ~F.element_at("a_xattrs", n).eqNullSafe(F.element_at("d_xattrs", n)))
+    acls, others = F.filter(unequal, lambda n: n.isin(*ACLS)), F.filter(unequal, lambda n: ~n.isin(*ACLS))
+    attributed = same & F.col("a_type").isin("reg", "dir")
     found = F.array(
-        one("missing", F.col("in_d").isNull()), one("extra", F.col("in_a").isNull()), one("type", in_both & ~same_type, "type"),
-        one("size", same_type & (F.col("a_size") != F.col("d_size")), "size"), one("content", same_type & (F.col("a_size") == F.col("d_size")) & (F.col("a_digest") != F.col("d_digest"))),
-        one("mode", same_type & (F.col("a_type") != "symlink") & (F.col("a_mode") != F.col("d_mode")), "mode"), one("mtime", same_type & (F.col("a_mtime") != F.col("d_mtime")), "mtime"))
-    return both.select("path", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("path", "x.*")
+        one("missing", F.col("in_d").isNull()), one("extra", F.col("in_a").isNull()), one("type", in_both & (kind != F.col("d_type")), lambda s: kind if s == "a" else F.col("d_type")),
+        one("size", reg & differ("size"), column("size")), one("content", reg & ~differ("size") & differ("digest")),
+        one("link", same & (kind == "symlink") & differ("link"), column("link")),
+        one("device", same & kind.isin("chardev", "blockdev") & (F.size("a_rdev") == 2) & differ("rdev"), lambda s: F.array_join(F.col(f"{s}_rdev").cast("array<string>"), ",")),
+        one("mode", same & (kind != "symlink") & differ("mode"), column("mode")),
+        one("owner", same & (F.coalesce(differ("uid"), F.lit(False)) | F.coalesce(differ("gid"), F.lit(False))), lambda s: F.concat(F.coalesce(F.col(f"{s}_uid").cast("string"), F.lit("-")), F.lit("/"), F.coalesce(F.col(f"{s}_gid").cast("string"), F.lit("-")))),
+        one("mtime", same & differ("mtime"), column("mtime")),
+        one("xattrs", attributed & (F.size(others) > 0), names=others), one("acls", attributed & (F.size(acls) > 0), names=acls))
+    out = both.join(_pruned(both, rows), "path", "left_anti").select("path", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("path", "x.*")
+    if links is None or not {"dev", "ino"} <= set(disk.columns):
+        return out
+    inode = lambda p: disk.filter("type = 'reg'").select(F.col("path").alias(p), F.struct("dev", "ino").alias(f"{p}_inode"))
+    parted = links.filter("not t_dead").select("path", "t_path").join(inode("path"), "path").join(inode("t_path"), "t_path").filter("path_inode != t_path_inode")
+    return out.unionByName(parted.select("path", F.lit("hardlink").alias("kind"), F.lit(KINDS.index("hardlink")).alias("rank"), F.col("t_path").alias("archive"), F.lit(None).cast("string").alias("disk"), F.lit(None).cast("array<string>").alias("names")))
 
 
 def stripped(rows: DataFrame, n: int) -> DataFrame:

@@ -225,7 +225,7 @@ def _diff(spark, d) -> DataFrame:
 
 @query(f"WITH {DIFF} SELECT * FROM diffs ORDER BY path, rank")
 def diff_all_ranked(spark, d):
-    return _diff(spark, d).orderBy("path", "rank")
+    return _diff(spark, d).drop("names").orderBy("path", "rank")
 
 
 @query(f"WITH {DIFF} SELECT path FROM diffs WHERE kind = 'missing'")

@@ -52,6 +52,31 @@ def test_violations(spark):
         O.assert_valid(df, 5)
 
 
+def test_every_kind_of_difference(spark):
+    schema = "id long, path string, type string, size long, digest string, mtime long, mode int, dead boolean, link string, hardlink long, rdev array<bigint>, uid long, gid long, xattrs map<string,binary>"
+
+    def entry(id, path, type="reg", size=1, digest="x", mtime=1, mode=420, dead=False, link=None, hardlink=None, rdev=None, uid=5, gid=5, xattrs=None):
+        return (id, path, type, size, digest, mtime, mode, dead, link, hardlink, rdev, uid, gid, xattrs)
+
+    acl = "system.posix_acl_access"
+    old = spark.createDataFrame([
+        entry(1, "same"), entry(2, "gone", "dir"), entry(3, "gone/a"), entry(4, "type"), entry(5, "size"), entry(6, "content"), entry(7, "link", "symlink", link="x"), entry(8, "hl", "hardlink", size=0, digest=None, hardlink=1),
+        entry(9, "dev", "chardev", rdev=[1, 2]), entry(10, "mode"), entry(11, "owner"), entry(12, "unowned", uid=None, gid=None), entry(13, "mtime"), entry(14, "x", xattrs={"user.a": b"1", acl: b"1"}), entry(15, "way/f"), entry(16, "old", dead=True)], schema)
+    tree = schema.replace("id long, ", "", 1).replace(", hardlink long", "").replace(", dead boolean", "") + ", dev long, ino long"
+
+    def seen(ino, path, **changes):
+        e = entry(0, path, **changes)
+        return (*e[1:7], e[8], *e[10:], 1, ino)
+
+    disk = spark.createDataFrame([
+        seen(1, "same"), seen(2, "type", type="dir", mode=1), seen(3, "size", size=2, digest="y"), seen(4, "content", digest="y"), seen(5, "link", type="symlink", link="y", mode=1), seen(6, "hl"), seen(7, "dev", type="chardev", rdev=[1, 3]), seen(8, "mode", mode=1),
+        seen(9, "owner", uid=6), seen(10, "unowned", uid=6), seen(11, "mtime", mtime=2), seen(12, "x", xattrs={"user.a": b"2"}), seen(13, "way", type="dir"), seen(14, "way/f"), seen(15, "new", type="dir"), seen(16, "new/a"), seen(17, "s", type="socket")], tree)
+    got = [(r["path"], r["kind"], r["archive"], r["disk"], r["names"]) for r in O.differences(old, disk).orderBy("rank", "path").collect()]
+    assert got == [
+        ("gone", "missing", None, None, None), ("new", "extra", None, None, None), ("type", "type", "reg", "dir", None), ("size", "size", "1", "2", None), ("content", "content", None, None, None), ("link", "link", "x", "y", None), ("hl", "hardlink", "same", None, None),
+        ("dev", "device", "1,2", "1,3", None), ("mode", "mode", "420", "1", None), ("owner", "owner", "5/5", "6/5", None), ("mtime", "mtime", "1", "2", None), ("x", "xattrs", None, None, ["user.a"]), ("x", "acls", None, None, [acl])]
+
+
 def test_generations(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     schema = SCHEMA + ", gen long"
