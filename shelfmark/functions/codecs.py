@@ -130,12 +130,15 @@ def crc32c(data: bytes) -> int:
 
 @F.pandas_udf(LongType())
 def first_difference(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Offset of the first differing byte, -1 if equal; the shorter differs at its end."""
+    """Offset of the first differing byte, -1 if equal; the shorter differs at its end; null
+    where either is."""
     import numpy as np
 
     def one(x, y):
+        if x is None or y is None:
+            return None
         n = min(len(x), len(y))
         d = np.flatnonzero(np.frombuffer(x, np.uint8, n) != np.frombuffer(y, np.uint8, n)) if n else []
         return int(d[0]) if len(d) else -1 if len(x) == len(y) else n
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int64")
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="Int64")

@@ -167,6 +167,28 @@ def differences(rows: DataFrame, disk: DataFrame) -> DataFrame:
     return out.unionByName(parted.select("path", F.lit("hardlink").alias("kind"), F.lit(KINDS.index("hardlink")).alias("rank"), F.col("t_path").alias("archive"), F.lit(None).cast("string").alias("disk"), F.lit(None).cast("array<string>").alias("names")))
 
 
+def extraction(chosen: DataFrame, rows: DataFrame) -> DataFrame:
+    """(phase, path, action, content, link_to): how to write the chosen live entries.
+
+    1: directories and other entries without content; 2: files; 3: hard links, once files
+    are there; 4: metadata of directories, to be applied in descending order of path. Content
+    names the entry that holds the bytes. If the target of hard links isn't chosen, the first
+    of them by path gets its content and the others link to that one.
+    """
+    none = F.lit(None).cast("long"), F.lit(None).cast("string")
+    step = lambda df, phase, action, content=none[0], to=none[1]: df.select(F.lit(phase).alias("phase"), "path", action.alias("action"), content.alias("content"), to.alias("link_to"))
+    links = chosen.filter("type = 'hardlink'").select("path", "hardlink")
+    carriers = links.groupBy("hardlink").agg(F.min("path").alias("carrier"))
+    written = chosen.filter("type != 'hardlink'").select(F.col("id").alias("hardlink"), F.col("path").alias("target"))
+    holder = rows.select(F.col("id").alias("hardlink"), F.coalesce("data", "id").alias("holder"))
+    links = links.join(carriers, "hardlink").join(written, "hardlink", "left").join(holder, "hardlink", "left")
+    carries = F.col("target").isNull() & (F.col("path") == F.col("carrier"))
+    nodes = chosen.filter("type not in ('reg', 'hardlink')")
+    return (step(nodes, 1, F.col("type")).union(step(chosen.filter("type = 'reg'"), 2, F.lit("write"), F.coalesce("data", "id")))
+            .union(step(links, 3, F.when(carries, "write").otherwise("link"), F.when(carries, F.col("holder")), F.when(~carries, F.coalesce("target", "carrier"))))
+            .union(step(nodes.filter("type = 'dir'"), 4, F.lit("finish"))))
+
+
 def stripped(rows: DataFrame, n: int) -> DataFrame:
     """Paths without n components; of equal ones the last by stored path stays, the others
     collide unless both are directories."""

@@ -27,7 +27,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 10 == 9, F.col("doc_id") - 1).alias("hardlink"), "text")
 
 
-def disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalog's tree after removals, edits and touches, with files from ``pages``."""
     docs = table(spark, sf_dir, "documents").filter("doc_id % 11 != 0")
     text = F.when(F.col("doc_id") % 13 == 0, F.concat("text", F.lit("!"))).when(F.col("doc_id") % 19 == 0, F.concat(F.expr("substring(text, 1, length(text) - 1)"), F.lit("#"))).otherwise(F.col("text"))
@@ -35,8 +35,12 @@ def disk(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.lit(EPOCH) + F.col("doc_id") * 1_000_000_000 + F.when(F.col("doc_id") % 17 == 0, 1_000_000_000).otherwise(0)).alias("mtime"),
                        F.when(F.col("doc_id") % 23 == 0, 420).otherwise(F.col("doc_id") * 37 % 4096).cast("int").alias("mode"))
     extra = table(spark, sf_dir, "pages").select(F.concat(F.lit("extra/"), F.expr("page_id % 10"), F.lit("/"), F.col("page_id"), F.lit(".html")).alias("path"), F.lit("reg").alias("type"), F.col("html").alias("content"), F.lit(EPOCH).alias("mtime"), F.lit(420).alias("mode"))
-    every = seen.unionByName(extra)
-    return every.select("path", "type", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("digest"), "mtime", "mode")
+    return seen.unionByName(extra)
+
+
+def disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of ``contents`` with sizes and digests."""
+    return contents(spark, sf_dir).select("path", "type", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("digest"), "mtime", "mode")
 
 
 CODECS = [("none", None), ("zstd", "level=12"), ("gzip", "level=6"), ("xz", "preset=6"), ("flate", None)]

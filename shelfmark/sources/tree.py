@@ -6,8 +6,12 @@ import fnmatch
 import hashlib
 import os
 import stat
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..errors import Corrupt
 
 KIND = ((stat.S_ISREG, "reg"), (stat.S_ISDIR, "dir"), (stat.S_ISLNK, "symlink"), (stat.S_ISFIFO, "fifo"), (stat.S_ISCHR, "chardev"), (stat.S_ISBLK, "blockdev"), (stat.S_ISSOCK, "socket"))
 SCHEMA = "seq long, path string, type string, mode int, uid long, gid long, mtime long, size long, link string, dev long, ino long, digest string"
@@ -39,3 +43,71 @@ def read_tree(spark: SparkSession, top: str, **options) -> DataFrame:
     """Metadata of a tree that the driver can see; file systems of a cluster are listed with
     ``spark.read.format("binaryFile")``."""
     return spark.createDataFrame(list(entries(top, **options)), SCHEMA)
+
+
+def below(top: str, path: str) -> str:
+    """The path's place below ``top``; neither it nor a symbolic link on the way leaves ``top``."""
+    full, real = os.path.join(top, path), os.path.realpath(top)
+    if os.path.commonpath([real, os.path.realpath(os.path.dirname(full))]) != real or os.path.basename(path) == "..":
+        raise Corrupt(f"{path} leaves the target folder")
+    return full
+
+
+def write_file(full: str, data: bytes, digest: str | None, mode: int | None, mtime: int | None) -> None:
+    """Writes beside the target, checks the digest, sets metadata and renames; a retried task
+    writes the same file again."""
+    if digest is not None and hashlib.sha256(data).hexdigest() != digest:
+        raise Corrupt(f"{full}: digest differs")
+    os.makedirs(os.path.dirname(full), exist_ok=True)
+    temp = f"{full}.{uuid.uuid4().hex}"
+    with open(temp, "wb") as f:
+        f.write(data)
+    if mode is not None:
+        os.chmod(temp, mode)
+    if mtime is not None:
+        os.utime(temp, ns=(mtime, mtime), follow_symlinks=False)
+    os.replace(temp, full)
+
+
+def write_tree(steps: DataFrame, rows: DataFrame, content: DataFrame, top: str) -> None:
+    """Carries out ``extraction`` steps below ``top``, a folder that driver and executors share.
+
+    content: id and bytes of entries that hold content. Files are written by all tasks; the
+    other phases, which carry no content, stream through the driver in order of path.
+    Directories, files, links and pipes are made; devices and sockets aren't.
+    """
+    meta = steps.join(rows.filter("not dead").select("path", "mode", "mtime", "link", "digest", "hardlink"), "path", "left")
+
+    def files(phase: int) -> None:
+        target = rows.select(F.col("id").alias("hardlink"), F.col("digest").alias("t_digest"), F.col("mode").alias("t_mode"), F.col("mtime").alias("t_mtime"))
+        chosen = meta.filter((F.col("phase") == phase) & (F.col("action") == "write")).join(target, "hardlink", "left").join(content.select(F.col("id").alias("content"), "bytes"), "content", "left")
+        chosen = chosen.select("path", "bytes", *[F.coalesce(f"t_{c}", c).alias(c) for c in ("digest", "mode", "mtime")])
+
+        def each(part):
+            for r in part:
+                write_file(below(top, r["path"]), bytes(r["bytes"] or b""), r["digest"], r["mode"], r["mtime"])
+
+        chosen.foreachPartition(each)
+
+    os.makedirs(top, exist_ok=True)
+    for r in meta.filter("phase = 1").orderBy("path").toLocalIterator():
+        full = below(top, r["path"])
+        if r["action"] == "dir":
+            os.makedirs(full, exist_ok=True)
+            continue
+        os.makedirs(os.path.dirname(full), exist_ok=True)
+        if r["action"] == "symlink":
+            os.symlink(r["link"], full)
+            os.utime(full, ns=(r["mtime"], r["mtime"]), follow_symlinks=False)
+        elif r["action"] == "fifo":
+            os.mkfifo(full, r["mode"])
+    files(2)
+    files(3)
+    for r in meta.filter("phase = 3 and action = 'link'").orderBy("path").toLocalIterator():
+        full = below(top, r["path"])
+        os.makedirs(os.path.dirname(full), exist_ok=True)
+        os.link(below(top, r["link_to"]), full)
+    for r in meta.filter("phase = 4").orderBy(F.desc("path")).toLocalIterator():
+        full = below(top, r["path"])
+        os.chmod(full, r["mode"])
+        os.utime(full, ns=(r["mtime"], r["mtime"]))

@@ -5,7 +5,7 @@ from shelfmark.errors import Conflict, Corrupt, Locked, Usage
 from shelfmark.functions import codecs as C
 from shelfmark.operators import catalog as O
 from shelfmark.plans.store import Store
-from shelfmark.sources.tree import read_tree
+from shelfmark.sources.tree import read_tree, write_tree
 from shelfmark.streaming.generations import append
 
 SCHEMA = "id long, path string, type string, size long, digest string, mtime long, mode int, dead boolean"
@@ -108,6 +108,32 @@ def test_tree(spark, tmp_path):
     assert got == [(".", "dir"), ("d", "dir"), ("d/f.txt", "reg"), ("z", "symlink")]
 
 
+def test_tree_round_trip(spark, tmp_path):
+    import hashlib
+
+    schema = "id long, path string, type string, mode int, mtime long, link string, hardlink long, data long, digest string, dead boolean"
+    sha = hashlib.sha256(b"one").hexdigest()
+    old = spark.createDataFrame([
+        (1, "d", "dir", 0o700, 5_000_000_007, None, None, None, None, False), (2, "d/f", "reg", 0o640, 6_000_000_001, None, None, None, sha, False), (3, "d/g", "reg", 0o600, 7, None, None, 2, sha, False), (4, "h", "hardlink", None, None, None, 2, None, None, False),
+        (5, "old", "reg", 0o600, 9, None, None, None, sha, True), (6, "p", "hardlink", None, None, None, 5, None, None, False), (7, "q", "hardlink", None, None, None, 5, None, None, False), (8, "z", "symlink", 0o777, 8_000_000_009, "d/f", None, None, None, False)], schema)
+    content = spark.createDataFrame([(2, bytearray(b"one")), (5, bytearray(b"one"))], "id long, bytes binary")
+    write_tree(O.extraction(O.live(old), old), old, content, str(tmp_path / "out"))
+    got = {r["path"]: r for r in read_tree(spark, str(tmp_path / "out")).collect()}
+    assert sorted(got) == [".", "d", "d/f", "d/g", "h", "p", "q", "z"]
+    assert all(got[p]["digest"] == sha for p in ("d/f", "d/g", "h", "p", "q"))
+    assert got["h"]["ino"] == got["d/f"]["ino"] != got["d/g"]["ino"] and got["p"]["ino"] == got["q"]["ino"]
+    assert [got[p]["mtime"] for p in ("d", "d/f", "p", "z")] == [5_000_000_007, 6_000_000_001, 9, 8_000_000_009] and got["d"]["mode"] == 0o700 and got["d/f"]["mode"] == 0o640
+    with pytest.raises(Exception, match="digest differs"):
+        write_tree(O.extraction(O.live(old), old), old, content.withColumn("bytes", F.lit(b"two")), str(tmp_path / "bad"))
+    outside = old.filter("id = 2").withColumn("path", F.explode(F.array(F.lit("../f"), F.lit("/f"), F.lit("z/f"))))
+    link = old.filter("id = 8").withColumn("link", F.lit(str(tmp_path)))
+    for n in range(3):
+        one = outside.filter(F.col("path") == ("../f", "/f", "z/f")[n]).union(link)
+        with pytest.raises(Exception, match="leaves the target folder"):
+            write_tree(O.extraction(one, one), one, content, str(tmp_path / f"out{n}"))
+    assert not (tmp_path / "f").exists()
+
+
 def test_partitioning_changes_nothing(spark):
     df = spark.range(500).select("id", F.concat(F.lit("d"), F.expr("id % 7"), F.lit("/f"), F.col("id")).alias("path"), F.lit("reg").alias("type"), (F.col("id") % 5).alias("size"))
     a, b = (sorted(map(tuple, O.directories(df.repartition(n)).collect())) for n in (1, 17))
