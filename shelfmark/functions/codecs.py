@@ -109,6 +109,14 @@ def decode_chunks(table: DataFrame, name: str) -> DataFrame:
     return table.mapInPandas(run, f"{fields}, decoded binary")
 
 
+def recompress(table: DataFrame, old: str, new: str, params: dict[str, str] | None = None) -> DataFrame:
+    """Replaces ``encoded`` by the content's encoding with another codec, chunk by chunk; all
+    other columns stay."""
+    columns = table.columns
+    plain = decode_chunks(table, old).drop("encoded", "plain_size")
+    return encode_chunks(plain, new, params, column="decoded").select(*columns)
+
+
 def seal(plain: Column, key: Column, name: Column, position: Column) -> Column:
     """AES-GCM of a chunk, bound to its entry and position."""
     return F.aes_encrypt(plain, key, F.lit("GCM"), F.lit("DEFAULT"), F.unhex(F.lpad(F.hex(position), 24, "0")), F.concat_ws(":", name, position))

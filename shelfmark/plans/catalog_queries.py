@@ -407,6 +407,13 @@ def codec_round_trip(spark, d):
     return out
 
 
+@query("SELECT count(*) AS chunks, CAST(sum(least(4096, strlen(text) - i * 4096)) AS BIGINT) AS plain, count(*) AS equal FROM (SELECT text, unnest(range(CAST((strlen(text) + 4095) // 4096 AS BIGINT))) AS i FROM documents)")
+def recompress_round_trip(spark, d):
+    pieces = S.table(spark, d, "documents").select("doc_id", F.posexplode(C.chunks(F.col("text").cast("binary"), 4096)).alias("pos", "plain"))
+    again = C.recompress(C.encode_chunks(pieces, "gzip"), "gzip", "zstd", {"level": "3"})
+    return C.decode_chunks(again, "zstd").agg(F.count("*").alias("chunks"), F.sum("plain_size").alias("plain"), F.count_if(F.col("plain") == F.col("decoded")).alias("equal"))
+
+
 @query("SELECT count(*) AS chunks, count(*) AS equal FROM (SELECT unnest(range(CAST((strlen(text) + 4095) // 4096 AS BIGINT))) FROM documents)")
 def sealed_round_trip(spark, d):
     pieces = S.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("name"), F.posexplode(C.chunks(F.col("text").cast("binary"), 4096)).alias("pos", "plain"))
