@@ -302,7 +302,7 @@ def validate_catalog(spark, d):
 
 @query("SELECT doc_id, i AS pos, md5(array_slice(encode(text), i * 512 + 1, i * 512 + 512)::BLOB) AS chunk_md5 FROM (SELECT doc_id, text, unnest(range(CAST((strlen(text) + 511) // 512 AS BIGINT))) AS i FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*'))")
 def chunk_table(spark, d):
-    rows = S.table(spark, d, "documents").filter(F.octet_length("text") == F.char_length("text"))
+    rows = S.table(spark, d, "documents")
     return rows.select("doc_id", F.posexplode(C.chunks(F.col("text").cast("binary"), 512)).alias("pos", "chunk")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("chunk").alias("chunk_md5"))
 
 

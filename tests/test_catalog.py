@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +140,15 @@ def test_partitioning_changes_nothing(spark):
     df = spark.range(500).select("id", F.concat(F.lit("d"), F.expr("id % 7"), F.lit("/f"), F.col("id")).alias("path"), F.lit("reg").alias("type"), (F.col("id") % 5).alias("size"))
     a, b = (sorted(map(tuple, O.directories(df.repartition(n)).collect())) for n in (1, 17))
     assert a == b
+
+
+def test_chunk_table_covers_texts_beyond_ascii(spark, tmp_path):
+    from shelfmark.plans import catalog_queries
+
+    rows = [(1, "é" * 700), (2, "a" * 511 + "ß" + "b" * 600), (3, "plain"), (4, ""), (5, None), (6, "€" * 512)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for d, t in rows:
+        data = (t or "").encode()
+        want += [(d, k // 512, hashlib.md5(data[k : k + 512]).hexdigest()) for k in range(0, len(data), 512)]
+    assert sorted(map(tuple, catalog_queries.chunk_table(spark, str(tmp_path)).collect())) == want
