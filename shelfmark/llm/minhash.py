@@ -43,8 +43,8 @@ REGION, NEAR = 24, 4
 AGREE = 22
 #: Forest rows in a task; documents confirmed together; texts of a large component in a block.
 FOREST_ROWS, BLOCK_DOCS = 100_000, 256
-#: Documents with fewer linked classes are strays of a large component; its signatures meet in blocks.
-STRAY, STRAY_BLOCK, MEMBER_BLOCK = 8, 64, 512
+#: Strays, all groups of a large component but its largest, meet its members in blocks of so many.
+STRAY_BLOCK, MEMBER_BLOCK = 64, 512
 _A = mix(np.arange(1, HASHES + 1, dtype=_U)) | _U(1)
 
 
@@ -288,8 +288,8 @@ def _link(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _stray_block(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links of a block's strays to members of other components, on full sets; one link to
-    each component is enough."""
+    """Links of a block's strays to members of other groups, on full sets; groups the block has
+    joined need no further look."""
     rows = rows.reset_index(drop=True)
     stray, member = np.flatnonzero(rows["stray"]), np.flatnonzero(~rows["stray"])
     minima = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(-1, HASHES)
@@ -301,36 +301,38 @@ def _stray_block(rows: pd.DataFrame) -> pd.DataFrame:
             sets[i] = np.unique(shingles(Words(pa.array([rows["text"][i]], pa.large_string()), lower=True))[0])
         return sets[i]
 
-    found = []
+    found, stars = [], Stars()
     for i in stray:
         agree = (minima[member] == minima[i]).sum(axis=1)
         ok = (agree >= AGREE) & (label[member] != label[i]) & (100 * np.minimum(n[member], n[i]) >= PERCENT * np.maximum(n[member], n[i]))
-        done = set()
         for j in member[ok][np.argsort(-agree[ok], kind="stable")]:
-            if label[j] not in done and _link(full(i), full(j)):
-                done.add(label[j])
+            if not stars.joined(label[i], label[j]) and _link(full(i), full(j)):
+                stars.join(label[i], label[j])
                 found.append((min(node[i], node[j]), max(node[i], node[j])))
     ab = np.array(sorted(found), np.int64).reshape(-1, 2)
     return pd.DataFrame({"a": ab[:, 0], "b": ab[:, 1]})
 
 
-def _strays(graph: DataFrame, sizes: DataFrame, joined: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links of documents that found few in a large component.
+def _strays(graph: DataFrame, sizes: DataFrame, joined: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Links between the groups that a large component has fallen into; None without such.
 
-    Their signatures meet those of all members, in blocks of both, and what agrees in AGREE
-    minima is confirmed there. So neighbours in the orders bind the bulk of a hot region,
-    and nobody at its rim depends on having had the right neighbour.
+    The signatures of all groups but the largest meet those of all members, in blocks of
+    both, and what agrees in AGREE minima is confirmed there. So every two groups of a
+    component meet, whatever their sizes: neighbours in the orders bind the bulk of a hot
+    region, and no link depends on having had the right neighbour.
     """
     large = graph.join(sizes.filter(F.col("members") > REGION), "component")
-    labelled = large.join(joined.select("node", F.col("component").alias("own")), "node", "left").withColumn("label", F.coalesce("own", "node"))
-    few = labelled.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") < STRAY).select("label", F.lit(True).alias("few"))
-    labelled = scratch.write(labelled.join(few, "label", "left").select("node", "component", "members", "label", F.coalesce("few", F.lit(False)).alias("few")), "large")
-    counts = labelled.filter("few").groupBy("component").agg(F.ceil(F.count("*") / STRAY_BLOCK).alias("stray_parts"))
-    rows = labelled.join(counts, "component").withColumn("member_parts", F.ceil(F.col("members") / MEMBER_BLOCK))
+    labelled = scratch.write(large.join(joined.select("node", F.col("component").alias("own")), "node", "left").select("node", "component", "members", F.coalesce("own", "node").alias("label")), "large")
+    groups = labelled.groupBy("component", "members", "label").agg(F.count("*").alias("n"))
+    counts = groups.groupBy("component", "members").agg(F.max(F.struct("n", "label")).alias("main")).filter(F.col("main.n") < F.col("members"))
+    counts = scratch.write(counts.select("component", F.col("main.label").alias("main"), F.ceil((F.col("members") - F.col("main.n")) / STRAY_BLOCK).alias("stray_parts"), F.ceil(F.col("members") / MEMBER_BLOCK).alias("member_parts")), "groups")
+    if counts.isEmpty():
+        return None
+    rows = labelled.join(counts, "component")
     rows = rows.join(classes.select(F.col("doc_id").alias("node"), "n_shingles", "signature"), "node").join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
     columns = ("component", "node", "label", "n_shingles", "signature", "text")
     to = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    stray = rows.filter("few").select(*columns, F.lit(True).alias("stray"), F.pmod(F.xxhash64("node"), F.col("stray_parts")).alias("i"), to("member_parts").alias("j"))
+    stray = rows.filter("label != main").select(*columns, F.lit(True).alias("stray"), F.pmod(F.xxhash64("node"), F.col("stray_parts")).alias("i"), to("member_parts").alias("j"))
     member = rows.select(*columns, F.lit(False).alias("stray"), to("stray_parts").alias("i"), F.pmod(F.xxhash64("node"), F.col("member_parts")).alias("j"))
     return stray.unionByName(member).groupBy("component", "i", "j").applyInPandas(_stray_block, "a long, b long")
 
@@ -339,7 +341,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, component) of the graph of those pairs that are links on full sets.
 
     Large candidate components first confirm two pairs of each document; then pairs that
-    are still unconnected, all of them, and strays against all members.
+    are still unconnected, all of them, and then groups that are still apart, member by member.
     """
     pairs = scratch.write(pairs, "pairs")
     graph = scratch.write(scratch.components(pairs, "a", "b"), "related")
@@ -361,7 +363,11 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
         later = later.join(joined.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
     later = later.filter(~F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False)))
     more = _confirm_blocks(later, texts, blocks, many=True)
-    return scratch.components(links.union(more).union(_strays(graph, sizes, joined, classes, texts)), "a", "b")
+    if not more.isEmpty():
+        links = links.union(more)
+        joined = scratch.components(links, "a", "b")
+    between = _strays(graph, sizes, joined, classes, texts)
+    return joined if between is None else scratch.components(links.union(between), "a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -77,6 +77,32 @@ def test_neighbours_of_a_large_region_stay_connected():
     assert len(i) < 1000 * minhash.NEAR * minhash.DEPTH and set(np.concatenate([i, j]).tolist()) == set(range(1000))
 
 
+def test_large_groups_of_a_component_meet(spark):
+    """Two groups of 15; only the bases link them, and no candidate pair holds both bases."""
+    bases = [[f"w{i}" for i in range(240)], [f"w{i}" if i < 209 else f"v{i}" for i in range(240)]]
+    texts = {}
+    for g, base in enumerate(bases):
+        texts[100 * g] = base
+        for k in range(1, 15):
+            copy = list(base)
+            for at in range(5):
+                copy[(k * 7 + at * 45) % 220] = f"g{g}k{k}at{at}"
+            texts[100 * g + k] = copy
+
+    def shingles(w):
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    def link(a, b):
+        x, y = shingles(texts[a]), shingles(texts[b])
+        return 100 * len(x & y) >= 75 * len(x | y)
+
+    assert link(0, 100) and all(link(100 * g, 100 * g + k) for g in (0, 1) for k in range(1, 15)) and not any(link(a, b) for a in range(15) for b in range(100, 115) if a or b > 100)
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
+    classes = docs.mapInArrow(minhash.sign, minhash.SIGNED)
+    pairs = spark.createDataFrame([(100 * g, 100 * g + k) for g in (0, 1) for k in range(1, 15)] + [(1, 101)], "a long, b long")
+    assert {r["component"] for r in minhash.confirm(pairs, docs, classes).collect()} == {0}
+
+
 def test_repeats(docs, none, rows):
     got = repeats.remove_repeats(docs).collect()
     assert repeats.remove_repeats(none).count() == 0
