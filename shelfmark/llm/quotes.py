@@ -3,9 +3,10 @@
 Lines that begin with ``>`` are quotes; the number of leading ``>`` (blanks between them
 allowed) is their level. Consecutive lines of a level form a passage. Passages are
 normalised (lower case, letters and digits only, blanks collapsed) and hashed, as is every
-own line and the whole own text of each message. A level-1 passage joins, on conversation
-and hash, the latest earlier message that said it (its own words, not its quotes); that
-message is the parent. Without such a quote the parent is the message before. Quotes are
+own line and the whole own text of each message. A passage of any level joins, on
+conversation and hash, the latest earlier message that said it (its own words, not its
+quotes); the parent is the message that the shallowest linked level found, and quoted_turns
+has what each linked level found. Without such a quote the parent is the message before. Quotes are
 cut out, and messages are numbered in reply order: by turn, so each follows its parent.
 
 Numbering runs in two levels (blocks of TURNS turns), so a conversation of any length is
@@ -59,7 +60,7 @@ def _hash(passage: str) -> str | None:
     return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest() if text else None
 
 
-PARSED = "conv_id long, turn long, role string, own string, n_quotes int, quoted array<string>, said array<string>"
+PARSED = "conv_id long, turn long, role string, own string, n_quotes int, quoted array<struct<level:int,hash:string>>, said array<string>"
 
 
 def _parse(batches):
@@ -69,25 +70,26 @@ def _parse(batches):
             mine, passages = parse(text)
             own.append(mine)
             n.append(len(passages))
-            first = [p for k, p in passages if k == 1]
-            quoted.append(sorted({h for p in first for q in (p, *p.split("\n")) if (h := _hash(q))}))
+            hashes = {(k, h) for k, p in passages for q in (p, *p.split("\n")) if (h := _hash(q))}
+            quoted.append([{"level": k, "hash": h} for k, h in sorted(hashes)])
             said.append(sorted({h for q in (mine, *mine.split("\n")) if (h := _hash(q))}))
-        strings = pa.list_(pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column("conv_id").cast(pa.int64()), batch.column("turn").cast(pa.int64()), batch.column("role").cast(pa.string()), pa.array(own, pa.string()), pa.array(n, pa.int32()), pa.array(quoted, strings), pa.array(said, strings)], ["conv_id", "turn", "role", "own", "n_quotes", "quoted", "said"])
+        strings, levels = pa.list_(pa.string()), pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.string())]))
+        yield pa.RecordBatch.from_arrays([batch.column("conv_id").cast(pa.int64()), batch.column("turn").cast(pa.int64()), batch.column("role").cast(pa.string()), pa.array(own, pa.string()), pa.array(n, pa.int32()), pa.array(quoted, levels), pa.array(said, strings)], ["conv_id", "turn", "role", "own", "n_quotes", "quoted", "said"])
 
 
 def conversations(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, position, parent_turn, quoted_turn, n_quotes and text."""
+    """conv_id, turn, role, position, parent_turn, quoted_turn, quoted_turns, n_quotes and text."""
     parsed = scratch.write(messages.select("conv_id", "turn", "role", "text").mapInArrow(_parse, PARSED).withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / TURNS)), "parsed")
     conv = F.coalesce(F.col("conv_id"), F.lit(-(1 << 62))).alias("conv")
-    quotes = parsed.filter("n_quotes > 0").select(conv, "turn", F.explode("quoted").alias("hash")).distinct()
+    quotes = parsed.filter("n_quotes > 0").select(conv, "turn", F.explode("quoted").alias("q")).select("conv", "turn", "q.level", "q.hash").distinct()
     keys = quotes.select("conv", "hash").distinct()
     said = parsed.select(conv, "turn", F.explode("said").alias("hash")).join(keys, ["conv", "hash"], "left_semi").distinct()
     # the latest earlier saying of each quoted hash, in one ordered pass per key
-    both = said.withColumn("said_turn", F.col("turn")).unionByName(quotes.withColumn("said_turn", F.lit(None).cast("long")))
+    both = said.withColumn("said_turn", F.col("turn")).withColumn("level", F.lit(None).cast("int")).unionByName(quotes.withColumn("said_turn", F.lit(None).cast("long")))
     before = W.partitionBy("conv", "hash").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
     linked = both.withColumn("source", F.max("said_turn").over(before)).filter("said_turn is null and source is not null")
-    linked = linked.groupBy("conv", "turn").agg(F.max("source").alias("quoted_turn"))
+    linked = linked.groupBy("conv", "turn", "level").agg(F.max("source").alias("source"))
+    linked = linked.groupBy("conv", "turn").agg(F.min_by("source", "level").alias("quoted_turn"), F.sort_array(F.collect_list(F.struct("level", F.col("source").alias("turn")))).alias("quoted_turns"))
 
     rows = parsed.withColumn("conv", conv)
     blocks = rows.groupBy("conv", "block").agg(F.count("*").alias("n"), F.max("turn").alias("last"))
@@ -97,7 +99,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     earlier = W.partitionBy("conv", "block").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("position", F.row_number().over(inside) - 1).withColumn("previous", F.max("turn").over(earlier))
     rows = rows.join(blocks, ["conv", "block"]).join(linked, ["conv", "turn"], "left")
-    return rows.select("conv_id", "turn", "role", (F.col("position") + F.col("offset")).alias("position"), F.coalesce("quoted_turn", "previous", "last_before").alias("parent_turn"), "quoted_turn", "n_quotes", F.col("own").alias("text"))
+    return rows.select("conv_id", "turn", "role", (F.col("position") + F.col("offset")).alias("position"), F.coalesce("quoted_turn", "previous", "last_before").alias("parent_turn"), "quoted_turn", "quoted_turns", "n_quotes", F.col("own").alias("text"))
 
 
 def op9_quoted_conversations(spark, sf_dir: str) -> DataFrame:

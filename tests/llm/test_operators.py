@@ -210,6 +210,13 @@ def test_quotes(spark):
     assert got[2, 1]["parent_turn"] == 0 and got[2, 1]["quoted_turn"] is None and got[1, 0]["parent_turn"] is None and [got[1, t]["position"] for t in range(4)] == [0, 1, 2, 3]
 
 
+def test_nested_quotes_link(spark):
+    said = [(1, 0, "a", "The original words"), (1, 1, "b", "A reply to them"), (1, 2, "a", "Something else"), (1, 3, "b", ">> The original words\nonly nested"), (1, 4, "a", "> unknown here\n>> A reply to them\n>>> The original words\nx")]
+    got = {r["turn"]: r for r in quotes.conversations(spark.createDataFrame(said, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[3]["parent_turn"], got[3]["quoted_turn"], got[3]["n_quotes"]) == (0, 0, 1)
+    assert got[4]["parent_turn"] == 1 and [tuple(x) for x in got[4]["quoted_turns"]] == [(2, 1), (3, 0)] and got[2]["quoted_turns"] is None
+
+
 def test_toxicity(spark, docs, none):
     rng = random.Random(3)
     train = [(i, text(rng, 30) + (" vile" * (i % 4 == 0)) + " end", "en", int(i % 4 == 0)) for i in range(400)]
