@@ -1,11 +1,12 @@
 """Personal data by weak supervision.
 
 Base spans come from fixed patterns and checks. Looser candidates (phone numbers without
-a plus sign, addresses written out with "at" and "dot", identity numbers) are voted on,
-with the base spans, by three labelers: the pattern's own check, a gazetteer (top-level
-names, dialling prefixes) and the words before. Expectation-maximisation over the counts of
-all vote patterns estimates each labeler's reliability by kind of candidate; the posteriors
-train a logistic span classifier on votes and shape. Candidates it accepts, clear of base
+a plus sign, addresses written out with "at" and "dot", identity numbers) are voted on by
+three labelers: the pattern's own check (1 for base spans, which are true; 0 for looser ones
+that fail it, else none), a gazetteer (top-level names, dialling prefixes) and the words
+before (0 without a cue). Expectation-maximisation over the counts of the looser vote
+patterns estimates each labeler's reliability by kind of candidate; the posteriors train a
+logistic span classifier by kind on votes and shape (the separators used). Candidates it accepts, clear of base
 spans, are added; base spans always stay. Vote and shape patterns are few by construction,
 so their counts over the whole corpus fit the driver at any size.
 
@@ -40,6 +41,13 @@ LOOSE = {
     "phone": re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])"),
     "id": re.compile(r"(?<![0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9.-])"),
 }
+SEPARATORS = "()[].- "
+#: A vote pattern: kind, votes, shape.
+PATTERN = re.compile(r"([a-z]+)([012]{3})(.*)")
+#: Rates before any evidence, P(vote 1 | truth) by truth, and their weight in shares of a kind's candidates; that of the even prior.
+RATE, RATE_WEIGHT, PRIOR_WEIGHT = (0.2, 0.8), 0.5, 2.0
+#: The same where a labeler is known to differ, by kind and labeler: eight of ten numbers pass as dialling prefixes by chance.
+RATES = {("phone", 1): (0.8, 0.95)}
 ENDINGS = frozenset("com org net edu gov io info de fr es eu uk".split())
 CUES = {
     "email": re.compile(r"(mail|contact|write|address|correo|adresse)\W*(\w+\W+){0,3}$", re.I),
@@ -90,16 +98,26 @@ def votes(kind: str, strict: bool, text: str, start: int, end: int) -> tuple[int
     """Of the pattern's check, the gazetteer and the context: 1 for, 0 against, 2 none."""
     own = text[start:end]
     digits = re.sub(r"[^0-9]", "", own)
+    check = True
     if kind == "email":
+        check = bool(re.search(r"[\[(]", own))
         gazetteer = 1 if re.split(r"[^a-z]+", own.lower().rstrip("]) "))[-1] in ENDINGS else 0
     elif kind == "phone":
+        check = digits[-7:-6] not in ("0", "1")
         gazetteer = 1 if digits[-10:-7][:1] not in ("0", "1") and len(digits) >= 10 else 0
     elif kind == "id":
+        check = digits[:1] != "9"
         gazetteer = 0 if digits[:3] in ("000", "666") or digits[3:5] == "00" or digits[5:] == "0000" else 2
     else:
         gazetteer = 2
-    context = 1 if CUES[kind].search(text, max(0, start - 40), start) else 2
-    return int(strict), gazetteer, context
+    context = int(bool(CUES[kind].search(text, max(0, start - 40), start)))
+    return 1 if strict else 2 if check else 0, gazetteer, context
+
+
+def pattern(kind: str, strict: bool, text: str, start: int, end: int) -> str:
+    """Kind, votes and shape: which of SEPARATORS stand in the span."""
+    own = text[start:end]
+    return kind + "".join(map(str, votes(kind, strict, text, start, end))) + "".join(c for c in SEPARATORS if c in own)
 
 
 FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<kind:string,start:int,end:int>>, more array<struct<kind:string,start:int,end:int,votes:string>>, seen array<string>"
@@ -115,11 +133,11 @@ def _find(batches):
             own = base_spans(text)
             loose, votes_seen = [], []
             for kind, start, end in own:
-                votes_seen.append(kind + "".join(map(str, votes(kind, True, text, start, end))))
-            for kind, pattern in LOOSE.items():
-                for m in pattern.finditer(text):
+                votes_seen.append(pattern(kind, True, text, start, end))
+            for kind, loosely in LOOSE.items():
+                for m in loosely.finditer(text):
                     if not any(s < m.end() and m.start() < e for _, s, e in own):
-                        v = kind + "".join(map(str, votes(kind, False, text, *m.span())))
+                        v = pattern(kind, False, text, *m.span())
                         loose.append({"kind": kind, "start": m.start(), "end": m.end(), "votes": v})
                         votes_seen.append(v)
             base.append([dict(zip(("kind", "start", "end"), s)) for s in own])
@@ -129,42 +147,57 @@ def _find(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *counts, pa.array(base, pa.list_(span)), pa.array(more, pa.list_(more_type)), pa.array(seen, pa.list_(pa.string()))], ["doc_id", *[f"n_{k}" for k in KINDS], "base", "more", "seen"])
 
 
-def reliabilities(patterns: list[tuple[str, int]], rounds: int = 50) -> tuple[dict[str, float], np.ndarray]:
-    """Posterior of each vote pattern, and each labeler's P(vote 1 | truth) by truth.
+def reliabilities(patterns: list[tuple[str, int]], rounds: int = 50) -> tuple[dict[str, float], dict[str, np.ndarray]]:
+    """Posterior of each vote pattern, and by kind each labeler's P(vote 1 | truth) by truth.
 
-    Dawid-Skene with abstentions (2), over counts of patterns; the classes are anchored by
-    a first guess from the majority of votes cast.
+    Dawid-Skene with abstentions (2), over counts of patterns, each kind for itself. Base
+    spans (pattern vote 1) are true; they say nothing of looser candidates' rates. Rates lean
+    on RATE, that is on labelers better than chance, as one labeler alone would fit any.
     """
-    v = np.array([[int(c) for c in p[-3:]] for p, _ in patterns])
-    n = np.array([c for _, c in patterns], float)
-    cast = v != 2
-    q = np.where(cast.any(1), (np.where(cast, v, 0).sum(1) + 0.5) / (cast.sum(1) + 1.0), 0.5)
-    rate = np.zeros((2, 3))
-    for _ in range(rounds):
-        prior = (n @ q + 1) / (n.sum() + 2)
-        for truth, weight in ((1, n * q), (0, n * (1 - q))):
-            rate[truth] = [((weight * (v[:, k] == 1)).sum() + 1 + truth) / ((weight * cast[:, k]).sum() + 3) for k in range(3)]
-        logit = np.full(len(v), np.log(prior / (1 - prior)))
-        for k in range(3):
-            logit += np.where(v[:, k] == 1, np.log(rate[1, k] / rate[0, k]), np.where(v[:, k] == 0, np.log((1 - rate[1, k]) / (1 - rate[0, k])), 0))
-        q = 1 / (1 + np.exp(-logit))
-    return {p: float(x) for (p, _), x in zip(patterns, q)}, rate
+    posterior, rates = {p: 1.0 for p, _ in patterns}, {}
+    loose = [(p, *PATTERN.fullmatch(p).groups()[:2], c) for p, c in patterns]
+    for kind in sorted({k for _, k, _, _ in loose}):
+        own = [(p, votes, c) for p, k, votes, c in loose if k == kind and votes[0] != "1"]
+        if not own:
+            continue
+        v = np.array([[int(c) for c in votes] for _, votes, _ in own])
+        n = np.array([c for _, _, c in own], float)
+        cast = v != 2
+        some = RATE_WEIGHT * n.sum()
+        q = (np.where(cast, v, 0).sum(1) + 0.5) / (cast.sum(1) + 1.0)
+        rate = np.zeros((2, 3))
+        for _ in range(rounds):
+            prior = (n @ q + PRIOR_WEIGHT * n.sum() / 2) / ((1 + PRIOR_WEIGHT) * n.sum())
+            for truth, weight in ((1, n * q), (0, n * (1 - q))):
+                rate[truth] = [((weight * (v[:, k] == 1)).sum() + RATES.get((kind, k), RATE)[truth] * some) / ((weight * cast[:, k]).sum() + some) for k in range(3)]
+            logit = np.full(len(v), np.log(prior / (1 - prior)))
+            for k in range(3):
+                logit += np.where(v[:, k] == 1, np.log(rate[1, k] / rate[0, k]), np.where(v[:, k] == 0, np.log((1 - rate[1, k]) / (1 - rate[0, k])), 0))
+            q = 1 / (1 + np.exp(-logit))
+        rates[kind] = rate
+        posterior |= {p: float(x) for (p, _, _), x in zip(own, q)}
+    return posterior, rates
 
 
 def span_classifier(patterns: list[tuple[str, int]]) -> dict[str, float]:
-    """Probability of each pattern by a logistic regression trained on EM posteriors."""
-    if not patterns:
-        return {}
-    posterior, _ = reliabilities(patterns)
-    kinds = sorted({p[:-3] for p, _ in patterns})
-    x = np.array([[1.0, *[float(p[:-3] == k) for k in kinds], *[float(p[-3 + j] == c) for j in range(3) for c in "01"]] for p, _ in patterns])
-    n = np.array([c for _, c in patterns], float)
-    y = np.array([posterior[p] for p, _ in patterns])
-    w = np.zeros(x.shape[1])
-    for _ in range(500):
-        p = 1 / (1 + np.exp(-x @ w))
-        w -= 2.0 * (x.T @ (n * (p - y)) / n.sum() + 1e-4 * w)
-    return dict(zip([p for p, _ in patterns], (1 / (1 + np.exp(-x @ w))).tolist()))
+    """Probability of each pattern by a logistic regression by kind, trained on EM posteriors."""
+    found, _ = reliabilities(patterns)
+    posterior = dict(found)
+    for kind in sorted({PATTERN.fullmatch(p)[1] for p, _ in patterns}):
+        own = [(*PATTERN.fullmatch(p).groups(), p, c) for p, c in patterns]
+        own = [(votes, shape, p, c) for k, votes, shape, p, c in own if k == kind and votes[0] != "1"]
+        if not own:
+            continue
+        x = np.array([[1.0, *[float(votes[j] == c) for j in range(3) for c in "01"], *[float(c in shape) for c in SEPARATORS]] for votes, shape, _, _ in own])
+        n = np.array([c for *_, c in own], float)
+        y = np.array([posterior[p] for _, _, p, _ in own])
+        w = np.zeros(x.shape[1])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-x @ w))
+            curve = (x.T * (n * np.maximum(p * (1 - p), 1e-3))) @ x + 0.1 * np.eye(len(w))
+            w -= np.linalg.solve(curve, x.T @ (n * (p - y)) + 0.1 * w)
+        found |= dict(zip([p for _, _, p, _ in own], (1 / (1 + np.exp(-x @ w))).tolist()))
+    return found
 
 
 def _joined(spans: F.Column) -> F.Column:

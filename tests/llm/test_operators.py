@@ -186,6 +186,17 @@ def test_pii(spark, none):
     assert found["phone011"] > found["phone002"]
 
 
+@pytest.mark.parametrize("cued, bare", [(60, 60), (12, 240), (240, 12)])
+def test_pii_context_decides(spark, cued, bare):
+    base = [f"mail u{i}@x.example.com or +1 (555) 010-{i:04d} here" for i in range(1000)]
+    near = [f"my phone {200 + i}-555-{1000 + i} and my ssn {100 + i}-45-{6000 + i} so" for i in range(cued)]
+    far = [f"part {200 + i}-555-{1000 + i} then lot {100 + i}-45-{6000 + i} so" for i in range(bare)]
+    far += [f"part {100 + i}-555-{1000 + i} so" for i in range(bare // 10)]
+    rows = [(k, t) for k, t in enumerate(base + near + far)]
+    got = {r["doc_id"]: r["n_added"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[k] for k in range(1000, 1000 + cued)} == {2} and {got[k] for k in range(1000 + cued, len(rows))} == {0}
+
+
 def test_embeddings(spark):
     rng = random.Random(2)
     out = []
