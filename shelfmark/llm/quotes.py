@@ -7,10 +7,13 @@ own line and the whole own text of each message. A passage of any level joins, o
 conversation and hash, the latest earlier message that said it (its own words, not its
 quotes); the parent is the message that the shallowest linked level found, and quoted_turns
 has what each linked level found. Without such a quote the parent is the message before. Quotes are
-cut out, and messages are numbered in reply order: by turn, so each follows its parent.
+cut out, and messages are numbered by the reply tree: each after its parent, replies to one
+message by turn, each with all that follows it.
 
 Numbering runs in two levels (blocks of TURNS turns), so a conversation of any length is
-split over tasks; passages nobody quotes are dropped before the join.
+split over tasks. Messages that follow their parent at once form a run, which the tree's
+order keeps whole; only the runs' first messages, one narrow row for each quote, and the
+blocks are ordered in one task a conversation; passages nobody quotes are dropped before the join.
 
 Defined cases: null texts are empty; null conv_id is one conversation of its own; null turns
 come first; messages with equal turn are ordered by role and text and have the message
@@ -22,6 +25,8 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -77,6 +82,44 @@ def _parse(batches):
         yield pa.RecordBatch.from_arrays([batch.column("conv_id").cast(pa.int64()), batch.column("turn").cast(pa.int64()), batch.column("role").cast(pa.string()), pa.array(own, pa.string()), pa.array(n, pa.int32()), pa.array(quoted, levels), pa.array(said, strings)], ["conv_id", "turn", "role", "own", "n_quotes", "quoted", "said"])
 
 
+def _order(rows: pd.DataFrame) -> pd.DataFrame:
+    """What to add to the turn order's positions in one conversation: from the first turn of
+    each run on, and at the beginning of each block."""
+    runs = rows[rows["start"].notna()].sort_values("start")
+    blocks = rows[rows["start"].isna()]
+    start = np.concatenate([[0], runs["start"].to_numpy(np.int64)])
+    anchor = np.concatenate([[-1], runs["anchor"].to_numpy(np.int64)])
+    length = np.diff(np.append(start, blocks["n"].sum()))
+    replies: dict[int, list[int]] = {}
+    for k, up in enumerate(np.searchsorted(start, anchor[1:], "right") - 1, 1):
+        replies.setdefault(up, []).append(k)
+    shift = np.zeros(len(start), np.int64)
+    todo, at = [0], 0
+    while todo:
+        k = todo.pop()
+        shift[k] = at - start[k]
+        at += length[k]
+        # the last message's replies come first; of one message, those of the least turn
+        todo += sorted(replies.get(k, ()), key=lambda x: (anchor[x], -start[x]))
+    first = shift[np.searchsorted(start, blocks["offset"].to_numpy(np.int64), "right") - 1]
+    return pd.DataFrame({"conv": rows["conv"].iloc[0], "turn": pd.concat([runs["turn"], pd.Series([None] * len(blocks))]).astype("Int64").to_numpy(), "block": pd.concat([pd.Series([None] * len(runs)), blocks["block"]]).astype("Int64").to_numpy(), "shift": np.concatenate([shift[1:], first])})
+
+
+def _by_replies(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``rows`` with positions by turn changed into positions by the reply tree."""
+    rows = scratch.write(rows, "by-turn")
+    breaks = rows.filter("quoted_turn is not null and not (quoted_turn <=> ordinary)").groupBy("conv", "turn", "quoted_turn").agg(F.min("position").alias("start"))
+    anchors = rows.select("conv", F.col("turn").alias("quoted_turn"), "position").join(breaks.select("conv", "quoted_turn").distinct(), ["conv", "quoted_turn"], "left_semi")
+    breaks = breaks.join(anchors.groupBy("conv", "quoted_turn").agg(F.max("position").alias("anchor")), ["conv", "quoted_turn"])
+    blocks = blocks.join(breaks.select("conv").distinct(), "conv", "left_semi")
+    parts = breaks.select("conv", "turn", "start", "anchor").unionByName(blocks.select("conv", "block", "offset", "n"), allowMissingColumns=True)
+    shifts = scratch.write(parts.groupBy("conv").applyInPandas(_order, "conv long, turn long, block long, shift long"), "shifts")
+    rows = rows.join(shifts.filter("turn is not null").select("conv", "turn", "shift"), ["conv", "turn"], "left")
+    rows = rows.join(shifts.filter("block is not null").select("conv", "block", F.col("shift").alias("before")), ["conv", "block"], "left")
+    inside = W.partitionBy("conv", "block").orderBy("position").rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumn("position", F.col("position") + F.coalesce(F.last("shift", ignorenulls=True).over(inside), "before", F.lit(0)))
+
+
 def conversations(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, position, parent_turn, quoted_turn, quoted_turns, n_quotes and text."""
     parsed = scratch.write(messages.select("conv_id", "turn", "role", "text").mapInArrow(_parse, PARSED).withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / TURNS)), "parsed")
@@ -90,16 +133,20 @@ def conversations(messages: DataFrame) -> DataFrame:
     linked = both.withColumn("source", F.max("said_turn").over(before)).filter("said_turn is null and source is not null")
     linked = linked.groupBy("conv", "turn", "level").agg(F.max("source").alias("source"))
     linked = linked.groupBy("conv", "turn").agg(F.min_by("source", "level").alias("quoted_turn"), F.sort_array(F.collect_list(F.struct("level", F.col("source").alias("turn")))).alias("quoted_turns"))
+    linked = scratch.write(linked, "linked")
 
     rows = parsed.withColumn("conv", conv)
     blocks = rows.groupBy("conv", "block").agg(F.count("*").alias("n"), F.max("turn").alias("last"))
     upto = W.partitionBy("conv").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.select("conv", "block", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("offset"), F.max("last").over(upto).alias("last_before"))
+    blocks = blocks.select("conv", "block", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("offset"), "n", F.max("last").over(upto).alias("last_before"))
     inside = W.partitionBy("conv", "block").orderBy("turn", "role", "own")
     earlier = W.partitionBy("conv", "block").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("position", F.row_number().over(inside) - 1).withColumn("previous", F.max("turn").over(earlier))
-    rows = rows.join(blocks, ["conv", "block"]).join(linked, ["conv", "turn"], "left")
-    return rows.select("conv_id", "turn", "role", (F.col("position") + F.col("offset")).alias("position"), F.coalesce("quoted_turn", "previous", "last_before").alias("parent_turn"), "quoted_turn", "quoted_turns", "n_quotes", F.col("own").alias("text"))
+    rows = rows.join(blocks.drop("n"), ["conv", "block"]).join(linked, ["conv", "turn"], "left")
+    rows = rows.withColumn("position", F.col("position") + F.col("offset")).withColumn("ordinary", F.coalesce("previous", "last_before")).drop("said", "quoted", "previous", "last_before", "offset")
+    if not linked.isEmpty():
+        rows = _by_replies(rows, blocks)
+    return rows.select("conv_id", "turn", "role", "position", F.coalesce("quoted_turn", "ordinary").alias("parent_turn"), "quoted_turn", "quoted_turns", "n_quotes", F.col("own").alias("text"))
 
 
 def op9_quoted_conversations(spark, sf_dir: str) -> DataFrame:

@@ -228,6 +228,29 @@ def test_nested_quotes_link(spark):
     assert got[4]["parent_turn"] == 1 and [tuple(x) for x in got[4]["quoted_turns"]] == [(2, 1), (3, 0)] and got[2]["quoted_turns"] is None
 
 
+def test_conversations_stand_in_reply_order(spark, monkeypatch):
+    """Against brute force, with interleaved threads, equal turns and many blocks."""
+    monkeypatch.setattr(quotes, "TURNS", 7)
+    rng = random.Random(4)
+    said, want = [], {}
+    for conv in (1, 2, 3):
+        parent = {}
+        for turn in range(40):
+            parent[turn] = rng.randrange(turn) if turn > 1 and rng.random() < 0.5 and conv < 3 else turn - 1
+            said.append((conv, turn, "a", f"> words of {conv} {parent[turn]}\nwords of {conv} {turn}" if parent[turn] < turn - 1 else f"words of {conv} {turn}"))
+            if turn % 9 == 8:
+                said.append((conv, turn, "b", "beside"))
+
+        def walk(turn):
+            return [turn] + [x for t in sorted(t for t, p in parent.items() if p == turn) for x in walk(t)]
+
+        order = [(t, role) for t in walk(0) for role in "ab" if role == "a" or t % 9 == 8]
+        want |= {(conv, *x): k for k, x in enumerate(order)}
+    rng.shuffle(said)
+    got = quotes.conversations(spark.createDataFrame(said, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r["conv_id"], r["turn"], r["role"]): r["position"] for r in got} == want
+
+
 def test_toxicity(spark, docs, none):
     rng = random.Random(3)
     train = [(i, text(rng, 30) + (" vile" * (i % 4 == 0)) + " end", "en", int(i % 4 == 0)) for i in range(400)]
