@@ -1,22 +1,23 @@
 """MinHash near-duplicates by an LSH forest.
 
 One Arrow pass hashes the 5-word shingles of whole texts: their distinct number, a 128-bit
-key of the set, and HASHES minima. Equal sets collapse to their least doc_id before
-anything else. Each tree sorts the classes by a rotation of the signature (range
-partitioned, so a hot region is split over tasks). Rows with a common prefix of BASE minima
-form a region: small regions give all their pairs; large ones are descended, one minimum
-deeper at a time, until they are small, and every row of a large region also meets its
-NEAR longest-common-prefix neighbours, which keeps groups of any size connected without
-all of their pairs. What stands on both sides of a partition border meets in a second step.
-
-Candidates whose sizes or signatures rule out the threshold go (the size test is exact; at
-similarity 0.75 the signature test loses fewer than one pair in 10,000, and TREES trees of
-depth BASE miss about as many). The rest are confirmed on full sets, each text being read
-once per block of related documents, and components come from star contraction.
-
-Defined cases: null, empty or blank texts have 0 shingles and link with nothing; null
-doc_ids are left out of groups and are their own (component null, kept true); repeated rows
-of a doc_id are copies of it; extra columns are ignored.
+key of the set, HASHES minima, and a sketch of SKETCH one-byte minima. Equal sets collapse to
+their least doc_id before anything else. Each tree sorts the classes by a rotation of the
+minima (range partitioned, so a hot region is split over tasks). Rows with a common prefix of
+BASE minima form a region. The depth at which a region's rows meet adapts to its size: up to
+REGION rows give all their pairs; in larger ones each row meets its NEAR longest-common-prefix
+neighbours, as deep as the order goes, and what is still apart after the links among those are
+confirmed meets in blocks (``_rounds``), whatever the region's size.
+
+Candidates whose sizes or sketches rule out the threshold go (the size test is exact; at
+similarity 0.75 the sketch test loses fewer than one pair in 100,000, and TREES trees of depth
+BASE miss about one in 7,000). The rest are confirmed on full sets, each text being read once
+per block of related documents, and components come from star contraction.
+
+Defined cases: null, empty or blank texts have 0 shingles and link with nothing; texts of any
+length are one row and one set; null doc_ids are left out of groups and are their own (component
+null, kept true); repeated rows of a doc_id are copies of it; ties go to the least doc_id; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,14 +38,16 @@ SHINGLE = 5
 PERCENT = 75
 #: A tree's order: BASE minima of 32 bits, then the low bytes of further ones, DEPTH in all.
 HASHES, TREES, BASE, DEPTH = 48, 16, 3, 24
-#: Rows of a region that give all pairs; neighbours of each row in larger ones.
-REGION, NEAR = 24, 4
-#: Equal minima of HASHES that a candidate needs: 0.75 less 4.5 standard deviations.
-AGREE = 22
-#: Forest rows in a task; documents confirmed together; texts of a large component in a block.
-FOREST_ROWS, BLOCK_DOCS = 100_000, 256
-#: Strays, all groups of a large component but its largest, meet its members in blocks of so many.
-STRAY_BLOCK, MEMBER_BLOCK = 64, 512
+#: Rows of a region that give all pairs; neighbours of each row, to either side, in larger ones.
+REGION, NEAR = 24, 2
+#: Bins of the sketch; a candidate agrees in 0.75 of the bins that either uses, less so many standard deviations.
+SKETCH, DEVIATIONS = 256, 4.5
+#: Forest rows in a task; documents, and their shingles, that are confirmed together.
+FOREST_ROWS, BLOCK_DOCS, BLOCK_SHINGLES = 100_000, 256, 400_000
+#: Sketches of either side that meet in a block; trees whose regions are handled before labels are renewed.
+MEET, TURNS = 2048, ((0, 1), (1, 4), (4, TREES))
+#: Parts of the join of a region's rows with its counts.
+SALT = 32
 _A = mix(np.arange(1, HASHES + 1, dtype=_U)) | _U(1)
 
 
@@ -69,32 +72,56 @@ def shingles(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
     return out, begin
 
 
-SIGNED = "doc_id long, n_shingles long, set_key binary, signature binary"
+SIGNED = "doc_id long, text_hash long, n_shingles long, set_key binary, signature binary, sketch binary"
 
 
 def sign(batches):
-    """SIGNED rows of documents."""
+    """SIGNED rows of documents (doc_id, text_hash, text)."""
     for batch in slices(batches):
         out, begin = shingles(Words(batch.column("text"), lower=True))
         some = np.flatnonzero(np.diff(begin))
         n = np.zeros(batch.num_rows, np.int64)
         keys: list = [None] * batch.num_rows
         signatures: list = [None] * batch.num_rows
+        sketches: list = [None] * batch.num_rows
         if len(some):
             minima = np.empty((len(some), HASHES), np.uint32)
             with np.errstate(over="ignore"):
                 for k in range(HASHES):
                     minima[:, k] = np.minimum.reduceat(out * _A[k], begin[some]) >> _U(32)
                 for row, i in enumerate(some):
-                    own = np.sort(out[begin[i] : begin[i + 1]])
-                    new = np.empty(len(own), bool)
-                    new[0] = True
-                    np.not_equal(own[1:], own[:-1], out=new[1:])
-                    own = own[new]
+                    own = distinct(out[begin[i] : begin[i + 1]])
                     n[i] = len(own)
                     keys[i] = np.array([np.sum(own), np.sum(mix(own ^ _U(0x5851F42D4C957F2D)))], _U).tobytes()
                     signatures[i] = minima[row].tobytes()
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "set_key", "signature"])
+                    sketches[i] = sketch(own).tobytes()
+        binary = [pa.array(x, pa.binary()) for x in (keys, signatures, sketches)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(n), *binary], ["doc_id", "text_hash", "n_shingles", "set_key", "signature", "sketch"])
+
+
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    own = np.sort(hashes)
+    new = np.ones(len(own), bool)
+    np.not_equal(own[1:], own[:-1], out=new[1:])
+    return own[new]
+
+
+def sketch(own: np.ndarray) -> np.ndarray:
+    """One-permutation minima of sorted distinct hashes: a byte for each bin, 0 where it is empty."""
+    bins = own >> _U(56)
+    first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]]))
+    out = np.zeros(SKETCH, np.uint8)
+    out[bins[first].astype(np.int64)] = own[first] % _U(255) + _U(1)
+    return out
+
+
+def _agree(equal: np.ndarray, used: np.ndarray) -> np.ndarray:
+    share = PERCENT / 100
+    return equal >= share * used - DEVIATIONS * np.sqrt(share * (1 - share) * used)
+
+
+def _matrix(sketches) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
 
 
 def _trees(batches):
@@ -114,38 +141,15 @@ def _trees(batches):
 
 def neighbours(common: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Candidate index pairs of sorted rows. common[i]: minima shared by rows i and i+1."""
-    left, right = [], []
-    rows = len(n)
-
-    def apart(limit: np.ndarray, begin: np.ndarray) -> None:
-        """Pairs (i, i + d) inside the runs [begin, limit)."""
-        for d in range(1, int((limit - begin).max(initial=1))):
-            begin, limit = begin[limit - begin > d], limit[limit - begin > d]
-            count = limit - begin - d
-            i = np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            left.append(i)
-            right.append(i + d)
-
     border = np.flatnonzero(np.concatenate([[True], common < BASE, [True]]))
     begin, end = border[:-1], border[1:]
-    for depth in range(BASE, DEPTH + 1):
-        small = (end - begin <= REGION) & (end - begin > 1)
-        apart(end[small], begin[small])
-        big = end - begin > REGION
-        if not big.any():
-            break
-        inside = np.zeros(rows + 1, np.int64)
-        np.add.at(inside, begin[big], 1)
-        np.add.at(inside, end[big], -1)
-        inside = np.cumsum(inside)[:rows] > 0
-        region = np.cumsum(np.concatenate([[0], common < depth]))
-        for d in range(1, NEAR + 1):
-            i = np.flatnonzero(inside[: rows - d])
-            i = i[region[i] == region[i + d]]
-            left.append(i)
-            right.append(i + d)
-        cut = np.flatnonzero(np.concatenate([[True], common <= depth, [True]]))
-        begin, end = (x[inside[cut[:-1]]] for x in (cut[:-1], cut[1:]))
+    reach = np.where(end - begin > REGION, NEAR + 1, end - begin)
+    left, right = [], []
+    for d in range(1, int(reach.max(initial=1))):
+        count = np.where(reach > d, end - begin - d, 0)
+        i = np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        left.append(i)
+        right.append(i + d)
     i = np.concatenate(left) if left else np.zeros(0, np.int64)
     j = np.concatenate(right) if right else np.zeros(0, np.int64)
     near = 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
@@ -160,64 +164,69 @@ def _prefixes(tree: np.ndarray, sig: list[bytes]) -> np.ndarray:
     return np.logical_and.accumulate(same, axis=1).sum(axis=1)
 
 
-CANDIDATES = "a long, b long, border int, tree int, sig binary, id long, n long"
+MET = "a long, b long, tree int, head binary, id long, n long"
 
 
 def _meet(batches):
-    """Pairs of a sorted partition, and its outermost rows for the border to either side."""
-    from pyspark import TaskContext
-
+    """Pairs of a sorted partition, and the rows of regions that are large or reach its ends."""
     table = pa.Table.from_batches(list(batches))  # about FOREST_ROWS narrow rows
     if not table.num_rows:
         return
     tree, n, ids = (table.column(c).to_numpy() for c in ("tree", "n", "id"))
     sig = table.column("sig").to_pylist()
-    i, j = neighbours(_prefixes(tree, sig), n)
+    common = _prefixes(tree, sig)
+    i, j = neighbours(common, n)
     ab = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]), axis=1)
-    at = TaskContext.get().partitionId()
-    yield _batch(a=ab[0], b=ab[1])
-    head, tail = table.slice(0, REGION), table.slice(max(0, table.num_rows - REGION))
-    for rows, border in ((head, at), (tail, at + 1)):
-        yield _batch(border=np.full(rows.num_rows, border), tree=rows.column("tree"), sig=rows.column("sig"), id=rows.column("id"), n=rows.column("n"))
-
-
-def _batch(**columns) -> pa.RecordBatch:
-    kinds = {"a": pa.int64(), "b": pa.int64(), "border": pa.int32(), "tree": pa.int32(), "sig": pa.binary(), "id": pa.int64(), "n": pa.int64()}
-    rows = len(next(iter(columns.values())))
-    arrays = []
-    for name, kind in kinds.items():
-        x = columns.get(name)
-        x = pa.nulls(rows, kind) if x is None else x.combine_chunks() if isinstance(x, pa.ChunkedArray) else pa.array(x).cast(kind)
-        arrays.append(x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x)
-    return pa.RecordBatch.from_arrays(arrays, list(kinds))
-
-
-def _across(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of the at most 2 * REGION rows beside one border."""
-    rows = rows.drop_duplicates(["tree", "id"]).sort_values(["tree", "sig", "id"])
-    i, j = neighbours(_prefixes(rows["tree"].to_numpy(), rows["sig"].tolist()), rows["n"].to_numpy())
-    ids = rows["id"].to_numpy()
-    return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
-
-
-def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of classes (doc_id, n_shingles, signature)."""
-    spark = classes.sparkSession
+    kinds = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tree", pa.int32()), ("head", pa.binary()), ("id", pa.int64()), ("n", pa.int64())])
+
+    def rows(**columns) -> pa.RecordBatch:
+        length = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(length, f.type) for f in kinds], schema=kinds)
+
+    yield rows(a=ab[0], b=ab[1])
+    border = np.flatnonzero(np.concatenate([[True], common < BASE, [True]]))
+    size = np.diff(border)
+    open_ = size > REGION
+    open_[[0, -1]] = True
+    at = np.flatnonzero(np.repeat(open_, size))
+    yield rows(tree=tree[at], head=[sig[k][: 4 * BASE] for k in at], id=ids[at], n=n[at])
+
+
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b), a < b, of classes whose sketches agree; and the rows (tree, unit,
+    id) of large regions, each region being a unit."""
     parts = max(1, -(-classes.count() * TREES // FOREST_ROWS))
     forest = classes.select("doc_id", "n_shingles", "signature").mapInArrow(_trees, "tree int, sig binary, id long, n long")
     forest = forest.repartitionByRange(parts, "tree", "sig", "id").sortWithinPartitions("tree", "sig", "id")
-    met = scratch.write(forest.mapInArrow(_meet, CANDIDATES), "forest")
-    across = met.filter("border is not null").groupBy("border").applyInPandas(_across, "a long, b long")
-    pairs = met.filter("a is not null").select("a", "b").union(across).filter("a < b").distinct()
-    signed = lambda x: classes.select(F.col("doc_id").alias(x), F.col("signature").alias(f"sig_{x}"))
-    return pairs.join(signed("a"), "a").join(signed("b"), "b").mapInArrow(_agreeing, "a long, b long")
+    met = scratch.write(forest.mapInArrow(_meet, MET), "forest")
+    rows = met.filter("tree is not null").select("tree", F.xxhash64("tree", "head").alias("unit"), "id", "n")
+    counts = scratch.write(rows.groupBy("unit").agg(F.count("*").alias("members")).filter("members > 1"), "units")
+    # regions cut by the partitioning: at most two for each partition
+    few = _salted(rows, counts.filter(F.col("members") <= REGION).select("unit"), "id").groupBy("unit").agg(F.collect_list(F.struct("id", "n")).alias("r"))
+    two = few.select(F.explode("r").alias("x"), "r").select("x", F.explode("r").alias("y")).filter("x.id < y.id")
+    two = two.filter(100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    pairs = met.filter("a is not null").select("a", "b").union(two).filter("a < b").distinct()
+    signed = lambda x: classes.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"sketch_{x}"))
+    pairs = scratch.write(pairs.join(signed("a"), "a").join(signed("b"), "b").mapInArrow(_agreeing, "a long, b long"), "pairs")
+    large = _salted(rows, counts.filter(F.col("members") > REGION).select("unit"), "id")
+    large = scratch.write(large.select("tree", "unit", "id"), "regions")
+    scratch.drop(met, counts)
+    return pairs, large
+
+
+def _salted(rows: DataFrame, counts: DataFrame, spread: str) -> DataFrame:
+    """Joins rows with one row per unit; the rows of a hot unit go to SALT tasks."""
+    counts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALT)).cast("int")).join(counts, ["unit", "salt"]).drop("salt")
 
 
 def _agreeing(batches):
     for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= AGREE))
+        for k in range(0, batch.num_rows, 4096):
+            part = batch.slice(k, 4096)
+            x, y = (_matrix(part.column(c).to_pylist()) for c in ("sketch_a", "sketch_b"))
+            ok = _agree(((x == y) & (x != 0)).sum(axis=1), ((x | y) != 0).sum(axis=1))
+            yield part.select(["a", "b"]).filter(pa.array(ok))
 
 
 def _confirm(rows: pd.DataFrame) -> pd.DataFrame:
@@ -225,7 +234,7 @@ def _confirm(rows: pd.DataFrame) -> pd.DataFrame:
     least document of each part that links join. Pairs already joined need no look."""
     rows = rows.reset_index(drop=True)
     out, begin = shingles(Words(pa.array(rows["text"], pa.large_string()), lower=True))
-    sets = [np.unique(out[begin[i] : begin[i + 1]]) for i in range(len(rows))]
+    sets = [distinct(out[begin[i] : begin[i + 1]]) for i in range(len(rows))]
     at: dict[int, list[int]] = {}
     for i, d in enumerate(rows["doc_id"]):
         at.setdefault(d, []).append(i)
@@ -264,20 +273,22 @@ class Stars:
 
 
 def _confirm_blocks(pairs: DataFrame, docs: DataFrame, blocks: int, many: bool = False) -> DataFrame:
-    """The links among pairs (a, b, component, members), each pair in one block.
+    """The links among pairs (a, b, component, parts), each pair in one block.
 
-    A small component is whole in its block, with others; a large one is dealt by hash of
-    a, and of b where its partners may be many, so no block grows with a group.
+    A component of one part is whole in its block, with others; a larger one is dealt by hash
+    of a, and of b where its partners may be many, so no block grows with a group.
     """
-    parts = F.ceil(F.col("members") / BLOCK_DOCS)
-    block = F.when(F.col("members") <= BLOCK_DOCS, F.pmod(F.xxhash64("component"), F.lit(blocks))).otherwise(
+    parts = F.col("parts")
+    block = F.when(parts <= 1, F.pmod(F.xxhash64("component"), F.lit(blocks))).otherwise(
         F.xxhash64("component", F.pmod(F.xxhash64("a"), parts), F.pmod(F.xxhash64("b"), parts) if many else F.lit(0)).bitwiseOR(F.lit(1 << 62)))
     placed = scratch.write(pairs.select("a", "b", block.alias("block")), "blocks")
     members = placed.groupBy("block", F.col("a").alias("doc_id")).agg(F.collect_list("b").alias("partners")).unionByName(
         placed.select("block", F.col("b").alias("doc_id"), F.lit(None).cast("array<long>").alias("partners")))
     members = members.groupBy("block", "doc_id").agg(F.first("partners", ignorenulls=True).alias("partners"))
     texts = docs.join(members, "doc_id").select("block", "doc_id", "partners", "text")
-    return scratch.write(texts.groupBy("block").applyInPandas(_confirm, "a long, b long"), "links")
+    out = scratch.write(texts.groupBy("block").applyInPandas(_confirm, "a long, b long"), "links")
+    scratch.drop(placed)
+    return out
 
 
 def _link(x: np.ndarray, y: np.ndarray) -> bool:
@@ -287,111 +298,192 @@ def _link(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
-def _stray_block(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links of a block's strays to members of other groups, on full sets; groups the block has
-    joined need no further look."""
-    rows = rows.reset_index(drop=True)
-    stray, member = np.flatnonzero(rows["stray"]), np.flatnonzero(~rows["stray"])
-    minima = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(-1, HASHES)
-    n, label, node = (rows[c].to_numpy() for c in ("n_shingles", "label", "node"))
-    sets: dict[int, np.ndarray] = {}
-
-    def full(i: int) -> np.ndarray:
-        if i not in sets:
-            sets[i] = np.unique(shingles(Words(pa.array([rows["text"][i]], pa.large_string()), lower=True))[0])
-        return sets[i]
-
-    found, stars = [], Stars()
-    for i in stray:
-        agree = (minima[member] == minima[i]).sum(axis=1)
-        ok = (agree >= AGREE) & (label[member] != label[i]) & (100 * np.minimum(n[member], n[i]) >= PERCENT * np.maximum(n[member], n[i]))
-        for j in member[ok][np.argsort(-agree[ok], kind="stable")]:
-            if not stars.joined(label[i], label[j]) and _link(full(i), full(j)):
-                stars.join(label[i], label[j])
-                found.append((min(node[i], node[j]), max(node[i], node[j])))
-    ab = np.array(sorted(found), np.int64).reshape(-1, 2)
-    return pd.DataFrame({"a": ab[:, 0], "b": ab[:, 1]})
-
-
-def _strays(graph: DataFrame, sizes: DataFrame, joined: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """Links between the groups that a large component has fallen into; None without such.
-
-    The signatures of all groups but the largest meet those of all members, in blocks of
-    both, and what agrees in AGREE minima is confirmed there. So every two groups of a
-    component meet, whatever their sizes: neighbours in the orders bind the bulk of a hot
-    region, and no link depends on having had the right neighbour.
+SURVIVORS = "unit long, i long, j long, si int, sj int, node long, stray boolean, label long"
+
+
+def _compare(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of a block's strays and members, those whose sketches agree with one of another label on
+    the other side, in smaller blocks of about BLOCK_SHINGLES a side."""
+    side = [rows[rows["stray"]].reset_index(drop=True), rows[~rows["stray"]].reset_index(drop=True)]
+    x, y = (_matrix(r["sketch"]) for r in side)
+    n, label, node = ([r[c].to_numpy() for r in side] for c in ("n", "label", "node"))
+    sub = [(np.cumsum(v) // BLOCK_SHINGLES).astype(np.int32) for v in n]
+    found = [np.zeros(0, np.int64)] * 2
+    if len(x) and len(y):
+        fx, fy = (x != 0).astype(np.float32), (y != 0).astype(np.float32)
+        used = fx.sum(1)[:, None] + fy.sum(1)[None] - fx @ fy.T
+        left, right = [], []
+        for k in range(len(x)):
+            far = (label[1] != label[0][k]) & (100 * np.minimum(n[1], n[0][k]) >= PERCENT * np.maximum(n[1], n[0][k]))
+            at = np.flatnonzero(far)
+            if len(at):
+                at = at[_agree(((y[at] == x[k]) & (x[k] != 0)).sum(axis=1), used[k, at])]
+                left.append(np.full(len(at), k))
+                right.append(at)
+        found = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right)]
+    out = []
+    for s in (0, 1):
+        own = found[s]
+        key = np.unique(np.stack([sub[0][found[0]], sub[1][found[1]], own]), axis=1) if len(own) else np.zeros((3, 0), np.int64)
+        out.append(pd.DataFrame({"si": key[0], "sj": key[1], "node": node[s][key[2]], "stray": s == 0, "label": label[s][key[2]]}))
+    out = pd.concat(out, ignore_index=True)
+    first = rows.iloc[0]
+    return out.assign(unit=first["unit"], i=first["i"], j=first["j"])[["unit", "i", "j", "si", "sj", "node", "stray", "label"]].astype({"unit": "int64", "i": "int64", "j": "int64", "si": "int32", "sj": "int32", "node": "int64", "stray": bool, "label": "int64"})
+
+
+def common_shingles(x: list[np.ndarray], y: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every set of x with every set of y, by products of the
+    0-1 matrices of the shingles that stand on both sides."""
+    h = [np.concatenate([np.zeros(0, _U), *v]) for v in (x, y)]
+    both = np.intersect1d(np.unique(h[0]), np.unique(h[1]), assume_unique=True)
+    out = np.zeros((len(x), len(y)), np.int64)
+    places = []
+    for v, all_ in zip((x, y), h):
+        owner = np.repeat(np.arange(len(v)), [len(s) for s in v])
+        at = np.searchsorted(both, all_)
+        ok = at < len(both)
+        ok[ok] = both[at[ok]] == all_[ok]
+        order = np.argsort(at[ok], kind="stable")
+        places.append((at[ok][order], owner[ok][order]))
+    for k in range(0, len(both), step):
+        m = []
+        for (at, owner), v in zip(places, (x, y)):
+            a, b = np.searchsorted(at, [k, k + step])
+            one = np.zeros((len(v), min(step, len(both) - k)), np.float32)
+            one[owner[a:b], at[a:b] - k] = 1
+            m.append(one)
+        out += (m[0] @ m[1].T).astype(np.int64)
+    return out
+
+
+def _verify(rows: pd.DataFrame) -> pd.DataFrame:
+    """Edges between the labels that links of a block's strays with its members join."""
+    side = [rows[rows["stray"]].reset_index(drop=True), rows[~rows["stray"]].reset_index(drop=True)]
+    sets = []
+    for r in side:
+        out, begin = shingles(Words(pa.array(r["text"], pa.large_string()), lower=True))
+        sets.append([distinct(out[begin[i] : begin[i + 1]]) for i in range(len(r))])
+    both = common_shingles(*sets)
+    n = [np.array([len(v) for v in s], np.int64) for s in sets]
+    i, j = np.nonzero(100 * both >= PERCENT * (n[0][:, None] + n[1][None] - both))
+    a, b = side[0]["label"].to_numpy()[i], side[1]["label"].to_numpy()[j]
+    stars = Stars()
+    for u, v in np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1).T.tolist():
+        if u != v and not stars.joined(u, v):
+            stars.join(u, v)
+    return stars.edges()
+
+
+def _rounds(regions: DataFrame, labels: DataFrame, links: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``labels`` after every two rows of a large region that carry different labels have met.
+
+    In each region the rows of all labels but the commonest, its strays, meet all rows, in
+    blocks of sketches that are dealt over tasks; only texts whose sketches agree with one of
+    another label are read, in blocks of bounded size. The first trees' regions come first, and
+    labels are renewed in between, so that what they join need not meet again.
     """
-    large = graph.join(sizes.filter(F.col("members") > REGION), "component")
-    labelled = scratch.write(large.join(joined.select("node", F.col("component").alias("own")), "node", "left").select("node", "component", "members", F.coalesce("own", "node").alias("label")), "large")
-    groups = labelled.groupBy("component", "members", "label").agg(F.count("*").alias("n"))
-    counts = groups.groupBy("component", "members").agg(F.max(F.struct("n", "label")).alias("main")).filter(F.col("main.n") < F.col("members"))
-    counts = scratch.write(counts.select("component", F.col("main.label").alias("main"), F.ceil((F.col("members") - F.col("main.n")) / STRAY_BLOCK).alias("stray_parts"), F.ceil(F.col("members") / MEMBER_BLOCK).alias("member_parts")), "groups")
-    if counts.isEmpty():
-        return None
-    rows = labelled.join(counts, "component")
-    rows = rows.join(classes.select(F.col("doc_id").alias("node"), "n_shingles", "signature"), "node").join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
-    columns = ("component", "node", "label", "n_shingles", "signature", "text")
-    to = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    stray = rows.filter("label != main").select(*columns, F.lit(True).alias("stray"), F.pmod(F.xxhash64("node"), F.col("stray_parts")).alias("i"), to("member_parts").alias("j"))
-    member = rows.select(*columns, F.lit(False).alias("stray"), to("stray_parts").alias("i"), F.pmod(F.xxhash64("node"), F.col("member_parts")).alias("j"))
-    return stray.unionByName(member).groupBy("component", "i", "j").applyInPandas(_stray_block, "a long, b long")
-
-
-def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, component) of the graph of those pairs that are links on full sets.
+    for low, high in TURNS:
+        rows = regions.filter((F.col("tree") >= low) & (F.col("tree") < high)).withColumnRenamed("id", "node")
+        rows = rows.join(labels.select("node", F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        rows = scratch.write(rows, "labelled")
+        per_label = rows.groupBy("unit", "label").agg(F.count("*").alias("n"))
+        counts = per_label.groupBy("unit").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("members")).filter(F.col("main.n") < F.col("members"))
+        counts = scratch.write(counts.select("unit", F.col("main.label").alias("main"), F.ceil((F.col("members") - F.col("main.n")) / MEET).alias("stray_parts"), F.ceil(F.col("members") / MEET).alias("member_parts")), "counts")
+        if counts.isEmpty():
+            scratch.drop(rows, counts)
+            continue
+        apart = _salted(rows, counts, "node").join(classes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch"), "node")
+        columns = ("unit", "node", "label", "n", "sketch")
+        to = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+        stray = apart.filter("label != main").select(*columns, F.lit(True).alias("stray"), F.pmod(F.xxhash64("node"), F.col("stray_parts")).alias("i"), to("member_parts").alias("j"))
+        member = apart.select(*columns, F.lit(False).alias("stray"), to("stray_parts").alias("i"), F.pmod(F.xxhash64("node"), F.col("member_parts")).alias("j"))
+        near = scratch.write(stray.unionByName(member).groupBy("unit", "i", "j").applyInPandas(_compare, SURVIVORS), "near")
+        block = ("unit", "i", "j", "si", "sj")
+        read_ = near.join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+        more = scratch.write(read_.groupBy(*block).applyInPandas(_verify, "a long, b long"), "links")
+        scratch.drop(rows, counts, near)
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = scratch.components(links, "a", "b")
+    return labels
+
+
+def confirm(pairs: DataFrame, regions: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, component) of the graph of those pairs, and pairs within regions, that are links
+    on full sets.
 
     Large candidate components first confirm two pairs of each document; then pairs that
-    are still unconnected, all of them, and then groups that are still apart, member by member.
+    are still unconnected, all of them, and then what is still apart in large regions.
     """
-    pairs = scratch.write(pairs, "pairs")
     graph = scratch.write(scratch.components(pairs, "a", "b"), "related")
+    wanted = graph.select(F.col("node").alias("doc_id")).union(regions.select("id")).distinct()
     # texts of candidates are read from the corpus once; sides of any size are shuffled
-    texts = scratch.write(docs.join(graph.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id"), "related-texts")
-    scratch.release(pairs.sparkSession)
-    sizes = graph.groupBy("component").agg(F.count("*").alias("members"))
-    blocks = max(1, graph.count() // BLOCK_DOCS)
-    placed = pairs.join(graph.select(F.col("node").alias("a"), "component"), "a").join(sizes, "component")
+    texts = scratch.write(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id"), "related-texts")
+    scratch.release(docs.sparkSession)
+    weight = graph.join(classes.select(F.col("doc_id").alias("node"), "n_shingles"), "node")
+    sizes = weight.groupBy("component").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
+    sizes = scratch.write(sizes.select("component", F.ceil(F.greatest(F.col("members") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).alias("parts"), "members", "shingles"), "sizes")
+    total = sizes.agg(F.sum("members"), F.sum("shingles")).first()
+    blocks = max(1, (total[0] or 0) // BLOCK_DOCS, (total[1] or 0) // BLOCK_SHINGLES)
+    placed = pairs.join(graph.select(F.col("node").alias("a"), "component"), "a").join(sizes.select("component", "parts"), "component")
     turn = F.row_number().over(W.partitionBy("b").orderBy(F.xxhash64("a", "b")))
-    placed = scratch.write(placed.withColumn("turn", F.when(F.col("members") > BLOCK_DOCS, turn).otherwise(0)), "placed")
+    placed = scratch.write(placed.withColumn("turn", F.when(F.col("parts") > 1, turn).otherwise(0)), "placed")
     links = _confirm_blocks(placed.filter("turn <= 2"), texts, blocks)
     joined = scratch.components(links, "a", "b")
-    if sizes.filter(F.col("members") > REGION).isEmpty():
-        return joined
-    joined = scratch.write(joined, "joined")
-    later = placed.filter("turn > 2")
-    for end in ("a", "b"):
-        later = later.join(joined.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
-    later = later.filter(~F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False)))
-    more = _confirm_blocks(later, texts, blocks, many=True)
-    if not more.isEmpty():
-        links = links.union(more)
-        joined = scratch.components(links, "a", "b")
-    between = _strays(graph, sizes, joined, classes, texts)
-    return joined if between is None else scratch.components(links.union(between), "a", "b")
+    if not placed.filter("turn > 2").isEmpty():
+        later = placed.filter("turn > 2")
+        for end in ("a", "b"):
+            later = later.join(joined.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+        later = later.filter(~F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False)))
+        more = _confirm_blocks(later, texts, blocks, many=True)
+        if not more.isEmpty():
+            links = links.union(more)
+            joined = scratch.components(links, "a", "b")
+    if not regions.isEmpty():
+        joined = _rounds(regions, scratch.write(joined, "joined"), links, classes, texts)
+    scratch.drop(graph, placed, sizes, texts)
+    return joined
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles, component_id, kept and text_hash of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     signed = scratch.write(docs.mapInArrow(sign, SIGNED), "signed")
-    classes = signed.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("c"))
+    classes = signed.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "signature", "sketch")).alias("c"))
     classes = scratch.write(classes.select("set_key", "c.*"), "classes")
-    pairs = candidates(classes)
-    joined = confirm(pairs, docs, classes)
+    pairs, regions = candidates(classes)
+    joined = confirm(pairs, regions, docs, classes)
     labels = classes.join(joined, classes.doc_id == joined.node, "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id"))
+    scratch.drop(pairs, regions)
     scratch.release(spark)
-    out = signed.select("doc_id", "n_shingles", "set_key").join(labels, "set_key", "left")
+    out = signed.select("doc_id", "n_shingles", "set_key", "text_hash").join(labels, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")
 
 
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text")).drop("text_hash")
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: its least doc_id, once."""
+    """One document of each group stays: the row of its least doc_id, once.
+
+    Repeated rows of that doc_id with texts of the group leave one, the least text; rows with
+    null doc_id, and documents without words, stay as they are unless their doc_id repeats
+    their text. Extra columns stay; an empty table stays empty.
+    """
     found = near_duplicates(docs)
-    stay = found.filter("kept").select(F.col("doc_id").alias("stay_id")).distinct()
-    return docs.join(stay, docs.doc_id.eqNullSafe(F.col("stay_id")), "left_semi")
+    stay = found.filter("kept").groupBy("doc_id", "component_id", "n_shingles", "text_hash").agg(F.count("*").alias("copies"))
+    stay = scratch.write(stay.select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash"), F.struct("component_id", (F.col("n_shingles") > 0).alias("some")).alias("stay_group"), "copies"), "stay")
+    per_id = F.count("*").over(W.partitionBy("stay_id")) > 1
+    again = stay.filter("stay_id is not null").withColumn("several", per_id | (F.col("copies") > 1)).filter("several").select(F.col("stay_id").alias("again_id")).distinct()
+    kept = docs.join(stay.select("stay_id", "stay_hash"), docs.doc_id.cast("long").eqNullSafe(F.col("stay_id")) & F.xxhash64(docs.text).eqNullSafe(F.col("stay_hash")), "left_semi")
+    if again.isEmpty():
+        return kept
+    # repeated doc_ids only: one row for each of them and each group
+    again = F.broadcast(again) if again.count() <= 10_000 else again
+    one = kept.join(again, kept.doc_id == F.col("again_id")).drop("again_id")
+    one = one.join(stay.select("stay_id", "stay_hash", "stay_group"), (one.doc_id == F.col("stay_id")) & F.xxhash64(one.text).eqNullSafe(F.col("stay_hash")))
+    one = one.withColumn("stay_turn", F.row_number().over(W.partitionBy("stay_id", "stay_group").orderBy("text"))).filter("stay_turn = 1")
+    return kept.join(again, kept.doc_id == F.col("again_id"), "left_anti").unionByName(one.drop("stay_id", "stay_hash", "stay_group", "stay_turn"))

@@ -74,7 +74,63 @@ def test_neighbours_of_a_large_region_stay_connected():
 
     common = np.full(999, minhash.DEPTH)
     i, j = minhash.neighbours(common, np.full(1000, 50))
-    assert len(i) < 1000 * minhash.NEAR * minhash.DEPTH and set(np.concatenate([i, j]).tolist()) == set(range(1000))
+    assert len(i) <= 1000 * minhash.NEAR and set(np.concatenate([i, j]).tolist()) == set(range(1000))
+
+
+def test_sketches_agree_at_the_threshold():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for size in (8, 100, 3000):
+        lost = 0
+        for _ in range(300):
+            h = words.mix(rng.integers(1, 1 << 62, 2 * size).astype(np.uint64))
+            shared = -(-6 * size // 7)  # similarity of at least 0.75
+            x, y = (minhash.sketch(minhash.distinct(v)) for v in (h[:size], np.concatenate([h[:shared], h[size : 2 * size - shared]])))
+            lost += not minhash._agree(((x == y) & (x != 0)).sum(), ((x | y) != 0).sum())
+        assert lost == 0
+
+
+def test_common_shingles():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x, y = ([np.unique(rng.integers(0, 400, n).astype(np.uint64)) for n in sizes] for sizes in ((0, 5, 300), (1, 50, 200, 0)))
+    want = [[len(np.intersect1d(a, b)) for b in y] for a in x]
+    assert minhash.common_shingles(x, y, step=64).tolist() == want
+
+
+def families(count, size, seed=0):
+    """Families of two clusters of near copies; only the two bases link them."""
+    rng = random.Random(seed)
+    out = {}
+    for f in range(count):
+        bases = [[f"f{f}w{i}" for i in range(240)], [f"f{f}w{i}" if i < 209 else f"f{f}v{i}" for i in range(240)]]
+        for g, base in enumerate(bases):
+            at = rng.randrange(size)
+            for k in range(size):
+                copy = list(base)
+                if k != at:
+                    copy[rng.randrange(5, 200)] = f"x{f}g{g}k{k}"
+                out[(f * 2 + g) * size + k] = copy
+    return out
+
+
+def test_families_joined_by_one_link(spark):
+    texts = families(24, 40)
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert got == {d: d // 80 * 80 for d in texts}
+
+
+def test_small_blocks_find_the_same(spark, monkeypatch):
+    """A few rows and shingles a block, and regions cut by many partitions."""
+    for name, value in (("MEET", 16), ("BLOCK_SHINGLES", 2000), ("BLOCK_DOCS", 8), ("FOREST_ROWS", 500)):
+        monkeypatch.setattr(minhash, name, value)
+    texts = families(2, 40, seed=1)
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert got == {d: d // 80 * 80 for d in texts}
 
 
 def test_large_groups_of_a_component_meet(spark):
@@ -97,10 +153,21 @@ def test_large_groups_of_a_component_meet(spark):
         return 100 * len(x & y) >= 75 * len(x | y)
 
     assert link(0, 100) and all(link(100 * g, 100 * g + k) for g in (0, 1) for k in range(1, 15)) and not any(link(a, b) for a in range(15) for b in range(100, 115) if a or b > 100)
-    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
+    docs = spark.createDataFrame([(d, 0, " ".join(w)) for d, w in texts.items()], "doc_id long, text_hash long, text string")
     classes = docs.mapInArrow(minhash.sign, minhash.SIGNED)
     pairs = spark.createDataFrame([(100 * g, 100 * g + k) for g in (0, 1) for k in range(1, 15)] + [(1, 101)], "a long, b long")
-    assert {r["component"] for r in minhash.confirm(pairs, docs, classes).collect()} == {0}
+    regions = spark.createDataFrame([(5, 1, d) for d in texts], "tree int, unit long, id long")
+    assert {r["component"] for r in minhash.confirm(pairs, regions, docs, classes).collect()} == {0}
+
+
+def test_dedup_stage(spark, docs, none, rows):
+    got = minhash.dedup_stage(spark, docs, "").collect()
+    assert docs.columns == list(got[0].asDict()) and minhash.dedup_stage(spark, none, "").count() == 0
+    found = Counter(r["doc_id"] for r in minhash.near_duplicates(docs).collect() if r["kept"])
+    assert Counter(r["doc_id"] for r in got) == Counter(found.keys()) and None in found
+    again = [(1, "a b c d e f", "en"), (1, "a b c d e f", "en"), (1, "other words stand here now", "en"), (2, "a b c d e f", "fr"), (3, None, "x"), (None, None, None), (None, None, None)]
+    got = minhash.dedup_stage(spark, spark.createDataFrame(again, "doc_id long, text string, lang string"), "").collect()
+    assert sorted(map(str, (r["doc_id"] for r in got))) == ["1", "3", "None", "None"]
 
 
 def test_repeats(docs, none, rows):
