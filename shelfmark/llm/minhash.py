@@ -42,10 +42,10 @@ HASHES, TREES, BASE, DEPTH = 48, 16, 3, 24
 REGION, NEAR = 24, 2
 #: Bins of the sketch; a candidate agrees in 0.75 of the bins that either uses, less so many standard deviations.
 SKETCH, DEVIATIONS = 256, 4.5
-#: Forest rows in a task; documents, and their shingles, that are confirmed together.
-FOREST_ROWS, BLOCK_DOCS, BLOCK_SHINGLES = 100_000, 256, 400_000
+#: Forest rows in a task; documents, and their shingles, that are confirmed together, about.
+FOREST_ROWS, BLOCK_DOCS, BLOCK_SHINGLES = 100_000, 1024, 400_000
 #: Sketches of either side that meet in a block; trees whose regions are handled before labels are renewed.
-MEET, TURNS = 2048, ((0, 1), (1, 4), (4, TREES))
+MEET, TURNS = 1024, ((0, 2), (2, TREES))
 #: Parts of the join of a region's rows with its counts.
 SALT = 32
 _A = mix(np.arange(1, HASHES + 1, dtype=_U)) | _U(1)
@@ -164,11 +164,14 @@ def _prefixes(tree: np.ndarray, sig: list[bytes]) -> np.ndarray:
     return np.logical_and.accumulate(same, axis=1).sum(axis=1)
 
 
-MET = "a long, b long, tree int, head binary, id long, n long"
+MET = "a long, b long, block long, tree int, head binary, id long, n long"
 
 
 def _meet(batches):
-    """Pairs of a sorted partition, and the rows of regions that are large or reach its ends."""
+    """Pairs of a sorted partition, each with a block of neighbouring rows, and the rows of
+    regions that are large or reach its ends."""
+    from pyspark import TaskContext
+
     table = pa.Table.from_batches(list(batches))  # about FOREST_ROWS narrow rows
     if not table.num_rows:
         return
@@ -176,14 +179,14 @@ def _meet(batches):
     sig = table.column("sig").to_pylist()
     common = _prefixes(tree, sig)
     i, j = neighbours(common, n)
-    ab = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]), axis=1)
-    kinds = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tree", pa.int32()), ("head", pa.binary()), ("id", pa.int64()), ("n", pa.int64())])
+    block = np.arange(len(n)) // BLOCK_DOCS + np.cumsum(n) // BLOCK_SHINGLES + (TaskContext.get().partitionId() << 32)
+    kinds = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("block", pa.int64()), ("tree", pa.int32()), ("head", pa.binary()), ("id", pa.int64()), ("n", pa.int64())])
 
     def rows(**columns) -> pa.RecordBatch:
         length = len(next(iter(columns.values())))
         return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(length, f.type) for f in kinds], schema=kinds)
 
-    yield rows(a=ab[0], b=ab[1])
+    yield rows(a=np.minimum(ids[i], ids[j]), b=np.maximum(ids[i], ids[j]), block=block[i])
     border = np.flatnonzero(np.concatenate([[True], common < BASE, [True]]))
     size = np.diff(border)
     open_ = size > REGION
@@ -193,8 +196,8 @@ def _meet(batches):
 
 
 def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a, b), a < b, of classes whose sketches agree; and the rows (tree, unit,
-    id) of large regions, each region being a unit."""
+    """Distinct pairs (a, b, block), a < b, of classes whose sketches agree; and the rows (tree,
+    unit, id) of large regions, each region being a unit."""
     parts = max(1, -(-classes.count() * TREES // FOREST_ROWS))
     forest = classes.select("doc_id", "n_shingles", "signature").mapInArrow(_trees, "tree int, sig binary, id long, n long")
     forest = forest.repartitionByRange(parts, "tree", "sig", "id").sortWithinPartitions("tree", "sig", "id")
@@ -203,11 +206,12 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     counts = scratch.write(rows.groupBy("unit").agg(F.count("*").alias("members")).filter("members > 1"), "units")
     # regions cut by the partitioning: at most two for each partition
     few = _salted(rows, counts.filter(F.col("members") <= REGION).select("unit"), "id").groupBy("unit").agg(F.collect_list(F.struct("id", "n")).alias("r"))
-    two = few.select(F.explode("r").alias("x"), "r").select("x", F.explode("r").alias("y")).filter("x.id < y.id")
-    two = two.filter(100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    pairs = met.filter("a is not null").select("a", "b").union(two).filter("a < b").distinct()
+    two = few.select("unit", F.explode("r").alias("x"), "r").select("unit", "x", F.explode("r").alias("y")).filter("x.id < y.id")
+    two = two.filter(100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("unit").bitwiseOR(F.lit(1 << 62)).alias("block"))
+    # tasks hold the trees in their order, so the least block is one of the first tree
+    pairs = met.filter("a is not null").select("a", "b", "block").union(two).filter("a < b").groupBy("a", "b").agg(F.min("block").alias("block"))
     signed = lambda x: classes.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"sketch_{x}"))
-    pairs = scratch.write(pairs.join(signed("a"), "a").join(signed("b"), "b").mapInArrow(_agreeing, "a long, b long"), "pairs")
+    pairs = scratch.write(pairs.join(signed("a"), "a").join(signed("b"), "b").mapInArrow(_agreeing, "a long, b long, block long"), "pairs")
     large = _salted(rows, counts.filter(F.col("members") > REGION).select("unit"), "id")
     large = scratch.write(large.select("tree", "unit", "id"), "regions")
     scratch.drop(met, counts)
@@ -226,7 +230,7 @@ def _agreeing(batches):
             part = batch.slice(k, 4096)
             x, y = (_matrix(part.column(c).to_pylist()) for c in ("sketch_a", "sketch_b"))
             ok = _agree(((x == y) & (x != 0)).sum(axis=1), ((x | y) != 0).sum(axis=1))
-            yield part.select(["a", "b"]).filter(pa.array(ok))
+            yield part.select(["a", "b", "block"]).filter(pa.array(ok))
 
 
 def _confirm(rows: pd.DataFrame) -> pd.DataFrame:
@@ -272,23 +276,13 @@ class Stars:
         return pd.DataFrame({"a": ab[:, 0], "b": ab[:, 1]})
 
 
-def _confirm_blocks(pairs: DataFrame, docs: DataFrame, blocks: int, many: bool = False) -> DataFrame:
-    """The links among pairs (a, b, component, parts), each pair in one block.
-
-    A component of one part is whole in its block, with others; a larger one is dealt by hash
-    of a, and of b where its partners may be many, so no block grows with a group.
-    """
-    parts = F.col("parts")
-    block = F.when(parts <= 1, F.pmod(F.xxhash64("component"), F.lit(blocks))).otherwise(
-        F.xxhash64("component", F.pmod(F.xxhash64("a"), parts), F.pmod(F.xxhash64("b"), parts) if many else F.lit(0)).bitwiseOR(F.lit(1 << 62)))
-    placed = scratch.write(pairs.select("a", "b", block.alias("block")), "blocks")
-    members = placed.groupBy("block", F.col("a").alias("doc_id")).agg(F.collect_list("b").alias("partners")).unionByName(
-        placed.select("block", F.col("b").alias("doc_id"), F.lit(None).cast("array<long>").alias("partners")))
+def _confirm_blocks(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links among pairs (a, b, block) as (a, b), each block's documents being read once for it."""
+    members = pairs.groupBy("block", F.col("a").alias("doc_id")).agg(F.collect_list("b").alias("partners")).unionByName(
+        pairs.select("block", F.col("b").alias("doc_id"), F.lit(None).cast("array<long>").alias("partners")))
     members = members.groupBy("block", "doc_id").agg(F.first("partners", ignorenulls=True).alias("partners"))
-    texts = docs.join(members, "doc_id").select("block", "doc_id", "partners", "text")
-    out = scratch.write(texts.groupBy("block").applyInPandas(_confirm, "a long, b long"), "links")
-    scratch.drop(placed)
-    return out
+    read_ = texts.join(members, "doc_id").select("block", "doc_id", "partners", "text")
+    return scratch.write(read_.groupBy("block").applyInPandas(_confirm, "a long, b long"), "links")
 
 
 def _link(x: np.ndarray, y: np.ndarray) -> bool:
@@ -374,7 +368,7 @@ def _verify(rows: pd.DataFrame) -> pd.DataFrame:
     return stars.edges()
 
 
-def _rounds(regions: DataFrame, labels: DataFrame, links: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+def _rounds(regions: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """``labels`` after every two rows of a large region that carry different labels have met.
 
     In each region the rows of all labels but the commonest, its strays, meet all rows, in
@@ -403,46 +397,27 @@ def _rounds(regions: DataFrame, labels: DataFrame, links: DataFrame, classes: Da
         more = scratch.write(read_.groupBy(*block).applyInPandas(_verify, "a long, b long"), "links")
         scratch.drop(rows, counts, near)
         if not more.isEmpty():
-            links = links.union(more)
-            labels = scratch.components(links, "a", "b")
+            new = scratch.components(more, "a", "b").select(F.col("node").alias("label"), F.col("component").alias("renewed"))
+            old = labels.withColumnRenamed("component", "label").join(new, "label", "full_outer")
+            # a label that no link had named yet is a row of its own
+            renewed = old.select(F.coalesce("node", "label").alias("node"), F.coalesce("renewed", "label").alias("component"))
+            labels = scratch.write(renewed, "labels")
     return labels
 
 
 def confirm(pairs: DataFrame, regions: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, component) of the graph of those pairs, and pairs within regions, that are links
-    on full sets.
-
-    Large candidate components first confirm two pairs of each document; then pairs that
-    are still unconnected, all of them, and then what is still apart in large regions.
-    """
-    graph = scratch.write(scratch.components(pairs, "a", "b"), "related")
-    wanted = graph.select(F.col("node").alias("doc_id")).union(regions.select("id")).distinct()
+    on full sets."""
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(regions.select("id")).distinct()
     # texts of candidates are read from the corpus once; sides of any size are shuffled
     texts = scratch.write(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id"), "related-texts")
     scratch.release(docs.sparkSession)
-    weight = graph.join(classes.select(F.col("doc_id").alias("node"), "n_shingles"), "node")
-    sizes = weight.groupBy("component").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
-    sizes = scratch.write(sizes.select("component", F.ceil(F.greatest(F.col("members") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).alias("parts"), "members", "shingles"), "sizes")
-    total = sizes.agg(F.sum("members"), F.sum("shingles")).first()
-    blocks = max(1, (total[0] or 0) // BLOCK_DOCS, (total[1] or 0) // BLOCK_SHINGLES)
-    placed = pairs.join(graph.select(F.col("node").alias("a"), "component"), "a").join(sizes.select("component", "parts"), "component")
-    turn = F.row_number().over(W.partitionBy("b").orderBy(F.xxhash64("a", "b")))
-    placed = scratch.write(placed.withColumn("turn", F.when(F.col("parts") > 1, turn).otherwise(0)), "placed")
-    links = _confirm_blocks(placed.filter("turn <= 2"), texts, blocks)
-    joined = scratch.components(links, "a", "b")
-    if not placed.filter("turn > 2").isEmpty():
-        later = placed.filter("turn > 2")
-        for end in ("a", "b"):
-            later = later.join(joined.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
-        later = later.filter(~F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False)))
-        more = _confirm_blocks(later, texts, blocks, many=True)
-        if not more.isEmpty():
-            links = links.union(more)
-            joined = scratch.components(links, "a", "b")
+    links = _confirm_blocks(pairs, texts)
+    labels = scratch.components(links, "a", "b")
     if not regions.isEmpty():
-        joined = _rounds(regions, scratch.write(joined, "joined"), links, classes, texts)
-    scratch.drop(graph, placed, sizes, texts)
-    return joined
+        labels = _rounds(regions, scratch.write(labels, "labels"), classes, texts)
+    scratch.drop(links, texts)
+    return labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

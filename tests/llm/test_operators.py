@@ -155,7 +155,7 @@ def test_large_groups_of_a_component_meet(spark):
     assert link(0, 100) and all(link(100 * g, 100 * g + k) for g in (0, 1) for k in range(1, 15)) and not any(link(a, b) for a in range(15) for b in range(100, 115) if a or b > 100)
     docs = spark.createDataFrame([(d, 0, " ".join(w)) for d, w in texts.items()], "doc_id long, text_hash long, text string")
     classes = docs.mapInArrow(minhash.sign, minhash.SIGNED)
-    pairs = spark.createDataFrame([(100 * g, 100 * g + k) for g in (0, 1) for k in range(1, 15)] + [(1, 101)], "a long, b long")
+    pairs = spark.createDataFrame([(100 * g, 100 * g + k, g) for g in (0, 1) for k in range(1, 15)] + [(1, 101, 3)], "a long, b long, block long")
     regions = spark.createDataFrame([(5, 1, d) for d in texts], "tree int, unit long, id long")
     assert {r["component"] for r in minhash.confirm(pairs, regions, docs, classes).collect()} == {0}
 
@@ -185,16 +185,90 @@ def test_repeats(docs, none, rows):
     assert sorted((str(r["doc_id"]), *tuple(r)[1:]) for r in got) == sorted(want)
 
 
+def by_source(got, docs):
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    out = {}
+    for r in got:
+        x = out.setdefault(source[r["doc_id"]], [r["source_size"], r["target"], 0, 0])
+        x[2] += r["taken"]
+        x[3] += r["size"]
+    return out
+
+
 def test_mixing(docs, none, rows):
     got = mixing.mix(docs, block=8).collect()
     assert mixing.mix(none).count() == 0 and len(got) == len(rows)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(5), block=8).collect()))
     assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
-    by = Counter()
+    assert Counter((str(r["doc_id"]), r["size"]) for r in got) == Counter((str(i), len(split(t))) for i, t, *_ in rows)
+    for size, target, taken, words_ in by_source(got, docs).values():
+        assert abs(taken - target) <= 0.5 and target <= 2 * size and size == words_
+
+
+def water_fill(sizes, weights, share, cap):
+    """Targets by brute force: fill, cut at the cap, share the rest again."""
+    target, full, left = [0.0] * len(sizes), set(), share * sum(sizes)
+    while left > 1e-9 and len(full) < len(sizes):
+        open_ = [i for i in range(len(sizes)) if i not in full]
+        unit = left / sum(weights[i % len(weights)] for i in open_)
+        over = [i for i in open_ if weights[i % len(weights)] * unit >= cap * sizes[i]]
+        if not over:
+            for i in open_:
+                target[i] = weights[i % len(weights)] * unit
+            break
+        for i in over:
+            target[i] = cap * sizes[i]
+            left -= target[i]
+            full.add(i)
+    return target
+
+
+def test_mix_targets_and_small_sources(spark):
+    rng = random.Random(8)
+    sizes = [20] * 150 + [rng.choice((0, 1, 7, 500, 3000)) for _ in range(30)]
+    docs = spark.createDataFrame([(i * 10 + k, text(rng, n // 2 if k else n - n // 2), "", f"s{i:03}") for i, n in enumerate(sizes) for k in (0, 1)], "doc_id long, text string, lang string, source string")
+    got = mixing.mix(docs).collect()
+    want = water_fill(sizes, (3, 1, 2), 1.5, 2)
+    for source, (size, target, taken, words_) in by_source(got, docs).items():
+        i = int(source[1:])
+        assert size == sizes[i] == words_ and abs(target - want[i]) < 1e-6 and abs(taken - target) <= 0.5
+    assert all(r["taken"] <= 2 * r["size"] for r in got)
+
+
+def test_permutations_are_bijections(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 2, 3, 7, 97, 1000, 4097):
+        got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit("key"), F.lit(n))).collect()]
+        assert sorted(got) == list(range(n)) and (n < 90 or sum(a == b for a, b in enumerate(got)) < 12)
+
+
+def test_draws_are_multinomial(spark):
+    sources = spark.createDataFrame([(0, 60_000), (1, 30_000), (2, 10_000), (3, 0)], "rank int, slots long")
+    got = mixing.drawn_counts(sources, 100_000, seed=3).collect()
+    per_shard = Counter()
     for r in got:
-        by[r["source_size"], r["target"]] += r["taken"]
-    for (size, target), taken in by.items():
-        assert abs(taken - target) <= 0.15 * max(target, 1) + 24 and target <= 2 * size
+        per_shard[r["shard"]] += r["count"]
+    assert sum(per_shard.values()) == 100_000 and set(r["rank"] for r in got) == {0, 1, 2}
+    counts = [r["count"] for r in got if r["rank"] == 1 and per_shard[r["shard"]] == 1024]
+    mean = sum(counts) / len(counts)
+    spread = sum((c - mean) ** 2 for c in counts) / (len(counts) - 1)
+    assert abs(mean - 307.2) < 6 and 120 < spread < 330  # a binomial's is 215, a stratified draw's below 1
+
+
+def test_slots_visit_each_block_once_a_pass(spark):
+    sources = mixing.needed_slots(spark.createDataFrame([(0, 1000, 1700.4), (1, 130, 65.0), (2, 20, 33.3), (3, 0, 0.0)], "rank int, source_size long, target double"), 64)
+    slots = [tuple(r) for r in mixing.filled_slots(sources, 64).select("rank", "k", "index", "words", "shard").collect()]
+    assert sorted(k for r, k, *_ in slots if r == 0) == list(range(16 + 11)) and len({i for r, k, i, *_ in slots if r == 0 and k < 16}) == 16
+    assert len({i for r, k, i, *_ in slots if r == 0 and k >= 16}) == 11 and all(s is not None and s >= 0 for *_, s in slots)
+    assert {(i, w) for r, _, i, w, _ in slots if r == 2} == {(0, 64), (0, 13)} and not [1 for r, *_ in slots if r == 3]
+
+
+def test_mix_stage(spark, docs, none):
+    got = mixing.mix_stage(spark, docs, "")
+    assert got.columns == docs.columns and mixing.mix_stage(spark, none, "").count() == 0
+    times = Counter(r["doc_id"] for r in got.collect())
+    assert max(times.values()) <= 4 and times[0] == 1 and times[22] == 1
 
 
 def test_sharding(docs, none, rows):
@@ -203,6 +277,39 @@ def test_sharding(docs, none, rows):
     for s in {r["shard"] for r in got}:
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
     assert {r["size"] for r in got if r["doc_id"] == 22} == {8}
+    import zlib
+
+    want = Counter((str(i), len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
+    assert Counter((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == want
+
+
+def test_equal_texts_stay_in_one_shard(spark):
+    """Groups of up to nine tenths of a shard, and one of three shards."""
+    rng = random.Random(9)
+    out, n = [], 0
+    groups = {f"g{k}": k for k in (5, 40, 90, 150, 200, 260, 290, 350)}
+    for name, copies in groups.items():
+        out += [(n + i, (name + "x" * 100)[:100], "en", rng.choice("ab")) for i in range(copies)]
+        n += copies
+    out += [(n + i, "huge" + "y" * 96, "en", rng.choice("ab")) for i in range(1250)]
+    n += 1250
+    out += [(n + i, f"{i}" + "z" * rng.randrange(120), rng.choice(("en", "fr")), rng.choice("ab")) for i in range(4000)]
+    docs = spark.createDataFrame(out, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in sharding.shard(docs, shards=16).collect()}
+    assert len(got) == len(out)
+    sizes = Counter()
+    for r in got.values():
+        sizes[r["shard"]] += r["size"]
+    assert set(sizes) == set(range(16)) and max(sizes.values()) < 1.06 * min(sizes.values())
+    shards = {}
+    for i, t, *_ in out:
+        shards.setdefault(t, set()).add(got[i]["shard"])
+    assert all(len(v) == 1 for t, v in shards.items() if t[0] != "h") and 3 <= len(shards["huge" + "y" * 96]) <= 8
+
+
+def test_shard_stage(spark, docs, none):
+    assert mixing.mix_stage(spark, docs, "").columns == docs.columns and sharding.shard_stage(spark, none, "").count() == 0
+    assert sharding.shard_stage(spark, docs, "").count() == docs.count()
 
 
 def test_sharding_is_even(spark):
@@ -238,6 +345,84 @@ def test_contamination(spark, docs, none):
     assert contamination.matches(none, bench).count() == 0 and contamination.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_url_model_on_held_out_stems():
+    rows = urls.labelled()
+    stem = [i // len(urls.HOSTS) for i in range(len(rows))]
+    right = []
+    for part in range(5):
+        b, w = urls.train(tuple(r for r, s in zip(rows, stem) if s % 5 != part))
+        right += [(b + sum(w[g] for g in urls.grams(h, p)) > 0) == bool(y) for (h, p, y), s in zip(rows, stem) if s % 5 == part]
+    assert sum(right) / len(right) > 0.8
+
+
+def test_urls_defined_cases(spark):
+    pages = spark.createDataFrame([(1, "http://a.info/" + "x" * 50_000, "h", "v"), (1, "http://a.info/" + "x" * 50_000, None, None)], "page_id long, url string, host string, verdict string")
+    got = urls.classify(pages).collect()
+    assert len(got) == 2 and got[0] == got[1] and got[0]["host"] == "a.info" and len(got[0]["path"]) == 50_001
+    assert urls.classify(pages.limit(0)).count() == 0
+
+
+def fewest_edits(item, doc):
+    """Sellers: edits of the best place of item in doc."""
+    row = [0] * (len(doc) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, x in enumerate(doc, 1):
+            new.append(min(row[j - 1] + (c != x), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_contamination_against_edit_distance(seed):
+    """Every document and item, edited around the budget, in repetitive and varied alphabets."""
+    rng = random.Random(seed)
+    letters = "ab" if seed % 2 else "abcdefghijklmnopqrstuvwxyz "
+    items = ["".join(rng.choice(letters) for _ in range(rng.choice((12, 40, 90, 160)))) for _ in range(4)] + ["a" * 70]
+    docs = ["", "a" * 300, "b" * 50]
+    for _ in range(14):
+        it = list(rng.choice(items))
+        for _ in range(rng.randrange(0, contamination.budget(len(it)) + 3)):
+            at = rng.randrange(len(it))
+            it[at : at + rng.choice((0, 1))] = rng.choice(("", rng.choice(letters), "xy"))
+        pad = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(60)))
+        docs.append(pad() + "".join(it) + pad())
+    docs = [contamination.normal(d) for d in docs]
+    index = contamination.Index(list(enumerate(items)))
+    got = {k: v[0] for k, v in contamination.places(index, docs).items()}
+    want = {}
+    for d, doc in enumerate(docs):
+        for i, (_, item) in enumerate(index.items):
+            e = fewest_edits(item, doc)
+            if e <= contamination.budget(len(item)):
+                want[d, i] = e
+    assert got == want and want
+
+
+def test_contamination_of_a_long_repetitive_text():
+    """A 2 MB text of one letter against an item of it: memory follows the text."""
+    import resource
+
+    index = contamination.Index([(1, "a" * 600), (2, "ab" * 300)])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got = contamination.places(index, ["a" * (2 << 20)])
+    assert got == {(0, 0): (0, 0, 600)}
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20
+
+
+def test_contamination_in_slices_and_stage(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(contamination, "SLICE", 300)
+    rng = random.Random(4)
+    items = ["".join(rng.choice("abcdefghijk ") for _ in range(100)).strip() for _ in range(6)]
+    spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(9, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(1, "x " + items[0], 1), (1, "clean text", 2), (None, items[3], 3), (None, None, 4), (2, "", 5), (3, items[5].upper() + items[1], 6)], "doc_id long, text string, item_id int").repartition(2)
+    got = contamination.matches(docs, spark.read.parquet(str(tmp_path / "benchmark.parquet"))).collect()
+    assert sorted((str(r["doc_id"]), r["item_id"], r["edits"]) for r in got) == [("1", 0, 0), ("3", 1, 0), ("3", 5, 0), ("None", 3, 0)]
+    stage = contamination.decontaminate_stage(spark, docs, str(tmp_path))
+    assert stage.columns == docs.columns and sorted(r["item_id"] for r in stage.collect()) == [2, 4, 5]
+    assert contamination.decontaminate_stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pii(spark, none):
     t = "é mail a.b@x.example.com, 10.0.0.1 and 999.1.1.1; 4111 1111 1111 1111 or +1 (555) 010-9999, a@b"
     got = pii.personal_data(spark.createDataFrame([(1, t), (2, None), (3, "")], "doc_id long, text string")).collect()
@@ -318,6 +503,52 @@ def test_conversations_stand_in_reply_order(spark, monkeypatch):
     assert {(r["conv_id"], r["turn"], r["role"]): r["position"] for r in got} == want
 
 
+def test_trained_filters_add_to_the_word_odds():
+    """Labels that only the order of two common words tells: word odds know nothing of them."""
+    import numpy as np
+
+    rng = random.Random(0)
+
+    def sample(n):
+        out = []
+        for i in range(n):
+            w = text(rng, 24).split()
+            pair = ["vile", "dog"] if i % 2 else ["dog", "vile"]
+            at = rng.randrange(0, 20)
+            w[at:at] = pair
+            out.append((" ".join(w), i % 2))
+        return out
+
+    def accuracy(epochs, monkey):
+        monkey.setattr(toxicity, "EPOCHS", epochs)
+        train, held = sample(3000), sample(400)
+        ids, first = toxicity.features(pa.array([t for t, _ in train]))
+        model = toxicity.Model()
+        model.fit(ids, np.diff(first), np.array([y for _, y in train]))
+        s = model.scores(pa.array([t for t, _ in held]))
+        y = np.array([y for _, y in held])
+        return max(((s >= c) == y).mean() for c in np.quantile(s, np.linspace(0.05, 0.95, 19)))
+
+    with pytest.MonkeyPatch.context() as monkey:
+        assert accuracy(0, monkey) < 0.65 and accuracy(6, monkey) > 0.9
+
+
+def test_toxicity_stage_and_bounds(spark, docs, none, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    train = [(i, text(rng, 30) + (" vile" * (i % 4 == 0)) + " end", "en", i % 4) for i in range(400)]
+    both = train + [(None, "vile vile words here", "en", 0), (7, "so vile", "fr", 0), (7, "so mild", "fr", 9), (8, None, None, 9), (None, "", None, 9), (9, "mild " * 100_000 + "vile", "en", 0)]
+    d = spark.createDataFrame(both, "doc_id long, text string, lang string, score int").repartition(3)
+    y = spark.createDataFrame([(r[0], int(r[3] == 0), "x") for r in train], "doc_id long, toxic int, text string")
+    y.write.parquet(str(tmp_path / "labels.parquet"))
+    got = toxicity.toxicity_stage(spark, d, str(tmp_path))
+    kept = got.collect()
+    assert got.columns == d.columns and sum(r["score"] == 0 for r in kept) <= 2 and sum(r["score"] > 0 for r in kept) >= 295
+    assert [r["text"] for r in kept if r["doc_id"] == 7 and r["lang"] == "fr"] == ["so mild"] and sum(r["score"] == 9 for r in kept) == 3
+    assert toxicity.toxicity_stage(spark, d.limit(0), str(tmp_path)).count() == 0
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 20)
+    assert not toxicity.trained(d, y)[0].known
+
+
 def test_toxicity(spark, docs, none):
     rng = random.Random(3)
     train = [(i, text(rng, 30) + (" vile" * (i % 4 == 0)) + " end", "en", int(i % 4 == 0)) for i in range(400)]
