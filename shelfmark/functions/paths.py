@@ -13,7 +13,7 @@ from ..errors import Usage
 
 
 def glob_regex(pattern: str) -> str | None:
-    """Java regular expression of a glob over one path level; None if malformed."""
+    """Regular expression, for Java and Python, of a glob over one path level; None if malformed."""
     out, i = "", 0
     while i < len(pattern):
         c = pattern[i]
@@ -48,7 +48,7 @@ def glob_regex(pattern: str) -> str | None:
                     parts.append(_quoted(low) if low == high else f"{_quoted(low)}-{_quoted(high)}")
             body = "".join(parts)
             # a class never takes the separator
-            out += (f"[^/{body}]" if negated else f"[{body}&&[^/]]") if body else ("[^/]" if negated else "(?!)")
+            out += (f"[^/{body}]" if negated else f"(?!/)[{body}]") if body else ("[^/]" if negated else "(?!)")
         else:
             out += _quoted(c)
     return out
@@ -92,6 +92,25 @@ def matches(path: Column, pattern: str) -> Column:
     return found
 
 
+def matcher(patterns: list[str]):
+    """``matches_any`` as a function of one path, for walks on the driver."""
+    tests = []
+    for pattern in patterns:
+        clean = (posixpath.normpath(pattern) if pattern else ".").rstrip("/") or "/"
+        regex = glob_regex(clean)
+        tests.append((clean, re.compile(regex, re.S) if regex is not None else None))
+
+    def one(path: str) -> bool:
+        for clean, regex in tests:
+            if clean == "." or path == clean or path.startswith(clean + "/"):
+                return True
+            if regex and (regex.fullmatch(path) or ("/" not in clean and any(map(regex.fullmatch, path.split("/"))))):
+                return True
+        return False
+
+    return one
+
+
 def matches_any(path: Column, patterns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [matches(path, p) for p in patterns], F.lit(False))
 

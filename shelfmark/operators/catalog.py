@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..errors import Conflict, Corrupt, NoMatch, Usage
 from ..functions import paths as P
+from ..functions.render import payload_size
+from ..schema import MAX_CHUNK, MAX_XATTR_NAME, MAX_XATTR_VALUE, MAX_XATTRS, TYPES
 
 
 def live(rows: DataFrame) -> DataFrame:
@@ -38,9 +40,18 @@ def select(rows: DataFrame, patterns: list[str] = (), expressions: list[str] = (
 def merge_plan(seen: DataFrame, rows: DataFrame, policy: str = "replace", update: str | None = None) -> DataFrame:
     """What adding ``seen`` does to each path: add, replace, skip or unchanged.
 
-    ``update``: newer (strictly), different (time or size), digest (content).
+    ``update``: newer (strictly), different (time or size), digest (content). A symbolic link is
+    also stale when its target changed (``link``), anything when its type did; a hard link is
+    compared by the entry that holds its content, which may be a tombstone.
     """
-    old = live(rows).select("path", F.col("id").alias("old_id"), F.col("type").alias("old_type"), F.col("size").alias("old_size"), F.col("digest").alias("old_digest"), F.col("mtime").alias("old_mtime"))
+    facts = ("type", "size", "digest", "mtime", "link")
+    rows_ = rows if "link" in rows.columns else rows.withColumn("link", F.lit(None).cast("string"))
+    old = live(rows_)
+    if "hardlink" in rows.columns:
+        held = rows_.select(F.col("id").alias("held_id"), F.struct(*facts).alias("held"))
+        old = old.join(held, (F.col("type") == "hardlink") & (F.col("hardlink") == F.col("held_id")), "left")
+        old = old.select("path", "id", *[F.when(F.col("held_id").isNotNull(), F.col(f"held.{c}")).otherwise(F.col(c)).alias(c) for c in facts])
+    old = old.select("path", F.col("id").alias("old_id"), *[F.col(c).alias(f"old_{c}") for c in facts])
     both = seen.join(old, "path", "left")
     known = F.col("old_id").isNotNull()
     if update:
@@ -49,6 +60,8 @@ def merge_plan(seen: DataFrame, rows: DataFrame, policy: str = "replace", update
         if update not in changed:
             raise Usage(f"unknown update test: {update}")
         stale = (F.col("type") != F.col("old_type")) | changed[update]
+        if "link" in seen.columns:
+            stale = ((F.col("type") == "symlink") & (F.col("old_type") == "symlink") & ~F.col("link").eqNullSafe(F.col("old_link"))) | stale
         action = F.when(~known, "add").when(stale, "replace").otherwise("unchanged")
     elif policy in ("replace", "skip", "error"):
         action = F.when(~known, "add").otherwise("skip" if policy == "skip" else "replace")
@@ -59,11 +72,96 @@ def merge_plan(seen: DataFrame, rows: DataFrame, policy: str = "replace", update
     return both.withColumn("action", action)
 
 
-def tombstone(rows: DataFrame, patterns: list[str]) -> DataFrame:
-    """Marks live entries that match; without a pattern it is an error."""
-    if not patterns:
+def tombstone(rows: DataFrame, patterns: list[str] = (), expressions: list[str] = ()) -> DataFrame:
+    """Marks live entries that match a pattern and an expression, of those that are given. None
+    at all is an error, as is one that matches no live entry."""
+    if not patterns and not expressions:
         raise Usage("no pattern")
-    return rows.withColumn("dead", F.col("dead") | P.matches_any(F.col("path"), patterns))
+    select(live(rows), patterns, expressions)
+    hit = F.lit(True)
+    if patterns:
+        hit = hit & P.matches_any(F.col("path"), list(patterns))
+    if expressions:
+        hit = hit & reduce(lambda a, b: a | b, [P.regex_matches(F.col("path"), e) for e in expressions])
+    return rows.withColumn("dead", F.col("dead") | hit)
+
+
+def deletion_plan(rows: DataFrame, patterns: list[str] = (), expressions: list[str] = ()) -> DataFrame:
+    """(path, size) of what ``tombstone`` would mark; only files have a size."""
+    marked = tombstone(live(rows), patterns, expressions).filter("dead")
+    return marked.select("path", F.when(F.col("type") == "reg", F.col("size")).otherwise(F.lit(0)).cast("long").alias("size"))
+
+
+def plan_summary(plan: DataFrame) -> DataFrame:
+    """One row of what a dry run would do, from paths with action, type and size. A second name
+    of a file (``hardlink`` set) adds no bytes."""
+    size = F.when((F.col("type") == "reg") & F.col("hardlink").isNull(), F.col("size")).otherwise(F.lit(0)) if "hardlink" in plan.columns else F.when(F.col("type") == "reg", F.col("size")).otherwise(F.lit(0))
+    written = F.col("action").isin("add", "replace")
+    return plan.agg(F.count_if(written).alias("paths"), F.coalesce(F.sum(F.when(written, size)), F.lit(0)).cast("long").alias("bytes"), F.count_if(F.col("action") == "replace").alias("replaced"),
+                    F.count_if(F.col("action") == "unchanged").alias("unchanged"), F.count_if(F.col("action") == "skip").alias("skipped"))
+
+
+def overwrite_plan(chosen: DataFrame, there: DataFrame, policy: str = "newer") -> DataFrame:
+    """(path, action) of extracting onto a tree (path, mtime): always, keep what is there, or
+    write only what is newer than that."""
+    if policy not in ("always", "keep", "newer"):
+        raise Usage(f"unknown policy: {policy}")
+    both = chosen.join(there.select("path", F.col("mtime").alias("disk_mtime")), "path", "left")
+    free = F.col("disk_mtime").isNull()
+    write = {"always": F.lit(True), "keep": free, "newer": free | (F.col("mtime") > F.col("disk_mtime"))}[policy]
+    return both.select("path", F.when(write, "write").otherwise("skip").alias("action"))
+
+
+def first_names(rows: DataFrame) -> DataFrame:
+    """Files with several names (dev, ino, nlink > 1): adds ``first_id``, the least id of each;
+    null for files with one name."""
+    several = rows.filter("nlink > 1") if "nlink" in rows.columns else rows
+    first = several.groupBy("dev", "ino").agg(F.min("id").alias("first_id"))
+    out = rows.join(first, ["dev", "ino"], "left")
+    return out.withColumn("first_id", F.when(F.col("nlink") > 1, F.col("first_id"))) if "nlink" in rows.columns else out
+
+
+def tree_roots(rows: DataFrame, dirs: DataFrame) -> DataFrame:
+    """(path, root): the topmost of the directories dirs(path) above each path, or the path."""
+    above = rows.select("path", F.posexplode(P.ancestors(F.col("path"), False)).alias("depth", "dir")).join(dirs.select(F.col("path").alias("dir")), "dir")
+    return rows.select("path").join(above.groupBy("path").agg(F.min_by("dir", "depth").alias("top")), "path", "left").select("path", F.coalesce("top", "path").alias("root"))
+
+
+def newest(rows: DataFrame) -> DataFrame:
+    """The newest valid version of every path, by generation, then id."""
+    valid = rows.filter("valid") if "valid" in rows.columns else rows
+    return valid.groupBy("path").agg(F.max_by("id", F.struct("gen", "id")).alias("id"), F.max("gen").alias("gen"))
+
+
+def totals(rows: DataFrame) -> DataFrame:
+    """Sums under a listing, over live entries: listed, files, bytes, payload, stored, shared and
+    the bytes those don't store; of the whole catalog the generation and the tombstones."""
+    own = rows.select(F.col("id").alias("data"), F.col("len").alias("owner_len"))
+    one = rows.join(own, "data", "left")
+    file = ~F.col("dead") & (F.col("type") == "reg")
+    total = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0)).cast("long")
+    size = F.col("payload") if "payload" in rows.columns else F.col("size")
+    shared = file & F.col("data").isNotNull()
+    return one.agg(F.count_if(~F.col("dead")).alias("listed"), F.count_if(file).alias("files"), total(file, F.col("size")).alias("bytes"), total(file, size).alias("payload"), total(file, F.col("len")).alias("stored"),
+                   F.count_if(shared).alias("shared"), total(shared, F.col("owner_len")).alias("not_stored"), F.max("gen").alias("generation"), F.count_if("dead").alias("tombstoned"))
+
+
+def largest_chunk(rows: DataFrame) -> DataFrame:
+    """The greatest chunk size that reading the live entries needs, their owners' included."""
+    own = rows.select(F.col("id").alias("holder"), F.col("chunk").alias("own_chunk"))
+    return live(rows).withColumn("holder", F.coalesce("data", "id")).join(own, "holder").agg(F.coalesce(F.max("own_chunk"), F.lit(0)).cast("long").alias("largest"))
+
+
+def payload_totals(rows: DataFrame) -> DataFrame:
+    """Bytes that a run over the live entries handles, and those of owners alone."""
+    return live(rows).agg(F.sum("size").alias("bytes"), F.coalesce(F.sum(F.when(F.col("data").isNull(), F.col("size"))), F.lit(0)).cast("long").alias("own_bytes"))
+
+
+def out_of_range(rows: DataFrame, body: int, index: int) -> DataFrame:
+    """Entries whose stored bytes [off, off + len) don't lie in [body, index)."""
+    off, length = F.coalesce("off", F.lit(0)), F.coalesce("len", F.lit(0))
+    inside = (off >= body) & (off <= index) & (length <= index - off)
+    return rows.filter((length > 0) & ~inside).select("id", "path", F.lit("blob out of range").alias("rule"))
 
 
 def kept(rows: DataFrame) -> DataFrame:
@@ -222,19 +320,51 @@ def verified(rows: DataFrame, content: DataFrame) -> DataFrame:
     return owner.join(result, "owner", "left").select("id", "path", "owner", F.coalesce("ok", F.lit(False)).alias("ok"))
 
 
-def violations(rows: DataFrame, codecs: int) -> DataFrame:
-    """(id, path, rule) of every broken constraint, all of them, not the first."""
+DIGEST_HEX = 64
+
+
+def _entry_rules(have: set[str], codecs: int) -> dict[str, F.Column]:
+    """What each entry must satisfy by itself; rules of columns that a table lacks are left out."""
     kind = F.col("type")
-    reg = kind == "reg"
-    chunks = F.coalesce(F.size("chunks"), F.lit(0)) if "chunks" in rows.columns else None
+    reg, device = kind == "reg", kind.isin("chardev", "blockdev")
+    some = lambda c: F.coalesce(F.col(c), F.lit(0)) != 0
+    count = lambda c: F.coalesce(F.size(c), F.lit(0))
     rules = {
-        "unknown type": ~kind.isin("reg", "dir", "symlink", "hardlink", "fifo", "chardev", "blockdev", "socket"), "empty path": F.col("path") == "", "unsafe path": ~P.is_stored_path(F.col("path")),
+        "unknown type": ~kind.isin(*TYPES), "empty path": F.col("path") == "", "unsafe path": ~P.is_stored_path(F.col("path")),
         "mode bits": (F.col("mode") < 0) | (F.col("mode") > 0o7777), "codec out of range": (F.col("codec") < -1) | (F.col("codec") >= codecs), "digest missing": reg & F.col("digest").isNull(),
         "negative size": F.col("size") < 0, "size of a non-file": ~reg & (F.col("size") > 0), "sharer with a blob": F.col("data").isNotNull() & F.col("len").isNotNull(), "sharer with a codec": F.col("data").isNotNull() & (F.col("codec") != -1),
+        "digest length": F.col("digest").isNotNull() & (F.length("digest") != DIGEST_HEX) if "strict" in have else F.lit(False),
     }
-    if chunks is not None:
-        rules["chunks and length"] = F.col("chunks").isNotNull() & (F.aggregate("chunks", F.lit(0).cast("long"), lambda a, x: a + x) != F.col("len"))
-        rules["chunk count"] = F.col("chunk").isNotNull() & (chunks != F.ceil(F.col("size") / F.col("chunk")))
+    if "link" in have:
+        empty = F.coalesce(F.col("link"), F.lit("")) == ""
+        rules |= {"symlink without target": (kind == "symlink") & empty, "target of a non-link": (kind != "symlink") & ~empty}
+    if {"hardlink", "strict"} <= have:
+        rules |= {"hard link without entry": (kind == "hardlink") & ~some("hardlink"), "entry of a non-link": (kind != "hardlink") & some("hardlink")}
+    if "rdev" in have:
+        rules |= {"device numbers": device & (count("rdev") != 2), "device numbers of a non-device": ~device & (count("rdev") > 0)}
+    if "xattrs" in have:
+        names, values = F.map_keys("xattrs"), F.map_values("xattrs")
+        rules |= {"too many attributes": count("xattrs") > MAX_XATTRS, "attribute name": F.exists(names, lambda n: (n == "") | (F.octet_length(n) > MAX_XATTR_NAME)), "attribute value": F.exists(values, lambda v: F.octet_length(v) > MAX_XATTR_VALUE)}
+    payload = F.col("size")
+    if "sparse" in have:
+        payload = payload_size(F.col("size"), F.col("sparse"))
+        nxt = F.concat(F.slice("sparse", 2, F.greatest(F.size("sparse"), F.lit(1))), F.array(F.struct(F.col("size").alias("off"), F.lit(0).cast("long").alias("len"))))
+        rules |= {"segments of a non-file": ~reg & (count("sparse") > 0), "empty segment": F.exists("sparse", lambda s: s["len"] <= 0),
+                  "segments out of order": F.exists(F.arrays_zip(F.col("sparse").alias("a"), nxt.alias("b")), lambda z: z["a"]["off"] + z["a"]["len"] > z["b"]["off"]) & (count("sparse") > 0)}
+    if "chunk" in have:
+        rules["chunk limit"] = F.col("chunk") > MAX_CHUNK
+    if "chunks" in have:
+        own = reg & F.col("data").isNull()
+        n = count("chunks").cast("long")
+        rules |= {"chunks and length": F.col("chunks").isNotNull() & (F.aggregate("chunks", F.lit(0).cast("long"), lambda a, x: a + x) != F.col("len")), "chunks of a non-file": ~reg & (n > 0),
+                  "chunk count": F.when(F.col("chunk").isNotNull(), (payload > F.col("chunk") * n) | ((n > 0) & (payload <= F.col("chunk") * (n - 1)))).otherwise(own & (n > 0)) if "strict" in have else F.col("chunk").isNotNull() & (n != F.ceil(payload / F.col("chunk")))}
+    return rules
+
+
+def violations(rows: DataFrame, codecs: int, strict: bool = False) -> DataFrame:
+    """(id, path, rule) of every broken constraint, all of them, not the first. ``strict`` adds
+    the rules of stored catalogs: digest length, type-specific links, chunk tables."""
+    rules = _entry_rules(set(rows.columns) | ({"strict"} if strict else set()), codecs)
     broken = F.array(*[F.when(c, F.lit(r)) for r, c in rules.items()])
     out = rows.select("id", "path", F.explode(F.array_compact(broken)).alias("rule"))
     twice = rows.groupBy("id").agg(F.count("*").alias("n"), F.min("path").alias("path")).filter("n > 1").select("id", "path", F.lit("duplicate id").alias("rule"))
@@ -253,15 +383,16 @@ def assert_valid(rows: DataFrame, codecs: int) -> None:
 
 def best_trial(trials: DataFrame, base: int, total: int, held: int) -> DataFrame:
     """Walks dictionary sizes upward; a candidate wins with a positive gain over 1.02 times
-    the best, and two misses in a row end the walk. trials: size, n, ok."""
+    the best, and two misses in a row end the walk. trials: size, n, ok, and a name, candidate,
+    if there is one."""
     gain = (F.lit(base) - F.col("n")) * total / held - F.col("size")
-    listed = trials.agg(F.sort_array(F.collect_list(F.struct("size", gain.alias("gain"), "ok"))).alias("t"))  # one row per candidate size, at most nine
-    start = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0.0).alias("gain"), F.lit(0).alias("misses"))
+    name = F.col("candidate") if "candidate" in trials.columns else F.col("size")
+    listed = trials.agg(F.sort_array(F.collect_list(F.struct(name.alias("candidate"), "size", gain.alias("gain"), "ok"))).alias("t"))  # one row per candidate size, at most nine
+    best = lambda c, z, g, m: F.struct(c.cast("long").alias("candidate"), z.cast("long").alias("size"), g.alias("gain"), m.alias("misses"))
 
     def step(s, t):
         wins = t["ok"] & (t["gain"] > 0) & (t["gain"] > s["gain"] * 1.02)
-        lost = F.struct(s["size"].alias("size"), s["gain"].alias("gain"), (s["misses"] + 1).alias("misses"))
-        won = F.struct(t["size"].cast("long").alias("size"), t["gain"].alias("gain"), F.lit(0).alias("misses"))
-        return F.when(s["misses"] >= 2, s).when(wins, won).otherwise(lost)
+        lost = best(s["candidate"], s["size"], s["gain"], s["misses"] + 1)
+        return F.when(s["misses"] >= 2, s).when(wins, best(t["candidate"], t["size"], t["gain"], F.lit(0))).otherwise(lost)
 
-    return listed.select(F.aggregate("t", start, step).alias("b")).select("b.size", "b.gain")
+    return listed.select(F.aggregate("t", best(F.lit(0), F.lit(0), F.lit(0.0), F.lit(0)), step).alias("b")).select("b.size", "b.gain", *(["b.candidate"] if "candidate" in trials.columns else []))

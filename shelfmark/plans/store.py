@@ -1,9 +1,12 @@
-"""Generations as Parquet snapshots; a manifest file, renamed into place, commits each."""
+"""Generations as Parquet snapshots; a manifest file commits each. A half-written manifest
+doesn't parse, so it commits nothing."""
 
 from __future__ import annotations
 
 import json
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import Corrupt, Locked
@@ -18,48 +21,67 @@ class Store:
         self._fs = self._Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._Path(f"{self.path}/manifests"))
 
-    def generations(self) -> list[int]:
-        """Committed generations whose manifest parses and whose snapshot is there."""
-        out = []
+    def _text(self, path) -> str:
+        """A small file, read through the file system, without a job."""
+        stream = self._fs.open(path)
+        try:
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")
+        finally:
+            stream.close()
+
+    def _manifests(self) -> dict[int, dict]:
+        """Committed generations: those whose manifest parses and whose snapshot is there."""
+        out = {}
         for f in self._fs.listStatus(self._Path(f"{self.path}/manifests")):
             name = f.getPath().getName()
             if name.endswith(".json") and name[:-5].isdigit():
                 try:
-                    text = "".join(r[0] for r in self.spark.read.text(f.getPath().toString()).collect())
-                    found = json.loads(text)
+                    found = json.loads(self._text(f.getPath()))
                     if self._fs.exists(self._Path(f"{self.path}/{found['snapshot']}/_SUCCESS")):
-                        out.append(int(found["generation"]))
-                except (ValueError, KeyError):
+                        out[int(found["generation"])] = found
+                except (ValueError, KeyError, TypeError):
                     continue  # a damaged manifest isn't a commit
-        return sorted(out)
+        return out
+
+    def generations(self) -> list[int]:
+        return sorted(self._manifests())
+
+    def manifest(self, generation: int | None = None) -> dict:
+        found = self._manifests()
+        number = generation or max(found, default=0)
+        if number not in found:
+            raise Corrupt(f"no valid generation {number}")
+        return found[number]
 
     def latest(self) -> int:
         return max(self.generations(), default=0)
 
-    def commit(self, rows: DataFrame, expected: int) -> int:
-        """Writes the next generation if ``expected`` is still the latest, else Locked."""
+    def commit(self, rows: DataFrame, expected: int, **facts) -> int:
+        """Writes the next generation if ``expected`` is still the latest, else Locked; ``facts``
+        go into its manifest. What a failed commit has written is removed."""
         number = expected + 1
         target = self._Path(f"{self.path}/manifests/{number:08d}.json")
         if self.latest() != expected or self._fs.exists(target):
             raise Locked(f"generation {number} was committed by another writer")
-        import uuid
-
         snapshot = f"snapshots/{number:08d}-{uuid.uuid4().hex}"
-        rows.write.option("compression", "zstd").parquet(f"{self.path}/{snapshot}")
-        temp = self._Path(f"{self.path}/manifests/.{number:08d}-{uuid.uuid4().hex}")
-        out = self._fs.create(temp, False)
-        out.write(bytearray(json.dumps({"generation": number, "snapshot": snapshot}).encode()))
-        out.close()
-        if self._fs.exists(target) or not self._fs.rename(temp, target):
-            raise Locked(f"generation {number} was committed by another writer")
+        written = self._Path(f"{self.path}/{snapshot}")
+        try:
+            rows.write.option("compression", "zstd").parquet(f"{self.path}/{snapshot}")
+            # creating without overwriting is the commit: of two writers one fails here
+            text = json.dumps({"generation": number, "snapshot": snapshot} | facts).encode()
+            try:
+                out = self._fs.create(target, False)
+            except Py4JJavaError:
+                raise Locked(f"generation {number} was committed by another writer") from None
+            out.write(bytearray(text))
+            out.close()
+        except BaseException:
+            self._fs.delete(written, True)
+            raise
         return number
 
     def read(self, generation: int | None = None) -> DataFrame:
-        number = generation or self.latest()
-        if number not in self.generations():
-            raise Corrupt(f"no valid generation {number}")
-        text = "".join(r[0] for r in self.spark.read.text(f"{self.path}/manifests/{number:08d}.json").collect())
-        return self.spark.read.parquet(f"{self.path}/{json.loads(text)['snapshot']}")
+        return self.spark.read.parquet(f"{self.path}/{self.manifest(generation)['snapshot']}")
 
     def repair(self) -> int:
         """Removes manifests after the last valid generation; returns that generation."""

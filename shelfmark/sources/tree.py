@@ -1,48 +1,139 @@
-"""A local tree as rows: pre-order, names sorted, excluded directories not entered."""
+"""A local tree as rows: pre-order, names sorted, excluded directories not entered.
+
+The driver lists metadata only; files are read by tasks, in pieces, and only if they still are
+the files that the listing saw.
+"""
 
 from __future__ import annotations
 
-import fnmatch
+import grp
 import hashlib
 import os
+import pwd
 import stat
 import uuid
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import Corrupt
+from ..errors import Corrupt, Partial
+from ..functions.paths import matcher
 
 KIND = ((stat.S_ISREG, "reg"), (stat.S_ISDIR, "dir"), (stat.S_ISLNK, "symlink"), (stat.S_ISFIFO, "fifo"), (stat.S_ISCHR, "chardev"), (stat.S_ISBLK, "blockdev"), (stat.S_ISSOCK, "socket"))
-SCHEMA = "seq long, path string, type string, mode int, uid long, gid long, mtime long, size long, link string, dev long, ino long, digest string"
+SCHEMA = "seq long, path string, type string, mode int, uid long, gid long, uname string, gname string, mtime long, size long, link string, dev long, ino long, nlink long, rdev array<bigint>, xattrs map<string,binary>"
+#: Bytes read at once.
+PIECE = 4 << 20
+
+
+@lru_cache(4096)
+def _user(uid: int) -> str | None:
+    try:
+        return pwd.getpwuid(uid).pw_name
+    except KeyError:
+        return None
+
+
+@lru_cache(4096)
+def _group(gid: int) -> str | None:
+    try:
+        return grp.getgrgid(gid).gr_name
+    except KeyError:
+        return None
+
 
+def _attributes(full: str, follow: bool) -> dict[str, bytes] | None:
+    try:
+        return {n: os.getxattr(full, n, follow_symlinks=follow) for n in os.listxattr(full, follow_symlinks=follow)} or None
+    except OSError:
+        return None
 
-def entries(top: str, exclude: list[str] = (), follow: bool = False, one_file_system: bool = False):
-    """Rows of SCHEMA of a local folder."""
+
+def entries(top: str, exclude: list[str] = (), follow: bool = False, one_file_system: bool = False, skip: set[tuple[int, int]] = frozenset()):
+    """Rows of SCHEMA of a local folder. ``skip``: (dev, ino) of what isn't listed, such as the
+    catalog itself. A followed link to a folder that it lies in is an error."""
     seq = 0
     root_dev = os.stat(top).st_dev
+    excluded = matcher(list(exclude))
 
-    def walk(full: str, path: str, seen: frozenset):
+    def walk(full: str, path: str, above: frozenset):
         nonlocal seq
+        if path != "." and excluded(path):
+            return
         s = os.stat(full) if follow else os.lstat(full)
-        kind = next((k for test, k in KIND if test(s.st_mode)), "unsupported")
-        if path != "." and any(fnmatch.fnmatchcase(p, e) or p == e for e in exclude for p in (path, os.path.basename(path))):
+        here = (s.st_dev, s.st_ino)
+        if here in skip:
             return
-        digest = hashlib.sha256(open(full, "rb").read()).hexdigest() if kind == "reg" else None
-        yield (seq, path, kind, stat.S_IMODE(s.st_mode), s.st_uid, s.st_gid, s.st_mtime_ns, s.st_size if kind == "reg" else 0, os.readlink(full) if kind == "symlink" else None, s.st_dev, s.st_ino, digest)
+        kind = next((k for test, k in KIND if test(s.st_mode)), "unsupported")
+        if kind == "dir" and here in above:
+            raise Partial(f"{path}: a link leads back to a folder above it")
+        mode = 0o777 if kind == "symlink" else stat.S_IMODE(s.st_mode)
+        device = [os.major(s.st_rdev), os.minor(s.st_rdev)] if kind in ("chardev", "blockdev") else None
+        yield (seq, path, kind, mode, s.st_uid, s.st_gid, _user(s.st_uid), _group(s.st_gid), s.st_mtime_ns, s.st_size if kind == "reg" else 0, os.readlink(full) if kind == "symlink" else None, s.st_dev, s.st_ino, s.st_nlink, device, _attributes(full, follow))
         seq += 1
-        here = (s.st_dev, s.st_ino)
-        if kind == "dir" and here not in seen and not (one_file_system and s.st_dev != root_dev):
-            for name in sorted(os.listdir(full)):
-                yield from walk(os.path.join(full, name), name if path == "." else f"{path}/{name}", seen | {here})
+        if kind == "dir" and not (one_file_system and s.st_dev != root_dev):
+            for name in sorted(os.listdir(full), key=os.fsencode):
+                yield from walk(os.path.join(full, name), name if path == "." else f"{path}/{name}", above | {here})
 
     yield from walk(top, ".", frozenset())
 
 
-def read_tree(spark: SparkSession, top: str, **options) -> DataFrame:
-    """Metadata of a tree that the driver can see; file systems of a cluster are listed with
-    ``spark.read.format("binaryFile")``."""
-    return spark.createDataFrame(list(entries(top, **options)), SCHEMA)
+def open_seen(top: str, path: str, dev: int, ino: int, follow: bool = False):
+    """The file that a listing saw: not a link put in its place, not another file."""
+    f = os.open(os.path.join(top, path), os.O_RDONLY | (0 if follow else os.O_NOFOLLOW))
+    s = os.fstat(f)
+    if (s.st_dev, s.st_ino) != (dev, ino):
+        os.close(f)
+        raise Partial(f"{path}: changed since it was listed")
+    return os.fdopen(f, "rb")
+
+
+def pieces(rows: DataFrame, top: str, size: int, follow: bool = False) -> DataFrame:
+    """(id, pos, plain) of the files rows (id, path, dev, ino): cut at ``size`` bytes, read by
+    tasks; a piece at a time is in memory."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.itertuples():
+                with open_seen(top, r.path, r.dev, r.ino, follow) as f:
+                    pos = 0
+                    while data := f.read(size):
+                        yield pd.DataFrame({"id": [r.id], "pos": [pos], "plain": [data]})
+                        pos += 1
+
+    return rows.select("id", "path", "dev", "ino").mapInPandas(run, "id long, pos int, plain binary")
+
+
+def digested(rows: DataFrame, top: str, follow: bool = False) -> DataFrame:
+    """Adds ``digest`` of the files, read by tasks in pieces; null for all other types."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                h = hashlib.sha256()
+                with open_seen(top, r.path, r.dev, r.ino, follow) as f:
+                    while data := f.read(PIECE):
+                        h.update(data)
+                out.append(h.hexdigest())
+            yield pd.DataFrame({"d_seq": batch["seq"], "digest": out})
+
+    files = rows.filter("type = 'reg'").select("seq", "path", "dev", "ino")
+    return rows.join(files.mapInPandas(run, "d_seq long, digest string"), F.col("seq") == F.col("d_seq"), "left").drop("d_seq")
+
+
+def read_tree(spark: SparkSession, top: str, digests: bool = True, **options) -> DataFrame:
+    """A tree that the driver and the executors can see; file systems of a cluster are listed
+    with ``spark.read.format("binaryFile")``."""
+    rows = spark.createDataFrame(list(entries(top, **options)), SCHEMA)
+    return digested(rows, top, options.get("follow", False)) if digests else rows
+
+
+def first_seen(rows: DataFrame) -> DataFrame:
+    """One row a path: the first in the order of the walk."""
+    least = rows.groupBy("path").agg(F.min("seq").alias("first_seq"))
+    return rows.join(least, "path").filter("seq = first_seq").drop("first_seq")
 
 
 def below(top: str, path: str) -> str:
