@@ -202,3 +202,91 @@ def write_tree(steps: DataFrame, rows: DataFrame, content: DataFrame, top: str)
         full = below(top, r["path"])
         os.chmod(full, r["mode"])
         os.utime(full, ns=(r["mtime"], r["mtime"]))
+
+
+def write_parts(parts, top: str, facts: dict) -> None:
+    """Writes files from their chunks in order: (path, pos, plain) sorted by path and pos, with
+    facts {path: (digest, mode, mtime, xattrs)}; each goes beside its target and is renamed once
+    its digest is right, so a retried task writes the same file again."""
+    now, out, h, temp = None, None, None, None
+
+    def finish():
+        out.close()
+        digest, mode, mtime, xattrs = facts[now]
+        if digest is not None and h.hexdigest() != digest:
+            os.unlink(temp)
+            raise Corrupt(f"{now}: digest differs")
+        for name, value in (xattrs or {}).items():
+            if name.startswith("user."):
+                try:
+                    os.setxattr(temp, name, bytes(value))
+                except OSError:
+                    pass  # the destination doesn't take it
+        if mode is not None:
+            os.chmod(temp, mode)
+        if mtime is not None:
+            os.utime(temp, ns=(mtime, mtime))
+        os.replace(temp, below(top, now))
+
+    for r in parts:
+        if r["path"] != now:
+            if now is not None:
+                finish()
+            now, h = r["path"], hashlib.sha256()
+            full = below(top, now)
+            os.makedirs(os.path.dirname(full), exist_ok=True)
+            temp = f"{full}.{uuid.uuid4().hex}"
+            out = open(temp, "wb")
+        if r["pos"] is not None and r["plain"] is None:
+            raise Corrupt(f"{now}: a chunk is damaged")
+        data = bytes(r["plain"] or b"")
+        h.update(data)
+        out.write(data)
+    if now is not None:
+        finish()
+
+
+def write_steps(steps: DataFrame, rows: DataFrame, chosen: DataFrame, plain: DataFrame, top: str) -> None:
+    """Carries out ``extraction`` steps with contents (path, pos, plain): files in tasks, all else
+    in order of path on the driver. chosen: the entries under the paths that they are written to."""
+    holder = rows.select(F.col("id").alias("held"), F.col("digest").alias("h_digest"), F.col("mode").alias("h_mode"), F.col("mtime").alias("h_mtime"))
+    meta = steps.join(chosen.select("path", "mode", "mtime", "link", "digest", "hardlink", "xattrs"), "path", "left")
+    meta = meta.join(holder, F.coalesce("hardlink", "content") == F.col("held"), "left")
+    files = meta.filter("action = 'write'").select("path", F.coalesce("h_digest", "digest").alias("digest"), F.when(F.col("hardlink").isNull(), F.col("mode")).otherwise(F.col("h_mode")).alias("mode"), F.when(F.col("hardlink").isNull(), F.col("mtime")).otherwise(F.col("h_mtime")).alias("mtime"), "xattrs")
+    parts = plain.join(files, "path").repartition("path").sortWithinPartitions("path", "pos")
+
+    def each(part):
+        facts: dict = {}
+
+        def told():
+            for r in part:
+                facts.setdefault(r["path"], (r["digest"], r["mode"], r["mtime"], r["xattrs"]))
+                yield r
+
+        write_parts(told(), top, facts)
+
+    os.makedirs(top, exist_ok=True)
+    for r in meta.filter("phase = 1").orderBy("path").toLocalIterator():
+        full = below(top, r["path"])
+        if r["action"] == "dir":
+            os.makedirs(full, exist_ok=True)
+            continue
+        os.makedirs(os.path.dirname(full), exist_ok=True)
+        if os.path.lexists(full):
+            os.unlink(full)
+        if r["action"] == "symlink":
+            os.symlink(r["link"], full)
+            os.utime(full, ns=(r["mtime"], r["mtime"]), follow_symlinks=False)
+        elif r["action"] == "fifo":
+            os.mkfifo(full, r["mode"])
+    parts.foreachPartition(each)
+    for r in meta.filter("phase = 3 and action = 'link'").orderBy("path").toLocalIterator():
+        full = below(top, r["path"])
+        os.makedirs(os.path.dirname(full), exist_ok=True)
+        if os.path.lexists(full):
+            os.unlink(full)
+        os.link(below(top, r["link_to"]), full)
+    for r in meta.filter("phase = 4").orderBy(F.desc("path")).toLocalIterator():
+        full = below(top, r["path"])
+        os.chmod(full, r["mode"])
+        os.utime(full, ns=(r["mtime"], r["mtime"]))
