@@ -147,6 +147,11 @@ def store_path(path: Column) -> Column:
     return F.when(F.size(parts) == 0, ".").otherwise(F.array_join(parts, "/"))
 
 
+def is_stripped(path: Column) -> Column:
+    """Whether ``store_path`` takes a leading slash or a dot-dot component away."""
+    return path.startswith("/") | F.exists(F.split(path, "/"), lambda c: c == "..")
+
+
 def is_stored_path(path: Column) -> Column:
     return (path == ".") | F.forall(F.split(path, "/"), lambda c: ~c.isin("", ".", ".."))
 

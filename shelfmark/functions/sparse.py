@@ -40,15 +40,16 @@ def data_segments(block: int = BLOCK):
 
 
 def gaps(start: Column, end: Column, segments: Column) -> Column:
-    """The parts of [start, end) that ordered segments leave out."""
+    """The parts of [start, end) that ordered segments leave out; an empty segment divides the gap
+    that it lies in."""
     empty = F.array().cast(f"array<{SEGMENT.simpleString()}>")
     part = lambda a, b: F.struct(a.cast("long").alias("off"), (b - a).cast("long").alias("len"))
 
     def step(state, s):
-        low, high = F.greatest(s["off"], start), F.least(s["off"] + s["len"], end)
-        hit = high > low
-        found = F.when(hit & (low > state["at"]), F.concat(state["out"], F.array(part(state["at"], low)))).otherwise(state["out"])
-        return F.struct(F.when(hit, F.greatest(state["at"], high)).otherwise(state["at"]).cast("long").alias("at"), found.alias("out"))
+        stop = s["off"] + s["len"]
+        hit = (stop > state["at"]) & (s["off"] < end)
+        found = F.when(hit & (s["off"] > state["at"]), F.concat(state["out"], F.array(part(state["at"], s["off"])))).otherwise(state["out"])
+        return F.struct(F.when(hit, stop).otherwise(state["at"]).cast("long").alias("at"), found.alias("out"))
 
     begin = F.struct(start.cast("long").alias("at"), empty.alias("out"))
     rest = lambda s: F.when(s["at"] < end, F.concat(s["out"], F.array(part(s["at"], end)))).otherwise(s["out"])

@@ -12,6 +12,7 @@ from ..errors import Conflict, Corrupt, NoMatch, Usage
 from ..functions import paths as P
 from ..functions.render import payload_size
 from ..schema import MAX_CHUNK, MAX_XATTR_NAME, MAX_XATTR_VALUE, MAX_XATTRS, TYPES
+from .order import running_total
 
 
 def live(rows: DataFrame) -> DataFrame:
@@ -187,7 +188,7 @@ def info(rows: DataFrame) -> DataFrame:
     count = lambda c: F.count_if(c)
     total = lambda c, v: F.coalesce(F.sum(F.when(c, F.col(v))), F.lit(0)).cast("long")
     return one.agg(count(is_live).alias("live"), count(F.col("dead")).alias("dead"), total(is_live, "size").alias("plain"), total(is_live, "len").alias("blobs"),
-                   count(is_live & (F.col("codec") == -1)).alias("stored"), count(is_live & F.col("data").isNotNull()).alias("shared"), total(is_live, "owner_len").alias("not_stored"))
+                   count(is_live & (F.col("type") == "reg") & (F.col("codec") == -1)).alias("stored"), count(is_live & F.col("data").isNotNull()).alias("shared"), total(is_live, "owner_len").alias("not_stored"))
 
 
 KINDS = ("missing", "extra", "type", "size", "content", "link", "hardlink", "device", "mode", "owner", "mtime", "xattrs", "acls")
@@ -206,16 +207,19 @@ def _hard_links(rows: DataFrame) -> DataFrame:
     return live(rows).filter("type = 'hardlink'").join(target, F.col("hardlink") == F.col("t_id"), "left")
 
 
-def _pruned(both: DataFrame, rows: DataFrame) -> DataFrame:
+def _pruned(rows: DataFrame, disk: DataFrame) -> DataFrame:
     """Paths of one side only that aren't differences: what lies below a missing or an extra
-    directory, directories on the way to an entry, and sockets."""
-    single = both.filter(F.col("in_a").isNull() | F.col("in_d").isNull())
-    on_the_way = live(rows).select(F.explode(P.ancestors(F.col("path"), False)).alias("path")).distinct()
-    extra = single.filter((F.col("in_a").isNull()) & (F.col("d_type") == "dir")).select("path")
-    dirs = single.filter(F.col("in_d").isNull() & (F.col("a_type") == "dir")).select("path").union(extra.join(on_the_way, "path", "left_anti"))
-    below = single.select("path", F.explode(P.ancestors(F.col("path"), False)).alias("dir")).join(dirs.withColumnRenamed("path", "dir"), "dir", "left_semi").select("path")
-    sockets = single.filter(F.col("in_a").isNull() & (F.col("d_type") == "socket")).select("path")
-    return below.union(extra.join(on_the_way, "path", "left_semi")).union(sockets)
+    directory, and directories on the way to an entry.
+
+    Only paths and types are read; the sides meet in one aggregation, which all uses share.
+    """
+    sides = live(rows).select("path", F.lit(1).alias("side"), "type").unionByName(disk.select("path", F.lit(2).alias("side"), "type"))
+    single = sides.groupBy("path").agg(F.sum("side").alias("sides"), F.max("type").alias("type")).filter("sides in (1, 2)")
+    way = live(rows).select(F.explode(P.ancestors(F.col("path"), False)).alias("path")).distinct().withColumn("way", F.lit(True))
+    dirs = single.filter("type = 'dir'").join(way, "path", "left").select("path", ((F.col("sides") == 2) & F.col("way").isNotNull()).alias("on_the_way"))
+    above = single.select("path", F.explode(P.ancestors(F.col("path"), False)).alias("dir"))
+    below = above.join(dirs.filter("not on_the_way").select(F.col("path").alias("dir")), "dir", "left_semi").select("path")
+    return below.union(dirs.filter("on_the_way").select("path"))
 
 
 def differences(rows: DataFrame, disk: DataFrame) -> DataFrame:
@@ -257,7 +261,8 @@ def differences(rows: DataFrame, disk: DataFrame) -> DataFrame:
         one("owner", same & (F.coalesce(differ("uid"), F.lit(False)) | F.coalesce(differ("gid"), F.lit(False))), lambda s: F.concat(F.coalesce(F.col(f"{s}_uid").cast("string"), F.lit("-")), F.lit("/"), F.coalesce(F.col(f"{s}_gid").cast("string"), F.lit("-")))),
         one("mtime", same & differ("mtime"), column("mtime")),
         one("xattrs", attributed & (F.size(others) > 0), names=others), one("acls", attributed & (F.size(acls) > 0), names=acls))
-    out = both.join(_pruned(both, rows), "path", "left_anti").select("path", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("path", "x.*")
+    both = both.filter(F.col("in_a").isNotNull() | (F.col("d_type") != "socket"))
+    out = both.join(_pruned(rows, disk), "path", "left_anti").select("path", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("path", "x.*")
     if links is None or not {"dev", "ino"} <= set(disk.columns):
         return out
     inode = lambda p: disk.filter("type = 'reg'").select(F.col("path").alias(p), F.struct("dev", "ino").alias(f"{p}_inode"))
@@ -265,6 +270,63 @@ def differences(rows: DataFrame, disk: DataFrame) -> DataFrame:
     return out.unionByName(parted.select("path", F.lit("hardlink").alias("kind"), F.lit(KINDS.index("hardlink")).alias("rank"), F.col("t_path").alias("archive"), F.lit(None).cast("string").alias("disk"), F.lit(None).cast("array<string>").alias("names")))
 
 
+def scoped_differences(rows: DataFrame, disk: DataFrame, patterns: list[str] = (), expressions: list[str] = (), exclude: list[str] = ()) -> DataFrame:
+    """Differences within a selection: exclusions come first, and each pattern must match an entry
+    that they left; a tree's other paths are in scope if a pattern matches them."""
+    left = live(rows)
+    there = disk
+    if exclude:
+        left, there = (x.filter(~P.matches_any_or_parent(F.col("path"), list(exclude))) for x in (left, there))
+    chosen = select(left, patterns, expressions)
+    if patterns:
+        there = there.filter(P.matches_any(F.col("path"), list(patterns)))
+    if expressions:
+        there = there.filter(reduce(lambda a, b: a | b, [P.regex_matches(F.col("path"), e) for e in expressions]))
+    return differences(chosen, there)
+
+
+def in_scope(paths: DataFrame, prefixes: DataFrame, patterns: list[str] = (), exclude: list[str] = ()) -> DataFrame:
+    """Paths that a comparison takes after components were stripped: those that a removed prefix
+    before them makes a selected stored path. prefixes(prefix): the few that were removed."""
+    both = paths.crossJoin(F.broadcast(prefixes.distinct())).withColumn("stored", F.concat("prefix", F.lit("/"), "path"))
+    hit = P.matches_any(F.col("stored"), list(patterns)) if patterns else F.lit(True)
+    if exclude:
+        hit = hit & ~P.matches_any_or_parent(F.col("stored"), list(exclude))
+    return paths.join(both.filter(hit).select("path").distinct(), "path", "left_semi")
+
+
+def copied(chosen: DataFrame) -> DataFrame:
+    """Entries whose content a comparison by extraction writes: all files, and hard links but
+    those whose target is compared itself."""
+    compared = chosen.filter("type = 'reg'").select(F.col("id").alias("hardlink"))
+    return chosen.filter("type = 'reg'").select("id", "path").union(chosen.filter("type = 'hardlink'").join(compared, "hardlink", "left_anti").select("id", "path"))
+
+
+def copy_differences(found: DataFrame, copies: DataFrame) -> DataFrame:
+    """Differences between the source and its extracted copy that the comparison with the catalog
+    didn't find already, marked as ``extracted``."""
+    new = copies.join(found.select("path", "kind"), ["path", "kind"], "left_anti")
+    return found.withColumn("extracted", F.lit(False)).unionByName(new.withColumn("extracted", F.lit(True)))
+
+
+def layout(rows: DataFrame, chunk: int, start: int = 0) -> DataFrame:
+    """(id, data, len, n_chunks, off) of files that are stored as they are: equal contents once,
+    at their first owner, one after the other in order of id."""
+    first = rows.filter("size > 0").groupBy("digest", "size").agg(F.min("id").alias("owner"))
+    one = rows.join(first, ["digest", "size"], "left").withColumn("data", F.when(F.col("owner") != F.col("id"), F.col("owner")))
+    one = one.withColumn("len", F.when(F.col("data").isNull(), F.col("size")))
+    placed = running_total(one, ["id"], F.col("len"), "before")
+    return placed.select("id", "data", "len", F.when(F.col("data").isNull(), F.ceil(F.col("len") / chunk)).otherwise(0).cast("long").alias("n_chunks"), F.when(F.col("len") > 0, F.col("before") + start).alias("off"))
+
+
+def verify_stats(results: DataFrame, rows: DataFrame) -> DataFrame:
+    """checked and failed entries, bytes of the contents that were decoded, and the first failed
+    entry's path by id, of ``verified`` rows."""
+    sizes = rows.select(F.col("id").alias("owner"), "size")
+    decoded = results.select("owner").distinct().join(sizes, "owner").agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"))
+    return results.agg(F.count_if("ok").alias("checked"), F.count_if(~F.col("ok")).alias("failed"), F.min_by("path", F.when(~F.col("ok"), F.col("id"))).alias("first_failed")).crossJoin(decoded)
+
+
 def extraction(chosen: DataFrame, rows: DataFrame) -> DataFrame:
     """(phase, path, action, content, link_to): how to write the chosen live entries.
 

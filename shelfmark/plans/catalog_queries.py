@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import codecs as C
 from ..functions import paths as P
 from ..functions import render as R
+from ..functions import sealing as K
+from ..functions import sparse as H
 from ..operators import catalog as O
+from ..operators import metadata as M
+from ..operators import order as N
 from ..sources import corpus as S
 
 QUERIES: dict = {}
@@ -86,7 +89,7 @@ _selected("select_everything", "true", patterns=["."])
 _selected("select_directory", "starts_with(path, 'src1/en/')", patterns=["src1/en/"])
 _selected("select_glob", "regexp_full_match(path, 'src1[^/]*/[de][^/]/[^/]*7[.]txt')", patterns=["src1*/[de]?/*7.txt"])
 _selected("select_name_any_depth", "regexp_full_match(split_part(path, '/', 3), '0000[^/]*[.]txt') OR split_part(path, '/', 2) = 'fr'", patterns=["0000*.txt", "fr"])
-_selected("select_regex", "regexp_full_match(path, 'src[0-3]/(en|de)/.*5[.]txt')", expressions=["src[0-3]/(en|de)/.*5\\.txt"])
+_selected("select_regex", "regexp_full_match(path, 'src[0-9]*[0-3]/(en|de)/.*5[.]txt')", expressions=["src[0-9]*[0-3]/(en|de)/.*5\\.txt"])
 _selected("exclude_parent", "NOT (split_part(path, '/', 2) = 'en' OR regexp_full_match(split_part(path, '/', 1), 'src1[^/]'))", exclude=["en", "src1?"])
 _selected("exclude_regex", "NOT regexp_full_match(split_part(path, '/', 1), 'src1.*')", exclude_expressions=["src1[^/]*"])
 _selected("select_then_exclude", "starts_with(path, 'src2/') AND regexp_full_match(path, '.*[13579][.]txt') AND NOT split_part(path, '/', 2) = 'de'", patterns=["src2"], expressions=[".*[13579]\\.txt"], exclude=["de"])
@@ -122,10 +125,9 @@ def payload_size(spark, d):
 
 @query(f"WITH {CAT} SELECT id, size // 4 AS off, size // 2 - size // 4 AS len FROM cat WHERE size // 2 > size // 4 UNION ALL SELECT id, size // 2 + size // 8, size - size // 2 - size // 8 FROM cat WHERE size > size // 2 + size // 8")
 def sparse_gaps(spark, d):
-    seg = S.catalog(spark, d).select("id", "size", F.expr("array(named_struct('off', 0L, 'len', size div 4), named_struct('off', size div 2, 'len', size div 8))").alias("s"))
-    ends = F.transform("s", lambda x: x["off"] + x["len"])
-    starts = F.concat(F.slice(F.transform("s", lambda x: x["off"]), 2, F.size("s")), F.array("size"))
-    return seg.select("id", F.explode(F.arrays_zip(ends.alias("a"), starts.alias("b"))).alias("g")).select("id", F.col("g.a").alias("off"), (F.col("g.b") - F.col("g.a")).alias("len")).filter("len > 0")
+    segments = F.expr("array(named_struct('off', 0L, 'len', size div 4), named_struct('off', size div 2, 'len', size div 8))")
+    gaps = H.gaps(F.lit(0).cast("long"), F.col("size"), segments)
+    return S.catalog(spark, d).select("id", F.explode(gaps).alias("g")).select("id", "g.off", "g.len")
 
 
 OLD = f"{CAT}, {DISK}, old AS (SELECT path, id AS old_id, type AS old_type, size AS old_size, digest AS old_digest, mtime AS old_mtime FROM cat WHERE NOT dead)"
@@ -190,9 +192,10 @@ def dead_space(spark, d):
     return O.kept(rows).agg(F.count("*").alias("k"), F.sum("len").alias("kb")).join(total).select((F.col("n") - F.col("k")).alias("dropped"), (F.col("b") - F.col("kb")).alias("dead_space"))
 
 
-@query(f"WITH {KEPT}, {CODECS}, used AS (SELECT DISTINCT codec FROM kept WHERE codec <> 2) SELECT pos, name, CAST(row_number() OVER (ORDER BY pos) - 1 AS INT) AS new_pos FROM codecs WHERE pos IN (SELECT codec FROM used)")
+@query(f"WITH {KEPT}, {CODECS}, used AS (SELECT DISTINCT CASE WHEN codec = 2 THEN 1 ELSE codec END AS codec FROM kept) SELECT pos, name, CAST(row_number() OVER (ORDER BY pos) - 1 AS INT) AS new_pos FROM codecs WHERE pos IN (SELECT codec FROM used)")
 def used_codecs_renumber(spark, d):
-    return O.renumbered(S.codecs(spark), O.kept(shared(spark, d)).filter("codec <> 2")).select("pos", "name", "new_pos")
+    rows = shared(spark, d).withColumn("codec", F.when(F.col("codec") == 2, 1).otherwise(F.col("codec")))
+    return O.renumbered(S.codecs(spark), O.kept(rows)).select("pos", "name", "new_pos")
 
 
 @query(f"""WITH {OWN} SELECT count(*) FILTER (NOT m.dead) AS live, count(*) FILTER (m.dead) AS dead, CAST(coalesce(sum(m.size) FILTER (NOT m.dead), 0) AS BIGINT) AS plain, CAST(coalesce(sum(m.len) FILTER (NOT m.dead), 0) AS BIGINT) AS blobs,
@@ -206,10 +209,12 @@ def codec_usage(spark, d):
     return S.codecs(spark).join(O.live(shared(spark, d)), F.col("codec") == F.col("pos"), "left").groupBy("pos", "name").agg(F.count("id").alias("entries"))
 
 
-@query(f"WITH {OWN} SELECT count(*) AS listed, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(len) AS BIGINT) AS stored, printf('%.1f%%', 100.0 * (sum(size) - sum(len)) / sum(size)) AS saved, max(gen) AS generation FROM own WHERE NOT dead")
+@query(f"""WITH {OWN} SELECT count(*) FILTER (NOT m.dead) AS listed, count(*) FILTER (NOT m.dead) AS files, CAST(sum(m.size) FILTER (NOT m.dead) AS BIGINT) AS bytes, CAST(sum(m.len) FILTER (NOT m.dead) AS BIGINT) AS stored,
+ printf('%.1f%%', 100.0 * (sum(m.size) FILTER (NOT m.dead) - sum(m.len) FILTER (NOT m.dead)) / sum(m.size) FILTER (NOT m.dead)) AS saved, count(m.data) FILTER (NOT m.dead) AS shared, CAST(coalesce(sum(o.len) FILTER (NOT m.dead), 0) AS BIGINT) AS not_stored,
+ max(m.gen) AS generation, count(*) FILTER (m.dead) AS tombstoned FROM own m LEFT JOIN own o ON m.data = o.id""")
 def listing_totals(spark, d):
-    t = O.live(shared(spark, d)).agg(F.count("*").alias("listed"), F.sum("size").alias("bytes"), F.sum("len").alias("stored"), F.max("gen").alias("generation"))
-    return t.withColumn("saved", R.saved_percent(F.col("bytes"), F.col("stored")))
+    t = O.totals(shared(spark, d))
+    return t.select("listed", "files", "bytes", "stored", R.saved_percent(F.col("payload"), F.col("stored")).alias("saved"), "shared", "not_stored", "generation", "tombstoned")
 
 
 DIFF = f"""{CAT}, {DISK}, a AS (SELECT * FROM cat WHERE NOT dead), j AS (SELECT coalesce(a.path, d.path) AS path, a.path IS NOT NULL AS in_a, d.path IS NOT NULL AS in_d, a.type AS atype, d.type AS dtype, a.size AS asz, d.size AS ds, a.digest AS adg, d.digest AS dd, a.mode AS am, d.mode AS dm, a.mtime AS amt, d.mtime AS dmt
@@ -246,9 +251,8 @@ def diff_summary(spark, d):
 @query(f"WITH {CAT}, dirs AS (SELECT DISTINCT split_part(path, '/', 1) AS dir FROM cat WHERE id % 2 = 0) SELECT path, CASE WHEN split_part(path, '/', 1) IN (SELECT dir FROM dirs WHERE dir LIKE 'src1%') THEN split_part(path, '/', 1) ELSE path END AS root FROM cat WHERE NOT dead")
 def tree_root(spark, d):
     rows = S.catalog(spark, d)
-    dirs = rows.filter("id % 2 = 0").select(F.split_part("path", F.lit("/"), F.lit(1)).alias("dir")).filter("dir like 'src1%'").distinct()
-    above = O.live(rows).select("path", F.posexplode(P.ancestors(F.col("path"), False)).alias("depth", "dir")).join(dirs, "dir").groupBy("path").agg(F.min_by("dir", "depth").alias("top"))
-    return O.live(rows).select("path").join(above, "path", "left").select("path", F.coalesce("top", "path").alias("root"))
+    dirs = rows.filter("id % 2 = 0").select(F.split_part("path", F.lit("/"), F.lit(1)).alias("path")).filter("path like 'src1%'").distinct()
+    return O.tree_roots(O.live(rows), dirs)
 
 
 @query(f"WITH {CAT} SELECT DISTINCT unnest({UP}) AS dir FROM cat WHERE NOT dead")
@@ -300,7 +304,7 @@ def validate_catalog(spark, d):
     return O.violations(_broken(spark, d), 5)
 
 
-@query("SELECT doc_id, i AS pos, md5(array_slice(encode(text), i * 512 + 1, i * 512 + 512)::BLOB) AS chunk_md5 FROM (SELECT doc_id, text, unnest(range(CAST((strlen(text) + 511) // 512 AS BIGINT))) AS i FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*'))")
+@query("SELECT doc_id, i AS pos, md5(array_slice(encode(text), i * 512 + 1, i * 512 + 512)::BLOB) AS chunk_md5 FROM (SELECT doc_id, text, unnest(range(CAST((strlen(text) + 511) // 512 AS BIGINT))) AS i FROM documents)")
 def chunk_table(spark, d):
     rows = S.table(spark, d, "documents")
     return rows.select("doc_id", F.posexplode(C.chunks(F.col("text").cast("binary"), 512)).alias("pos", "chunk")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("chunk").alias("chunk_md5"))
@@ -308,19 +312,16 @@ def chunk_table(spark, d):
 
 @query(f"WITH {OWN} SELECT id, 64 + CAST(coalesce(sum(len) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off, len FROM own WHERE len IS NOT NULL")
 def chunk_layout_offsets(spark, d):
-    # prefix sums in two levels: blocks of ids, then inside each
-    rows = shared(spark, d).filter("len is not null").select("id", "len", F.expr("id div 10000").alias("block"))
-    blocks = rows.groupBy("block").agg(F.sum("len").alias("n")).select("block", F.coalesce(F.sum("n").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.coalesce(F.sum("len").over(W.partitionBy("block").orderBy("id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("inside", inside).join(blocks, "block").select("id", (F.col("inside") + F.col("before") + 64).alias("off"), "len")
+    rows = shared(spark, d).filter("len is not null").select("id", "len")
+    return N.running_total(rows, ["id"], F.col("len"), "off").select("id", (F.col("off") + 64).alias("off"), "len")
 
 
 SAMPLED = "r AS (SELECT id, row_number() OVER (PARTITION BY source ORDER BY path) - 1 AS n FROM (SELECT *, split_part(path, '/', 1) AS source FROM cat) WHERE NOT dead)"
 
 
 def _numbered(spark, d) -> DataFrame:
-    rows = O.live(S.catalog(spark, d)).withColumn("source", F.split_part("path", F.lit("/"), F.lit(1)))
-    return rows.select("id", (F.row_number().over(W.partitionBy("source").orderBy("path")) - 1).alias("n"))
+    rows = O.live(S.catalog(spark, d)).select("id", "path", F.split_part("path", F.lit("/"), F.lit(1)).alias("source"))
+    return N.numbered(rows, ["path"], "n", ["source"]).select("id", "n")
 
 
 @query(f"WITH {CAT}, {SAMPLED} SELECT id FROM r WHERE n % 5 = 0")
@@ -339,16 +340,16 @@ def best_trial(spark, d):
     return O.best_trial(trials, 500, 500000, 1000)
 
 
-@query(f"WITH {CAT} SELECT path, arg_max(id, gen * 1000000000 + id) AS id, max(gen) AS gen FROM (SELECT *, id % 13 AS k FROM cat) WHERE k <> 5 GROUP BY path")
+@query(f"WITH {CAT}, v AS (SELECT regexp_replace(path, '[0-9][.]txt$', '') AS path, id, gen, codec <> 2 AS valid FROM cat) SELECT path, arg_max(id, gen * 1000000000 + id) AS id, max(gen) AS gen FROM v WHERE valid GROUP BY path")
 def latest_generation(spark, d):
-    return S.catalog(spark, d).filter("id % 13 <> 5").groupBy("path").agg(F.max_by("id", F.struct("gen", "id")).alias("id"), F.max("gen").alias("gen"))
+    """Ten documents are versions of one path; those with codec 2 are damaged."""
+    rows = S.catalog(spark, d).withColumn("path", F.regexp_replace("path", r"[0-9]\.txt$", "")).withColumn("valid", F.col("codec") != 2)
+    return O.newest(rows)
 
 
 @query(f"WITH {CAT}, {DISK} SELECT c.path, CASE WHEN d.path IS NULL THEN 'write' WHEN c.mtime > d.mtime THEN 'write' ELSE 'skip' END AS action FROM cat c LEFT JOIN disk d USING (path) WHERE NOT c.dead")
 def plan_extract_overwrite(spark, d):
-    there = S.disk(spark, d).select("path", F.col("mtime").alias("disk_mtime"))
-    one = O.live(S.catalog(spark, d)).join(there, "path", "left")
-    return one.select("path", F.when(F.col("disk_mtime").isNull() | (F.col("mtime") > F.col("disk_mtime")), "write").otherwise("skip").alias("action"))
+    return O.overwrite_plan(O.live(S.catalog(spark, d)), S.disk(spark, d).select("path", "mtime"), "newer")
 
 
 @query(f"""WITH {OWN}, t AS (SELECT * REPLACE (CASE WHEN hardlink IS NOT NULL THEN 'hardlink' WHEN id % 31 = 0 THEN 'dir' ELSE 'reg' END AS type) FROM own), s AS (SELECT * FROM t WHERE NOT dead AND split_part(path, '/', 2) <> 'es'),
@@ -361,12 +362,19 @@ def plan_extract_phases(spark, d):
     return O.extraction(O.live(rows).filter("split_part(path, '/', 2) != 'es'"), rows)
 
 
-@query("""SELECT CASE WHEN starts_with(name, 'user.') THEN 'restore' WHEN starts_with(name, 'security.') OR starts_with(name, 'trusted.') THEN 'withhold' ELSE 'skip' END AS decision, count(*) AS names
- FROM (SELECT (['user.', 'security.', 'system.', 'trusted.'])[user_id % 4 + 1] || event_type AS name FROM events) GROUP BY 1""")
+NAMES = ("user.a", "user.", "security.selinux", "trusted.x", "system.posix_acl_access", "system.posix_acl_default", "system.other", "system.", "plain")
+OPTIONS = "event_id % 2 = 1 AS no_acls, event_id // 2 % 2 = 1 AS no_xattrs, event_id // 4 % 2 = 1 AS permissions, event_id // 8 % 2 = 1 AS root"
+
+
+@query(f"""WITH e AS (SELECT ({list(NAMES)})[user_id % {len(NAMES)} + 1] AS name, {OPTIONS} FROM events)
+SELECT CASE WHEN name IN ('system.posix_acl_access', 'system.posix_acl_default') THEN CASE WHEN no_acls THEN 'skip' WHEN permissions OR root THEN 'restore' ELSE 'withhold' END
+ WHEN name LIKE 'security._%' OR name LIKE 'trusted._%' OR name LIKE 'system._%' THEN CASE WHEN no_xattrs THEN 'skip' WHEN NOT root THEN 'skip' WHEN permissions THEN 'restore' ELSE 'withhold' END
+ WHEN no_xattrs THEN 'skip' ELSE 'restore' END AS decision, name, count(*) AS names FROM e GROUP BY ALL""")
 def xattr_policy(spark, d):
-    name = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("user.", "security.", "system.", "trusted.")]), (F.col("user_id") % 4 + 1).cast("int")), "event_type")
-    decision = F.when(name.startswith("user."), "restore").when(name.startswith("security.") | name.startswith("trusted."), "withhold").otherwise("skip")
-    return S.table(spark, d, "events").select(decision.alias("decision")).groupBy("decision").agg(F.count("*").alias("names"))
+    """What happens to attributes of every class under all sixteen combinations of options."""
+    events = S.table(spark, d, "events").select(F.element_at(F.array(*map(F.lit, NAMES)), (F.col("user_id") % len(NAMES) + 1).cast("int")).alias("name"), *[(F.floor(F.col("event_id") / (1 << i)) % 2 == 1).alias(c) for i, c in enumerate(("no_acls", "no_xattrs", "permissions", "root"))])
+    decision = M.restore_decision(M.attribute_class(F.col("name")), *map(F.col, ("no_acls", "no_xattrs", "permissions", "root")))
+    return events.select("name", decision.alias("decision")).groupBy("decision", "name").agg(F.count("*").alias("names"))
 
 
 _BITS = " || ".join(f"CASE WHEN mode & {4 << s} > 0 THEN 'r' ELSE '-' END || CASE WHEN mode & {2 << s} > 0 THEN 'w' ELSE '-' END || CASE WHEN mode & {sp} > 0 AND mode & {1 << s} > 0 THEN '{lo}' WHEN mode & {sp} > 0 THEN '{hi}' WHEN mode & {1 << s} > 0 THEN 'x' ELSE '-' END" for s, sp, lo, hi in ((6, 2048, "s", "S"), (3, 1024, "s", "S"), (0, 512, "t", "T")))
@@ -377,11 +385,11 @@ def mode_string(spark, d):
     return S.catalog(spark, d).select("id", R.mode_string(F.col("type"), F.col("mode")).alias("mode"))
 
 
-@query("SELECT event_id, min(event_id) OVER (PARTITION BY user_id % 7, event_type, CAST(floor(value) AS BIGINT)) AS first_id FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 3 > 0 THEN min(CASE WHEN event_id % 3 > 0 THEN event_id END) OVER (PARTITION BY user_id % 7, CAST(floor(value) AS BIGINT)) END AS first_id FROM events")
 def hardlink_groups(spark, d):
-    rows = S.table(spark, d, "events").withColumn("dev", F.col("user_id") % 7).withColumn("ino", F.floor("value"))
-    key = ["dev", "event_type", "ino"]
-    return rows.join(rows.groupBy(*key).agg(F.min("event_id").alias("first_id")), key).select("event_id", "first_id")
+    """Files named more than once; a third have a single name."""
+    rows = S.table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 7).alias("dev"), F.floor("value").alias("ino"), (F.col("event_id") % 3 + 1).alias("nlink"))
+    return O.first_names(rows).select(F.col("id").alias("event_id"), "first_id")
 
 
 @query(f"WITH {CAT}, {DISK} SELECT c.id, c.size = d.size AND c.digest = d.digest AS same FROM cat c JOIN disk d USING (path)")
@@ -395,14 +403,18 @@ def list_codecs(spark, d):
     return S.codecs(spark).select("pos", "name", R.codec_string(F.col("name"), F.coalesce("params", F.expr("cast(map() as map<string,string>)")), F.lit(False)).alias("spec"))
 
 
-@query()
+ROUND = "SELECT '{0}' AS codec, count(*) AS chunks, CAST(sum(least(4096, strlen(text) - i * 4096)) AS BIGINT) AS plain, count(*) AS equal, count(*) AS not_longer FROM (SELECT text, unnest(range(CAST((strlen(text) + 4095) // 4096 AS BIGINT))) AS i FROM documents)"
+TRIED = {"none": ("none", {}), "zstd": ("zstd", {"level": "3"}), "zstd long": ("zstd", {"level": "3", "long": "on"}), "gzip": ("gzip", {}), "flate": ("flate", {}), "xz": ("xz", {}), "xz 9": ("xz", {"preset": "9"})}
+
+
+@query(" UNION ALL ".join(ROUND.format(name) for name in TRIED))
 def codec_round_trip(spark, d):
-    """Sizes by codec after encode, decode and comparison of every chunk of every document."""
+    """Every chunk of every document through each codec and back; none is stored longer."""
     pieces = S.table(spark, d, "documents").select("doc_id", F.posexplode(C.chunks(F.col("text").cast("binary"), 4096)).alias("pos", "plain"))
     out = None
-    for name in ("none", "zstd", "gzip", "flate", "xz"):
-        params = {"level": "3"} if name == "zstd" else {}
-        one = C.decode_chunks(C.encode_chunks(pieces, name, params), name).agg(F.lit(name).alias("codec"), F.count("*").alias("chunks"), F.sum("plain_size").alias("plain"), F.sum(F.octet_length("encoded")).alias("stored"), F.count_if(F.col("plain") == F.col("decoded")).alias("equal"))
+    for label, (name, params) in TRIED.items():
+        one = C.decode_chunks(C.encode_chunks(pieces, name, params), name)
+        one = one.agg(F.lit(label).alias("codec"), F.count("*").alias("chunks"), F.sum("plain_size").alias("plain"), F.count_if(F.col("plain") == F.col("decoded")).alias("equal"), F.count_if(F.octet_length("encoded") <= F.col("plain_size")).alias("not_longer"))
         out = one if out is None else out.union(one)
     return out
 
@@ -414,12 +426,17 @@ def recompress_round_trip(spark, d):
     return C.decode_chunks(again, "zstd").agg(F.count("*").alias("chunks"), F.sum("plain_size").alias("plain"), F.count_if(F.col("plain") == F.col("decoded")).alias("equal"))
 
 
-@query("SELECT count(*) AS chunks, count(*) AS equal FROM (SELECT unnest(range(CAST((strlen(text) + 4095) // 4096 AS BIGINT))) FROM documents)")
+@query("SELECT count(*) AS chunks, count(*) AS equal, CAST(0 AS BIGINT) AS opened_elsewhere, count(*) AS distinct_seals FROM (SELECT unnest(range(CAST((strlen(text) + 4095) // 4096 AS BIGINT))) FROM documents)")
 def sealed_round_trip(spark, d):
-    pieces = S.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("name"), F.posexplode(C.chunks(F.col("text").cast("binary"), 4096)).alias("pos", "plain"))
-    key = F.unhex(F.lit("000102030405060708090a0b0c0d0e0f"))
-    pos = F.col("pos").cast("string")
-    return pieces.select("plain", C.unseal(C.seal(F.col("plain"), key, F.col("name"), pos), key, F.col("name"), pos).alias("back")).agg(F.count("*").alias("chunks"), F.count_if(F.col("plain") == F.col("back")).alias("equal"))
+    """Every chunk sealed and opened again; none opens under another entry or position, and equal
+    chunks have different seals."""
+    keys = K.Keys(bytes(range(32)), bytes(16))
+    pieces = C.chunks(F.col("text").cast("binary"), 4096)
+    table = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.size(pieces).alias("n"), F.posexplode(pieces).alias("pos", "plain")).withColumn("final", F.col("pos") == F.col("n") - 1)
+    sealed = K.seal(table, keys)
+    back = K.unseal(sealed, keys).agg(F.count("*").alias("chunks"), F.count_if(F.col("plain") == F.col("opened")).alias("equal"))
+    moved = K.unseal(sealed.select((F.col("id") + 1).alias("id"), "pos", "final", "sealed").union(sealed.select("id", F.col("pos") + 1, "final", "sealed")).union(sealed.select("id", "pos", ~F.col("final"), "sealed")), keys)
+    return back.crossJoin(moved.agg(F.count("opened").alias("opened_elsewhere"))).crossJoin(sealed.agg(F.countDistinct("sealed").alias("distinct_seals")))
 
 
 @query(f"""WITH {CAT} SELECT path, CASE WHEN text IS NULL THEN NULL WHEN (id - 1) % 13 = 0 THEN strlen(text) WHEN (id - 1) % 19 = 0 AND right(text, 1) <> '#' THEN strlen(substr(text, 1, length(text) - 1)) ELSE -1 END AS at

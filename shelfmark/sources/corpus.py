@@ -60,3 +60,32 @@ def with_owner(rows: DataFrame) -> DataFrame:
     key = ["digest", "size"]
     first = rows.filter("size > 0").groupBy(*key).agg(F.min("id").alias("owner"))
     return rows.join(first, key, "left").withColumn("data", F.when(F.col("id") > F.col("owner"), F.col("owner"))).drop("owner")
+
+
+def typed_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog of ``documents`` with links, folders and devices among its files."""
+    doc = F.col("doc_id")
+    kind = F.when(doc % 12 == 0, "symlink").when(doc % 12 == 5, "hardlink").when(doc % 12 == 7, "dir").when(doc % 12 == 9, "chardev").otherwise("reg")
+    rows = catalog(spark, sf_dir).drop("hardlink", "type").withColumn("doc_id", F.col("id") - 1).withColumn("type", kind)
+    reg = F.col("type") == "reg"
+    rows = rows.withColumn("size", F.when(reg, F.col("size")).otherwise(0).cast("long")).withColumn("digest", F.when(reg, F.col("digest"))).withColumn("mtime", F.col("mtime") + doc * 1000 % 9973)
+    rows = rows.withColumn("link", F.when(F.col("type") == "symlink", F.concat(F.lit("to/"), doc))).withColumn("hardlink", F.when(F.col("type") == "hardlink", doc)).withColumn("rdev", F.when(F.col("type") == "chardev", F.array(doc % 7, doc % 5)))
+    rows = rows.withColumn("xattrs", F.when(doc % 8 == 3, F.create_map(F.lit("user.b"), F.lit(b"1"), F.lit("user.a"), F.lit(b"2")))).withColumn("sparse", F.lit(None).cast("array<struct<off:bigint,len:bigint>>"))
+    rows = with_owner(rows).withColumn("codec", F.when(reg & F.col("data").isNull(), F.col("codec")).otherwise(-1)).withColumn("chunk", F.when(reg & F.col("data").isNull() & (F.col("size") > 0), F.lit(1024).cast("long")))
+    chunks = F.transform(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("size") / 1024)), lambda i: F.least(F.lit(1024).cast("long"), F.col("size") - (i - 1) * 1024))
+    rows = rows.withColumn("chunks", F.when(F.col("chunk").isNotNull(), chunks))
+    return rows.withColumn("len", F.when(reg & F.col("data").isNull(), F.col("size"))).drop("doc_id")
+
+
+def typed_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of ``typed_catalog`` after removals, edits, touches and changed links."""
+    doc = F.col("id") - 1
+    rows = typed_catalog(spark, sf_dir)
+    target = rows.select(F.col("id").alias("t_id"), F.col("size").alias("t_size"), F.col("digest").alias("t_digest"), F.col("mtime").alias("t_mtime"))
+    both = rows.filter(doc % 11 != 0).join(target, F.col("hardlink") == F.col("t_id"), "left")
+    linked = F.col("hardlink").isNotNull()
+    edited = F.coalesce("t_digest", "digest")
+    return both.select(
+        "path", F.when(linked, "reg").when(doc % 29 == 0, "fifo").otherwise(F.col("type")).alias("type"), (F.coalesce("t_size", "size") + F.when(doc % 13 == 0, 1).otherwise(0)).alias("size"),
+        F.when(doc % 19 == 0, F.concat(F.lit("0"), F.substring(edited, 2, 63))).otherwise(edited).alias("digest"), (F.coalesce("t_mtime", "mtime") + F.when(doc % 17 == 0, 5).when(doc % 23 == 0, -5).otherwise(0)).alias("mtime"), "mode",
+        F.when(F.col("link").isNotNull(), F.concat("link", F.when(doc % 48 == 0, "/moved").otherwise(""))).alias("link"))
