@@ -486,23 +486,71 @@ def test_conversations_stand_in_reply_order(spark, monkeypatch):
     rng = random.Random(4)
     said, want = [], {}
     for conv in (1, 2, 3):
-        parent = {}
+        parent, own = {}, []
         for turn in range(40):
             parent[turn] = rng.randrange(turn) if turn > 1 and rng.random() < 0.5 and conv < 3 else turn - 1
-            said.append((conv, turn, "a", f"> words of {conv} {parent[turn]}\nwords of {conv} {turn}" if parent[turn] < turn - 1 else f"words of {conv} {turn}"))
+            own.append((turn, parent[turn] < turn - 1, "a", f"> words of {conv} {parent[turn]}\nwords of {conv} {turn}" if parent[turn] < turn - 1 else f"words of {conv} {turn}"))
             if turn % 9 == 8:
-                said.append((conv, turn, "b", "beside"))
-
-        def walk(turn):
-            return [turn] + [x for t in sorted(t for t, p in parent.items() if p == turn) for x in walk(t)]
-
-        order = [(t, role) for t in walk(0) for role in "ab" if role == "a" or t % 9 == 8]
-        want |= {(conv, *x): k for k, x in enumerate(order)}
+                own.append((turn, False, "b", "beside"))
+        own.sort()
+        said += [(conv, turn, role, t) for turn, _, role, t in own]
+        # a message follows the one before it, or the last one of the turn that it quotes
+        replies = {}
+        for i, (turn, breaks, _, _) in enumerate(own[1:], 1):
+            up = max(k for k, m in enumerate(own) if m[0] == parent[turn]) if breaks else i - 1
+            replies.setdefault(up, []).append(i)
+        todo, place = [0], 0
+        while todo:
+            i = todo.pop()
+            want[conv, own[i][0], own[i][2]] = place
+            place += 1
+            todo += replies.get(i, [])[::-1]
     rng.shuffle(said)
     got = quotes.conversations(spark.createDataFrame(said, "conv_id long, turn long, role string, text string")).collect()
     assert {(r["conv_id"], r["turn"], r["role"]): r["position"] for r in got} == want
 
 
+def test_messages_of_one_turn_have_their_own_links(spark):
+    said = [(1, 0, "a", "The first words"), (1, 1, "a", "Second words"), (1, 2, "a", "> The first words\nyes"), (1, 2, "b", "nothing quoted"), (1, 2, "b", "nothing quoted"), (1, None, "z", "Before all"), (1, 3, "a", "> Before all\nso"), (None, None, None, None), (2, 5, "a", "> " * 400 + "deep\n" + "long " * 100_000)]
+    rows = spark.createDataFrame([(*m, "x", 1) for m in said], "conv_id long, turn long, role string, text string, position string, parent_turn int").repartition(3)
+    got = quotes.conversations(rows).collect()
+    assert len(got) == len(said) and sorted(r["position"] for r in got if r["conv_id"] == 1) == list(range(7))
+    of = lambda turn, role: [r for r in got if r["conv_id"] == 1 and r["turn"] == turn and r["role"] == role]
+    assert [(r["quoted_turn"], r["parent_turn"]) for r in of(2, "b")] == [(None, 1), (None, 1)] and of(2, "a")[0]["quoted_turn"] == 0
+    late = of(3, "a")[0]
+    assert late["quoted_turn"] is None and late["parent_turn"] is None and late["quoted_turns"] is not None
+    assert quotes.conversations(rows.limit(0)).count() == 0
+
+
+def test_traversal_visits_cells_in_order():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        a, b = rng.integers(0, 9, rng.integers(1, 9)) / 8, rng.integers(0, 9, rng.integers(1, 9)) / 8
+        stop = float(rng.random() * 2)
+        got = list(embeddings.traverse(a, b, stop))
+        assert [x for *_, x in got] == sorted(x for *_, x in got)
+        assert {(i, j) for i, j, _ in got} == {(i, j) for i in range(len(a)) for j in range(len(b)) if a[i] + b[j] <= stop} and len(got) == len({g[:2] for g in got})
+
+
+def test_embedding_recall(spark, monkeypatch):
+    """Many cells; all links at a target of 1, at least the target's share below it."""
+    import numpy as np
+
+    monkeypatch.setattr(embeddings, "CELL", 20)
+    rng = np.random.default_rng(1)
+    centers = rng.normal(size=(150, 16))
+    x = np.concatenate([centers + rng.normal(scale=s, size=centers.shape) for s in (0.0, 0.12, 0.16, 0.2, 0.24)])
+    x[7] *= 1e200
+    x[8] *= 1e-200
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(3)
+    u = embeddings.unit(x)
+    linked = (u @ u.T >= 0.93).sum(axis=1) - 1
+    found = {recall: sum(r["n_links"] for r in embeddings.link(df, recall=recall).collect()) for recall in (1.0, 0.95)}
+    assert linked.sum() > 400 and found[1.0] == linked.sum() and 0.9 * linked.sum() <= found[0.95] <= linked.sum()
+
+
 def test_trained_filters_add_to_the_word_odds():
     """Labels that only the order of two common words tells: word odds know nothing of them."""
     import numpy as np
