@@ -397,10 +397,12 @@ def _rounds(regions: DataFrame, labels: DataFrame, classes: DataFrame, texts: Da
         more = scratch.write(read_.groupBy(*block).applyInPandas(_verify, "a long, b long"), "links")
         scratch.drop(rows, counts, near)
         if not more.isEmpty():
-            new = scratch.components(more, "a", "b").select(F.col("node").alias("label"), F.col("component").alias("renewed"))
-            old = labels.withColumnRenamed("component", "label").join(new, "label", "full_outer")
-            # a label that no link had named yet is a row of its own
-            renewed = old.select(F.coalesce("node", "label").alias("node"), F.coalesce("renewed", "label").alias("component"))
+            new = scratch.write(scratch.components(more, "a", "b").select(F.col("node").alias("label"), F.col("component").alias("renewed")), "renewed")
+            # labels may be hot; one that no link had named yet is a row of its own
+            named = labels.select("node", F.col("component").alias("label")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int"))
+            renewed = named.join(new.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["label", "salt"], "left").select("node", F.coalesce("renewed", "label").alias("component"))
+            own = new.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("renewed").alias("component"))
+            renewed = renewed.union(own)
             labels = scratch.write(renewed, "labels")
     return labels
 

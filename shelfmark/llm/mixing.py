@@ -34,7 +34,7 @@ BLOCK = 64
 #: Slots of an output shard at least, and output shards at most.
 SHARD_SLOTS, MAX_SHARDS = 1024, 1 << 20
 #: Rows summed by one task of the first level of a prefix sum, about.
-BUCKET_ROWS = 5_000
+BUCKET_ROWS = 1_000
 #: Slots handled by a task, about.
 TASK_SLOTS = 100_000
 #: Rounds of the permutation, and steps of its cycle walk (each leaves the domain with a chance of 1 / sqrt(n)).
