@@ -11,11 +11,12 @@ they are hits, a superset of the truth (32-bit hashes within a partition).
 
 Pass 2 reads the texts with hits only and extends the hits: each WINDOW-word window whose
 whole blocks all are hits is hashed in 80 bits and counted over the corpus the same way.
-Windows with two or more starts are repeats; neighbouring ones join to maximal exact
-repeats, and the words they cover go.
+Windows with two or more starts are repeats; overlapping ones extend to maximal repeated
+passages (``passages``), and the words they cover go. The number of partitions follows the
+corpus, so none grows with it.
 
 Defined cases: a null, empty or blank text has no words; texts with fewer than WINDOW words
-have no windows and stay whole; repeated rows repeat each other's windows, whatever their
+have no windows and stay whole; longer ones are read whole, whatever their length; repeated rows repeat each other's windows, whatever their
 doc_id; null doc_ids are rows like others; extra columns are ignored.
 """
 
@@ -37,6 +38,8 @@ _U = np.uint64
 WINDOW, BLOCK = 35, 18
 #: Text bytes whose windows are made distinct together before the shuffle.
 BATCH = 8 << 20
+#: Text bytes for each partition of hashes.
+PART = 128 << 20
 
 FIRST = "part int, batch string, pack binary, rows binary, begins binary"
 
@@ -254,7 +257,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> tuple[
     if 2 * block - 1 > window:
         raise ValueError("a window must hold a whole block")
     spark = docs.sparkSession
-    parts = scratch.shuffle_partitions(spark)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(scratch.shuffle_partitions(spark), -(-size // PART))
     made = docs.select("row", "text").mapInArrow(first_pass(parts, window, block), FIRST)
     hits = scratch.write(_probe(made, ["<u4"], True), "hits")
     scratch.release(spark)
@@ -266,6 +270,25 @@ def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> tuple[
     return texts.drop("starts"), starts
 
 
+def _spans(window: int):
+    def run(batches):
+        for batch in batches:
+            for row, starts in zip(batch.column("row").to_pylist(), batch.column("starts").to_pylist()):
+                at = np.frombuffer(starts, "<i4").astype(np.int64)
+                cut = np.flatnonzero(np.concatenate([[True], at[1:] > at[:-1] + window])) if len(at) else at
+                begin, end = at[cut], at[np.append(cut[1:], len(at)) - 1] + window if len(at) else at
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(begin), row)), pa.array(begin), pa.array(end)], ["row", "begin", "end"])
+
+    return run
+
+
+def passages(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """(row, begin, end): the maximal passages, in words, that windows with another start cover.
+    ``docs`` has row (unique), doc_id and text."""
+    _, starts = repeats(docs, window, block)
+    return starts.mapInArrow(_spans(window), "row long, begin long, end long")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row of ``docs``."""
     spark = docs.sparkSession
