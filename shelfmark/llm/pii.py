@@ -1,8 +1,8 @@
 """Personal data by weak supervision.
 
 Base spans come from fixed patterns and checks. Looser candidates (phone numbers without
-a plus sign, addresses written out with "at" and "dot", identity numbers) are voted on by
-three labelers: the pattern's own check (1 for base spans, which are true; 0 for looser ones
+a plus sign, addresses written out with "at" and "dot", identity numbers, secret tokens) are
+voted on by three labelers: the pattern's own check (1 for base spans, which are true; 0 for looser ones
 that fail it, else none), a gazetteer (top-level names, dialling prefixes) and the words
 before (0 without a cue). Expectation-maximisation over the counts of the looser vote
 patterns estimates each labeler's reliability by kind of candidate; the posteriors train a
@@ -11,13 +11,15 @@ spans, are added; base spans always stay. Vote and shape patterns are few by con
 so their counts over the whole corpus fit the driver at any size.
 
 Defined cases: a null text is empty; texts of any length are scanned once; null doc_ids and
-repeated rows stay; no candidates or no documents leave the classifier rejecting all.
+repeated rows stay; no candidates or no documents leave the classifier rejecting all; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -40,18 +42,22 @@ LOOSE = {
     "email": re.compile(r"\b[a-z0-9._-]{2,64} ?[\[(]?\bat\b[\])]? ?[a-z0-9-]{2,63} ?[\[(]?\bdot\b[\])]? ?[a-z]{2,8}\b", re.I),
     "phone": re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])"),
     "id": re.compile(r"(?<![0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9.-])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_@-])"),
 }
 SEPARATORS = "()[].- "
+#: How issued tokens begin; what many are written in.
+ISSUED, HEX = re.compile(r"(sk|pk|ghp|gho|xox[abp]|glpat|AKIA|ASIA|eyJ)[A-Za-z0-9_-]"), re.compile(r"[0-9a-f]+|[0-9A-F]+")
 #: A vote pattern: kind, votes, shape.
 PATTERN = re.compile(r"([a-z]+)([012]{3})(.*)")
 #: Rates before any evidence, P(vote 1 | truth) by truth, and their weight in shares of a kind's candidates; that of the even prior.
 RATE, RATE_WEIGHT, PRIOR_WEIGHT = (0.2, 0.8), 0.5, 2.0
-#: The same where a labeler is known to differ, by kind and labeler: eight of ten numbers pass as dialling prefixes by chance.
-RATES = {("phone", 1): (0.8, 0.95)}
+#: The same where a labeler is known to differ, by kind and labeler: eight of ten numbers pass as dialling prefixes by chance, and checksums look like tokens.
+RATES = {("phone", 1): (0.8, 0.95), ("secret", 1): (0.7, 0.9)}
 ENDINGS = frozenset("com org net edu gov io info de fr es eu uk".split())
 CUES = {
     "email": re.compile(r"(mail|contact|write|address|correo|adresse)\W*(\w+\W+){0,3}$", re.I),
     "phone": re.compile(r"(phone|tel|call|mobile|fax|telefon|appel)\w*\W*(\w+\W+){0,3}$", re.I),
+    "secret": re.compile(r"(token|secret|passw|api.?key|access.?key|private.?key|credential|auth|bearer)\w*\W*(\w+\W+){0,2}$", re.I),
     "id": re.compile(r"(ssn|social|identity|security|tax)\w*\W*(\w+\W+){0,3}$", re.I),
     "ip": re.compile(r"(ip|host|server|address)\W*(\w+\W+){0,3}$", re.I),
     "card": re.compile(r"(card|visa|credit|karte|carte|tarjeta)\w*\W*(\w+\W+){0,3}$", re.I),
@@ -108,6 +114,9 @@ def votes(kind: str, strict: bool, text: str, start: int, end: int) -> tuple[int
     elif kind == "id":
         check = digits[:1] != "9"
         gazetteer = 0 if digits[:3] in ("000", "666") or digits[3:5] == "00" or digits[5:] == "0000" else 2
+    elif kind == "secret":
+        check = len(set(own)) >= 8
+        gazetteer = 1 if ISSUED.match(own) or (len(own) in (32, 40, 48, 64) and HEX.fullmatch(own)) else 0 if own.count("/") > 2 or own.count("-") > 4 else 2
     else:
         gazetteer = 2
     context = int(bool(CUES[kind].search(text, max(0, start - 40), start)))
@@ -134,9 +143,13 @@ def _find(batches):
             loose, votes_seen = [], []
             for kind, start, end in own:
                 votes_seen.append(pattern(kind, True, text, start, end))
+            begins = [s for _, s, _ in sorted(own, key=lambda x: x[1])]
+            reach = list(accumulate((e for _, _, e in sorted(own, key=lambda x: x[1])), max))
             for kind, loosely in LOOSE.items():
                 for m in loosely.finditer(text):
-                    if not any(s < m.end() and m.start() < e for _, s, e in own):
+                    # spans that begin before its end; do they reach its start?
+                    k = bisect_left(begins, m.end())
+                    if not k or reach[k - 1] <= m.start():
                         v = pattern(kind, False, text, *m.span())
                         loose.append({"kind": kind, "start": m.start(), "end": m.end(), "votes": v})
                         votes_seen.append(v)
@@ -209,11 +222,11 @@ def personal_data(docs: DataFrame) -> DataFrame:
     found = scratch.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_find, FOUND), "pii")
     patterns = [(r["votes"], r["count"]) for r in found.select(F.explode("seen").alias("votes")).groupBy("votes").count().orderBy("votes").collect()]
     accepted = [p for p, x in span_classifier(patterns).items() if x >= 0.5]
-    order = F.array(*[F.lit(k) for k in (*KINDS, "id")])
+    order = F.array(*[F.lit(k) for k in (*KINDS, "id", "secret")])
     added = F.filter("more", lambda s: s["votes"].isin(accepted) if accepted else F.lit(False))
     every = F.concat("base", F.transform(added, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
     ranked = F.array_sort(F.transform(every, lambda s: F.struct(F.array_position(order, s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(ranked).alias("spans"), F.size(added).alias("n_added"))
+    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(ranked).alias("spans"), F.size(added).alias("n_added"), F.size(F.filter(added, lambda s: s["kind"] == "secret")).alias("n_secret"))
 
 
 def op6_personal_data(spark, sf_dir: str) -> DataFrame:
