@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import uuid
@@ -11,14 +12,37 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a temporary folder, but only if
+    the driver runs all tasks itself; a cluster has to name a folder that it shares."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="shelfmark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+#: Written tables by session that haven't been dropped; a result may still read them, so they go
+#: at the end.
+_LEFT: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _clean() -> None:
+    for path, spark in list(_LEFT.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # the session has ended; its folder goes with it
+            return
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _LEFT.pop(path, None)
+
+
 def write(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once as Parquet in the shared folder and returns a reader of it.
 
@@ -27,6 +51,7 @@ def write(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/shelfmark-{name}-{uuid.uuid4().hex}"
+    _LEFT[path] = spark
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.shelfmark_path = path
@@ -43,9 +68,7 @@ def write_counted(df: DataFrame, name: str) -> tuple[DataFrame, tuple]:
 def drop(*tables: DataFrame) -> None:
     """Deletes written tables that no later step reads."""
     for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table.shelfmark_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(table.sparkSession, table.shelfmark_path)
 
 
 def release(spark: SparkSession) -> None:

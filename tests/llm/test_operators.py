@@ -449,6 +449,31 @@ def test_pii_context_decides(spark, cued, bare):
     assert {got[k] for k in range(1000, 1000 + cued)} == {2} and {got[k] for k in range(1000 + cued, len(rows))} == {0}
 
 
+def test_pii_secrets_and_defined_cases(spark):
+    rng = random.Random(6)
+    token = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [(1, f'api token = "{token(40)}" here'), (1, f'api token = "{token(40)}" here'), (None, f"secret: {token(32)} x"), (2, f"built from commit {token(40)} today"), (3, "averyveryverylongplainwordwithoutdigits 12345678901234567890123"), (4, None)]
+    rows += [(100 + i, f"password {token(32)} and more") for i in range(30)] + [(200 + i, f"the checksum {token(64)} of it") for i in range(60)]
+    rows += [(5, "mail a@b.cc " * 20_000 + f"token {token(40)}"), (6, "555-123-4567 " * 20_000)]
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, spans string, n_ip int").repartition(3)
+    got = pii.personal_data(df).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append(r)
+    assert len(got) == len(rows) and [r["n_secret"] for r in by[1]] == [1, 1] and by[None][0]["n_secret"] == 1 and by[2][0]["n_secret"] == 0 and by[3][0]["n_added"] == 0 and by[4][0]["spans"] == ""
+    assert all(by[100 + i][0]["n_secret"] == 1 for i in range(30)) and all(by[200 + i][0]["n_secret"] == 0 for i in range(60))
+    assert by[5][0]["n_email"] == 20_000 and by[5][0]["n_secret"] == 1
+
+
+def test_passages(spark):
+    rng = random.Random(2)
+    w = [f"w{i}" for i in range(400)]
+    shared = w[:60]
+    docs = [(0, shared + w[100:150]), (1, w[200:230] + shared + w[300:340] + shared[:40]), (2, w[150:190]), (3, [])]
+    got = repeats.passages(spark.createDataFrame([(i, i, " ".join(t)) for i, t in docs], "row long, doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(0, 0, 60), (1, 30, 90), (1, 130, 170)] and rng
+
+
 def test_embeddings(spark):
     rng = random.Random(2)
     out = []
