@@ -1,13 +1,15 @@
 """A catalog with its content: create, append, update, delete, compact, recompress, verify, extract.
 
 Content lies in tables of stored chunks (id, pos, stored, plain_size), one for each generation
-that adds any; the manifest names them and the codecs. Files are read, encoded, decoded and
-written by tasks, a chunk at a time.
+that adds any; the manifest names them, the codecs and, once encrypted, the key header. Files are
+read, encoded, sealed, decoded and written by tasks, a chunk at a time. Trained dictionaries are
+a table of their own.
 """
 
 from __future__ import annotations
 
 import hashlib
+import hmac
 import json
 import os
 import uuid
@@ -16,9 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import Corrupt
+from ..errors import Corrupt, Usage
 from ..functions import codecs as C
+from ..functions import dictionaries as D
 from ..functions import paths as P
+from ..functions import sealing as K
 from ..operators import catalog as O
 from ..operators.metadata import storable
 from ..operators.order import next_id, numbered, running_total
@@ -30,9 +34,19 @@ CHUNK = 4 << 20
 STORED = "id long, pos int, stored binary, plain_size long"
 
 
+FIRST_DICTIONARY = 1 << 15
+
+
+def _facts(header: K.Header) -> dict:
+    return {"uuid": header.uuid.hex(), "salt": header.salt.hex(), "cost": header.cost, "wrapped": header.wrapped.hex()}
+
+
 class Archive:
-    def __init__(self, spark: SparkSession, path: str):
+    """``passphrase`` opens an encrypted one."""
+
+    def __init__(self, spark: SparkSession, path: str, passphrase: bytes | None = None):
         self.spark, self.store = spark, Store(spark, path)
+        self.keys = K.unlock(self.header(), passphrase) if passphrase else None
 
     # what is there
 
@@ -46,24 +60,56 @@ class Archive:
         rows = [(i, c["name"], c["params"]) for i, c in enumerate(self.codecs())]
         return self.spark.createDataFrame(rows, "pos int, name string, params map<string,string>")
 
+    def header(self) -> K.Header:
+        facts = self.store.manifest().get("header")
+        if not facts:
+            raise Usage("the catalog isn't encrypted")
+        return K.Header(bytes.fromhex(facts["uuid"]), bytes.fromhex(facts["salt"]), facts["cost"], bytes.fromhex(facts["wrapped"]))
+
+    def _sealed(self) -> bool:
+        return self.store.latest() > 0 and "header" in self.store.manifest()
+
+    def _key(self) -> bytes | None:
+        """The key of content digests, of an encrypted catalog."""
+        if self._sealed() and not self.keys:
+            raise Usage("the catalog is encrypted, and no passphrase was given")
+        return self.keys.sub("content") if self.keys and self._sealed() else None
+
     def stored(self) -> DataFrame:
-        """Stored chunks of all owners, tombstones included."""
+        """Stored chunks of all owners, tombstones included; ``stored`` is null where a seal
+        doesn't hold."""
         paths = self.store.manifest().get("content", [])
         if not paths:
             return self.spark.createDataFrame([], STORED)
-        return self.spark.read.schema(STORED).parquet(*[f"{self.store.path}/{p}" for p in paths])
+        rows = self.spark.read.schema(STORED).parquet(*[f"{self.store.path}/{p}" for p in paths])
+        return self._opened(rows) if self._key() else rows
+
+    def _opened(self, rows: DataFrame) -> DataFrame:
+        last = self.rows().select("id", (F.size("chunks") - 1).alias("last"))
+        marked = rows.join(last, "id").withColumn("final", F.col("pos") == F.col("last")).withColumnRenamed("stored", "sealed")
+        return K.unseal(marked, self.keys).select("id", "pos", F.col("opened").alias("stored"), "plain_size")
+
+    def dictionaries(self) -> DataFrame:
+        schema = "id int, gen int, size long, digest string, bytes binary"
+        paths = self.store.manifest().get("dictionaries", []) if self.store.latest() else []
+        return self.spark.read.schema(schema).parquet(*[f"{self.store.path}/{p}" for p in paths]) if paths else self.spark.createDataFrame([], schema)
 
     def plain(self, owners: DataFrame) -> DataFrame:
         """(id, pos, plain) of owners (id, codec): chunks decoded by the codec of each; null where
         a chunk is damaged."""
-        names = [c["name"] for c in self.codecs()]
+        known = self.codecs()
+        # dictionaries that codecs name: at most MAX_DICTS of MAX_TRAINED bytes
+        used = {c["dict"] for c in known if "dict" in c}
+        dicts = {r["id"]: D.checked(bytes(r["bytes"]), r["id"], r["size"], r["digest"]) for r in self.dictionaries().filter(F.col("id").isin(list(used))).collect()} if used else {}
+        codecs = [(c["name"], dicts.get(c.get("dict"))) for c in known]
 
         def run(batches):
             for rows in batches:
                 out = []
                 for data, size, codec in zip(rows["stored"], rows["plain_size"], rows["codec"]):
                     try:
-                        out.append(C.decode(bytes(data), names[codec] if codec >= 0 else "none", int(size)))
+                        name, dictionary = codecs[codec] if codec >= 0 else ("none", None)
+                        out.append(None if data is None else C.decode(bytes(data), name, int(size), dictionary))
                     except Corrupt:
                         out.append(None)
                 yield pd.DataFrame({"id": rows["id"], "pos": rows["pos"], "plain": out})
@@ -83,7 +129,10 @@ class Archive:
 
     def _add(self, seen, top, codec, chunk, dedup, policy, update) -> int:
         last = self.store.latest()
-        C.checked(codec["name"], codec["params"])
+        params = C.checked(codec["name"], codec["params"])
+        key = self._key()
+        if key:
+            seen = T.digested(seen.drop("digest"), top, key=key)
         seen = T.first_seen(seen).filter(storable(F.col("type"), F.col("link")) == "store").withColumn("path", P.store_path(F.col("path")))
         old = self.rows() if last else self.spark.createDataFrame([], ENTRY)
         plan = O.merge_plan(seen, old, policy or "replace", update)
@@ -92,7 +141,12 @@ class Archive:
             return last
         new = self._kept(numbered(new.select("old_id", *seen.columns), ["seq"], "n").withColumn("id", F.col("n") + next_id(old)), "new")
         facts = self.store.manifest() if last else {}
-        known = facts.get("codecs", [])
+        known, dicts, dictionary = facts.get("codecs", []), facts.get("dictionaries", []), None
+        if "train" in params:
+            found, dictionary = self._dictionary(new, top, params, last + 1)
+            codec = codec | ({"dict": dictionary[0]} if dictionary else {})
+            dicts = [*dicts, found] if found else dicts
+            dictionary = dictionary[1] if dictionary else None
         if codec["name"] != "none" and codec not in known:
             known = [*known, codec]
         rows = self._shared(O.first_names(new), old, dedup)
@@ -102,15 +156,41 @@ class Archive:
         if codec["name"] == "none":
             encoded = pieces.select("id", "pos", F.col("plain").alias("stored"), F.octet_length("plain").cast("long").alias("plain_size"))
         else:
-            encoded = C.encode_chunks(pieces, codec["name"], codec["params"]).select("id", "pos", F.col("encoded").alias("stored"), "plain_size")
-        encoded.write.parquet(f"{self.store.path}/{content}")
-        written = self.spark.read.schema(STORED).parquet(f"{self.store.path}/{content}")
+            encoded = C.encode_chunks(pieces, codec["name"], codec["params"], dictionary=dictionary).select("id", "pos", F.col("encoded").alias("stored"), "plain_size")
+        if key:
+            ends = own.select("id", (F.ceil(F.col("size") / chunk) - 1).alias("last"))
+            encoded = self._seal(encoded.join(ends, "id"))
+        written = self._write(encoded, content)
         rows = self._laid_out(rows, written, chunk, known.index(codec) if codec in known else -1, old)
         rows = rows.withColumn("gen", F.lit(last + 1).cast("long")).withColumn("dead", F.lit(False))
         gone = new.filter("old_id is not null").select(F.col("old_id").alias("id"), F.lit(True).alias("gone"))
         marked = old.join(gone, "id", "left").withColumn("dead", F.col("dead") | F.coalesce("gone", F.lit(False))).drop("gone")
         both = marked.select(*ENTRY.names).unionByName(self._typed(rows))
-        return self.store.commit(both, last, content=[*facts.get("content", []), content], codecs=known)
+        return self.store.commit(both, last, **(facts | {"content": [*facts.get("content", []), content], "codecs": known, "dictionaries": dicts}))
+
+    def _seal(self, chunks: DataFrame) -> DataFrame:
+        """Stored chunks, with ``last``, sealed."""
+        marked = chunks.withColumn("final", F.col("pos") == F.col("last"))
+        return K.seal(marked, self.keys, "stored").select("id", "pos", F.col("sealed").alias("stored"), "plain_size")
+
+    def _write(self, chunks: DataFrame, content: str) -> DataFrame:
+        chunks.write.parquet(f"{self.store.path}/{content}")
+        return self.spark.read.schema(STORED).parquet(f"{self.store.path}/{content}")
+
+    def _dictionary(self, new: DataFrame, top: str, params: dict[str, int], generation: int):
+        """(path of a table with a new dictionary or None, (id, bytes) or None): the newest one is
+        used again; else one is trained from the new files."""
+        held = D.newest(self.dictionaries()).collect()
+        if held:
+            return None, (held[0]["id"], D.checked(bytes(held[0]["bytes"]), held[0]["id"], held[0]["size"], held[0]["digest"]))
+        number = FIRST_DICTIONARY + generation
+        found = D.trained(self.spark, T.heads(new, top, D.SAMPLE), number, params["train"], params["level"])
+        if not found:
+            return None, None
+        path = f"dictionaries/{generation:08d}-{uuid.uuid4().hex}"
+        row = [(number, generation, len(found), hashlib.sha256(found).hexdigest(), bytearray(found))]
+        self.spark.createDataFrame(row, "id int, gen int, size long, digest string, bytes binary").write.parquet(f"{self.store.path}/{path}")
+        return path, (number, found)
 
     def _shared(self, new: DataFrame, old: DataFrame, dedup: bool) -> DataFrame:
         """Second names become hard links; equal content points to its first owner."""
@@ -148,7 +228,7 @@ class Archive:
 
     def delete(self, patterns: list[str] = (), expressions: list[str] = ()) -> int:
         facts, last = self.store.manifest(), self.store.latest()
-        return self.store.commit(O.tombstone(self.rows(), patterns, expressions), last, content=facts["content"], codecs=facts["codecs"])
+        return self.store.commit(O.tombstone(self.rows(), patterns, expressions), last, **facts)
 
     def compact(self, spec: str | None = None, params: dict[str, str] | None = None) -> int:
         """Drops what no live entry needs and writes the rest anew, codecs renumbered; with a
@@ -170,17 +250,58 @@ class Archive:
             old = self.codecs()
             table = self.spark.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(old)], "pos int, codec string")
             new = O.renumbered(table, rows).orderBy("new_pos").collect()
-            known = [old[r["pos"]] for r in new]
+            known = [old[r["pos"]] for r in new]  # dictionaries that no codec names any more go
             place = F.create_map(*[F.lit(x) for r in new for x in (r["pos"], r["new_pos"])]) if new else None
             rows = rows.withColumn("codec", F.coalesce(F.element_at(place, F.col("codec")), F.lit(-1))) if new else rows
             moved = self.stored().join(owners.select("id"), "id", "left_semi")
-        moved.write.parquet(f"{self.store.path}/{content}")
-        written = self.spark.read.schema(STORED).parquet(f"{self.store.path}/{content}")
+        if self._key():
+            ends = moved.groupBy("id").agg(F.max("pos").alias("last"))
+            moved = self._seal(moved.join(ends, "id"))
+        written = self._write(moved, content)
         sizes = written.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", F.octet_length("stored").cast("long").alias("n")))).alias("c"))
         rows = rows.drop("chunks", "off").join(sizes.select("id", F.transform("c", lambda c: c["n"]).alias("chunks")), "id", "left")
         rows = rows.withColumn("len", F.when(F.col("len").isNotNull(), F.aggregate(F.coalesce("chunks", F.array().cast("array<long>")), F.lit(0).cast("long"), lambda a, x: a + x)))
         rows = running_total(rows, ["id"], F.col("len"), "before").withColumn("off", F.when(F.col("len") > 0, F.col("before"))).drop("before")
-        return self.store.commit(self._typed(rows), last, content=[content], codecs=known)
+        facts = self.store.manifest()
+        return self.store.commit(self._typed(rows), last, **(facts | {"content": [content], "codecs": known, "dictionaries": facts.get("dictionaries", []) if any("dict" in c for c in known) else []}))
+
+    def encrypt(self, passphrase: bytes, cost: int = K.COST) -> int:
+        """Seals what ``compact`` would keep. The first pass decodes every content, checks its
+        digest and gives the keyed one, and a digest of each stored chunk; the second seals the
+        chunks, and only those that still are what the first pass saw."""
+        if self._sealed():
+            raise Usage("the catalog is encrypted already")
+        last, facts = self.store.latest(), self.store.manifest()
+        keys = K.new_keys()
+        rows = O.kept(self.rows())
+        owners = rows.filter("type = 'reg' and data is null").select("id", "codec", "digest", "size")
+        stored = self.stored().join(owners.filter("size > 0").select("id"), "id", "left_semi")
+        checked = self._kept(stored.select("id", "pos", F.sha2("stored", 256).alias("raw")), "checked")
+        plain = self.plain(owners)
+        found = self._digests(plain).join(self._digests(plain, keys.sub("content")).withColumnRenamed("actual", "keyed"), "id")
+        empty = hmac.digest(keys.sub("content"), b"", "sha256").hex()
+        named = self._kept(owners.join(found, "id", "left").select(F.col("id").alias("owner"), "digest", "size", "actual", F.when(F.col("size") == 0, empty).otherwise(F.col("keyed")).alias("keyed")), "named")
+        bad = named.filter((F.col("size") > 0) & ~F.col("actual").eqNullSafe(F.col("digest"))).orderBy("owner").first()
+        if bad:
+            raise Corrupt(f"entry {bad['owner']}: content fails its digest")
+        same = stored.join(checked, ["id", "pos"]).filter(F.sha2("stored", 256) == F.col("raw")).drop("raw")
+        self.keys = keys
+        content = f"content/{last + 1:08d}-{uuid.uuid4().hex}"
+        ends = rows.select("id", (F.size("chunks") - 1).alias("last"))
+        written = self._write(self._seal(same.join(ends, "id")), content)
+        if written.count() != checked.count():
+            raise Corrupt("content changed between the passes")
+        rows = rows.withColumn("owner", F.coalesce("data", "id")).join(named.select("owner", "keyed"), "owner", "left").withColumn("digest", F.when(F.col("digest").isNotNull(), F.col("keyed")))
+        sizes = written.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", F.octet_length("stored").cast("long").alias("n")))).alias("c"))
+        rows = rows.drop("chunks", "off").join(sizes.select("id", F.transform("c", lambda c: c["n"]).alias("chunks")), "id", "left")
+        rows = rows.withColumn("len", F.when(F.col("len").isNotNull(), F.aggregate(F.coalesce("chunks", F.array().cast("array<long>")), F.lit(0).cast("long"), lambda a, x: a + x)))
+        rows = running_total(rows, ["id"], F.col("len"), "before").withColumn("off", F.when(F.col("len") > 0, F.col("before"))).drop("before")
+        return self.store.commit(self._typed(rows), last, **(facts | {"content": [content], "header": _facts(keys.wrap(passphrase, cost))}))
+
+    def change_passphrase(self, old: bytes, new: bytes) -> int:
+        """Wraps the data key anew; no content is touched."""
+        facts, last = self.store.manifest(), self.store.latest()
+        return self.store.commit(self.rows(), last, **(facts | {"header": _facts(K.change_passphrase(self.header(), old, new))}))
 
     # what checks it
 
@@ -196,13 +317,13 @@ class Archive:
             sizes = self.stored().groupBy("id").agg(F.sum("plain_size").alias("plain"), F.sum(F.octet_length("stored")).alias("bytes"))
             found = owners.join(sizes, "id", "left").select(F.col("id").alias("owner"), ((F.coalesce("plain", F.lit(0)) == F.col("size")) & (F.coalesce("bytes", F.lit(0)) == F.coalesce("len", F.lit(0)))).alias("ok"))
         else:
-            digests = self._digests(self.plain(owners))
-            empty = hashlib.sha256(b"").hexdigest()
+            digests = self._digests(self.plain(owners), self._key())
+            empty = T.hasher(self._key()).hexdigest()
             actual = owners.join(digests.withColumnRenamed("id", "d_id"), F.col("id") == F.col("d_id"), "left")
             found = actual.select(F.col("id").alias("owner"), (F.when(F.col("d_id").isNull() & (F.col("size") == 0), F.lit(empty)).otherwise(F.col("actual")) == F.col("digest")).alias("ok"))
         return owned.join(found, "owner", "left").select("id", "path", "owner", F.coalesce("ok", F.lit(False)).alias("ok"))
 
-    def _digests(self, plain: DataFrame) -> DataFrame:
+    def _digests(self, plain: DataFrame, key: bytes | None = None) -> DataFrame:
         """(id, actual): digests of chunks in order; null if one is damaged."""
 
         def run(batches):
@@ -213,7 +334,7 @@ class Archive:
                     if i != now:
                         if now is not None:
                             out.append((now, h and h.hexdigest()))
-                        now, h = i, hashlib.sha256()
+                        now, h = i, T.hasher(key)
                     if data is None:
                         h = None
                     elif h is not None:
@@ -238,7 +359,7 @@ class Archive:
         contents = steps.filter("action = 'write'").select("path", F.col("content").alias("id"))
         parts = contents.join(rows.select("id", "codec"), "id")
         plain = parts.join(self.plain(parts.select("id", "codec").distinct()), "id", "left").select("path", "pos", "plain")
-        T.write_steps(steps, rows, chosen, plain, top)
+        T.write_steps(steps, rows, chosen, plain, top, self._key())
 
     def to_stream(self, out, patterns: list[str] = ()) -> None:
         """The contents of the chosen files, in order of path, to a binary stream; links give

@@ -68,7 +68,7 @@ class Store:
         try:
             rows.write.option("compression", "zstd").parquet(f"{self.path}/{snapshot}")
             # creating without overwriting is the commit: of two writers one fails here
-            text = json.dumps({"generation": number, "snapshot": snapshot} | facts).encode()
+            text = json.dumps(facts | {"generation": number, "snapshot": snapshot}).encode()
             try:
                 out = self._fs.create(target, False)
             except Py4JJavaError:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import grp
 import hashlib
+import hmac
 import os
 import pwd
 import stat
@@ -105,14 +106,19 @@ def pieces(rows: DataFrame, top: str, size: int, follow: bool = False) -> DataFr
     return rows.select("id", "path", "dev", "ino").mapInPandas(run, "id long, pos int, plain binary")
 
 
-def digested(rows: DataFrame, top: str, follow: bool = False) -> DataFrame:
+def hasher(key: bytes | None = None):
+    """A digest of content; keyed where there is a key."""
+    return hmac.new(key, digestmod="sha256") if key else hashlib.sha256()
+
+
+def digested(rows: DataFrame, top: str, follow: bool = False, key: bytes | None = None) -> DataFrame:
     """Adds ``digest`` of the files, read by tasks in pieces; null for all other types."""
 
     def run(batches):
         for batch in batches:
             out = []
             for r in batch.itertuples():
-                h = hashlib.sha256()
+                h = hasher(key)
                 with open_seen(top, r.path, r.dev, r.ino, follow) as f:
                     while data := f.read(PIECE):
                         h.update(data)
@@ -123,6 +129,20 @@ def digested(rows: DataFrame, top: str, follow: bool = False) -> DataFrame:
     return rows.join(files.mapInPandas(run, "d_seq long, digest string"), F.col("seq") == F.col("d_seq"), "left").drop("d_seq")
 
 
+def heads(rows: DataFrame, top: str, size: int, follow: bool = False) -> DataFrame:
+    """(path, bytes): the first bytes of the files."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                with open_seen(top, r.path, r.dev, r.ino, follow) as f:
+                    out.append(f.read(size))
+            yield pd.DataFrame({"path": batch["path"], "bytes": out})
+
+    return rows.filter("type = 'reg'").select("path", "dev", "ino").mapInPandas(run, "path string, bytes binary")
+
+
 def read_tree(spark: SparkSession, top: str, digests: bool = True, **options) -> DataFrame:
     """A tree that the driver and the executors can see; file systems of a cluster are listed
     with ``spark.read.format("binaryFile")``."""
@@ -204,7 +224,7 @@ def write_tree(steps: DataFrame, rows: DataFrame, content: DataFrame, top: str)
         os.utime(full, ns=(r["mtime"], r["mtime"]))
 
 
-def write_parts(parts, top: str, facts: dict) -> None:
+def write_parts(parts, top: str, facts: dict, key: bytes | None = None) -> None:
     """Writes files from their chunks in order: (path, pos, plain) sorted by path and pos, with
     facts {path: (digest, mode, mtime, xattrs)}; each goes beside its target and is renamed once
     its digest is right, so a retried task writes the same file again."""
@@ -232,7 +252,7 @@ def write_parts(parts, top: str, facts: dict) -> None:
         if r["path"] != now:
             if now is not None:
                 finish()
-            now, h = r["path"], hashlib.sha256()
+            now, h = r["path"], hasher(key)
             full = below(top, now)
             os.makedirs(os.path.dirname(full), exist_ok=True)
             temp = f"{full}.{uuid.uuid4().hex}"
@@ -246,7 +266,7 @@ def write_parts(parts, top: str, facts: dict) -> None:
         finish()
 
 
-def write_steps(steps: DataFrame, rows: DataFrame, chosen: DataFrame, plain: DataFrame, top: str) -> None:
+def write_steps(steps: DataFrame, rows: DataFrame, chosen: DataFrame, plain: DataFrame, top: str, key: bytes | None = None) -> None:
     """Carries out ``extraction`` steps with contents (path, pos, plain): files in tasks, all else
     in order of path on the driver. chosen: the entries under the paths that they are written to."""
     holder = rows.select(F.col("id").alias("held"), F.col("digest").alias("h_digest"), F.col("mode").alias("h_mode"), F.col("mtime").alias("h_mtime"))
@@ -263,7 +283,7 @@ def write_steps(steps: DataFrame, rows: DataFrame, chosen: DataFrame, plain: Dat
                 facts.setdefault(r["path"], (r["digest"], r["mode"], r["mtime"], r["xattrs"]))
                 yield r
 
-        write_parts(told(), top, facts)
+        write_parts(told(), top, facts, key)
 
     os.makedirs(top, exist_ok=True)
     for r in meta.filter("phase = 1").orderBy("path").toLocalIterator():

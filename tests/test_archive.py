@@ -191,3 +191,53 @@ def test_listing_of_an_archive(spark, tree, tmp_path):
     line = listing.totals_line(O.totals(rows)).first()["line"]
     assert "4 files" in line and "1 same as another" in line and line.endswith("generation 1, 1 tombstoned")
     assert listing.aligned([["a", "bb", "c"], ["aaa", "b", "cc"]], {1}) == ["a    bb  c", "aaa   b  cc"]
+
+
+def test_encrypted_archive(spark, tree, tmp_path):
+    from shelfmark.errors import Usage
+    from shelfmark.functions import sealing as K
+
+    path = str(tmp_path / "store")
+    archive = Archive(spark, path)
+    archive.create(T.read_tree(spark, str(tree)), str(tree), "zstd", {"level": "3"}, chunk=4096)
+    plain = listed(archive)
+    assert archive.encrypt(b"word", 12) == 2 and all(r["ok"] for r in archive.verify().collect())
+    rows = listed(archive)
+    assert rows["src/a.txt"]["digest"] == rows["src/b.txt"]["digest"] != plain["src/a.txt"]["digest"] and rows["empty"]["digest"] not in (None, plain["empty"]["digest"]) and rows["src/large.bin"]["len"] > plain["src/large.bin"]["len"]
+    with pytest.raises(Usage):
+        Archive(spark, path).verify()
+    with pytest.raises(K.WrongPassphrase):
+        Archive(spark, path, b"wrong")
+    other = Archive(spark, path, b"word")
+    (tree / "more.txt").write_bytes(b"the same content\n" * 3000)
+    (tree / "other.txt").write_bytes(b"other " * 5000)
+    assert other.append(T.read_tree(spark, str(tree)), str(tree), update="digest", chunk=4096) == 3
+    rows = listed(other)
+    assert rows["more.txt"]["data"] == rows["src/a.txt"]["id"] and {p for p, r in rows.items() if r["gen"] == 3} == {"more.txt", "other.txt", "."}
+    assert other.change_passphrase(b"word", b"new") == 4 and other.compact() == 5
+    last = Archive(spark, path, b"new")
+    assert all(r["ok"] for r in last.verify().collect())
+    last.extract(str(tmp_path / "out"))
+    assert (tmp_path / "out/other.txt").read_bytes() == b"other " * 5000 and (tmp_path / "out/zlink").read_bytes() == (tree / "src/large.bin").read_bytes()
+    with pytest.raises(K.WrongPassphrase):
+        Archive(spark, path, b"word")
+    with pytest.raises(Usage):
+        last.encrypt(b"again")
+
+
+def test_archive_with_a_dictionary(spark, tmp_path):
+    top = tmp_path / "in"
+    top.mkdir()
+    for i in range(400):
+        (top / f"f{i:03}.json").write_text(f'{{"name": "user{i}", "roles": ["reader", "writer"], "created": "2024-{i % 12 + 1:02}-01", "active": {i % 2}}}' * 3)
+    archive, bare = Archive(spark, str(tmp_path / "store")), Archive(spark, str(tmp_path / "bare"))
+    seen = T.read_tree(spark, str(top))
+    archive.create(seen, str(top), "zstd", {"train": "4K"})
+    bare.create(seen, str(top), "zstd")
+    held = lambda a: sum(r["len"] or 0 for r in a.rows().collect())
+    assert archive.codecs()[0]["dict"] == archive.dictionaries().first()["id"] and held(archive) < held(bare) and all(r["ok"] for r in archive.verify().collect())
+    (top / "new.json").write_text('{"name": "user", "roles": ["reader", "writer"], "created": "2024-01-01", "active": 1}' * 2)
+    archive.append(T.read_tree(spark, str(top)), str(top), update="digest", spec="zstd", params={"train": "4K"})
+    assert archive.dictionaries().count() == 1 and len(archive.codecs()) == 1 and all(r["ok"] for r in archive.verify().collect())
+    archive.compact("gzip")
+    assert archive.dictionaries().count() == 0 and all(r["ok"] for r in archive.verify().collect())
