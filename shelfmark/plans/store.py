@@ -1,17 +1,23 @@
-"""Generations as Parquet snapshots; a manifest file commits each. A half-written manifest
-doesn't parse, so it commits nothing."""
+"""Generations as Parquet: a snapshot and the changes since; a manifest file commits each. A
+half-written manifest doesn't parse, so it commits nothing."""
 
 from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import Corrupt, Locked
 
 
+#: Generations of changes upon one snapshot.
+MOST_CHANGES = 16
+
+
 class Store:
     """A catalog at a path of any Hadoop file system."""
 
@@ -37,7 +43,8 @@ class Store:
             if name.endswith(".json") and name[:-5].isdigit():
                 try:
                     found = json.loads(self._text(f.getPath()))
-                    if self._fs.exists(self._Path(f"{self.path}/{found['snapshot']}/_SUCCESS")):
+                    parts = [found["snapshot"], *[p for change in found.get("changes", []) for p in (change["rows"], change["gone"])]]
+                    if all(self._fs.exists(self._Path(f"{self.path}/{p}/_SUCCESS")) for p in parts):
                         out[int(found["generation"])] = found
                 except (ValueError, KeyError, TypeError):
                     continue  # a damaged manifest isn't a commit
@@ -59,16 +66,31 @@ class Store:
     def commit(self, rows: DataFrame, expected: int, **facts) -> int:
         """Writes the next generation if ``expected`` is still the latest, else Locked; ``facts``
         go into its manifest. What a failed commit has written is removed."""
+        snapshot = f"snapshots/{expected + 1:08d}-{uuid.uuid4().hex}"
+        facts.pop("changes", None)
+        return self._commit({snapshot: rows}, expected, facts | {"snapshot": snapshot})
+
+    def commit_changes(self, rows: DataFrame, gone: DataFrame, expected: int, **facts) -> int:
+        """The same, of new rows and the ids (``id``) of entries that become tombstones. Only these
+        are written; after MOST_CHANGES generations the whole is written anew."""
+        last = self.manifest(expected)
+        changes = last.get("changes", [])
+        if len(changes) >= MOST_CHANGES:
+            return self.commit(self._read(last, (rows, gone)), expected, **facts)
+        name = f"snapshots/{expected + 1:08d}-{uuid.uuid4().hex}"
+        change = {"rows": f"{name}-rows", "gone": f"{name}-gone"}
+        return self._commit({change["rows"]: rows, change["gone"]: gone.select("id")}, expected, facts | {"snapshot": last["snapshot"], "changes": [*changes, change]})
+
+    def _commit(self, tables: dict[str, DataFrame], expected: int, facts: dict) -> int:
         number = expected + 1
         target = self._Path(f"{self.path}/manifests/{number:08d}.json")
         if self.latest() != expected or self._fs.exists(target):
             raise Locked(f"generation {number} was committed by another writer")
-        snapshot = f"snapshots/{number:08d}-{uuid.uuid4().hex}"
-        written = self._Path(f"{self.path}/{snapshot}")
         try:
-            rows.write.option("compression", "zstd").parquet(f"{self.path}/{snapshot}")
+            for name, rows in tables.items():
+                rows.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
             # creating without overwriting is the commit: of two writers one fails here
-            text = json.dumps(facts | {"generation": number, "snapshot": snapshot}).encode()
+            text = json.dumps(facts | {"generation": number}).encode()
             try:
                 out = self._fs.create(target, False)
             except Py4JJavaError:
@@ -76,12 +98,23 @@ class Store:
             out.write(bytearray(text))
             out.close()
         except BaseException:
-            self._fs.delete(written, True)
+            for name in tables:
+                self._fs.delete(self._Path(f"{self.path}/{name}"), True)
             raise
         return number
 
     def read(self, generation: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self.manifest(generation)['snapshot']}")
+        return self._read(self.manifest(generation))
+
+    def _read(self, manifest: dict, more: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+        table = lambda name: self.spark.read.parquet(f"{self.path}/{name}")
+        out = table(manifest["snapshot"])
+        changes = [(table(c["rows"]), table(c["gone"])) for c in manifest.get("changes", [])] + ([more] if more else [])
+        if not changes:
+            return out
+        gone = reduce(DataFrame.union, [g.select("id") for _, g in changes]).distinct().withColumn("gone", F.lit(True))
+        rows = reduce(DataFrame.unionByName, [r for r, _ in changes], out)
+        return rows.join(gone, "id", "left").withColumn("dead", F.col("dead") | F.coalesce("gone", F.lit(False))).select(*out.columns)
 
     def repair(self) -> int:
         """Removes manifests after the last valid generation; returns that generation."""

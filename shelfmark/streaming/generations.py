@@ -42,8 +42,7 @@ def append(store: Store, rows: DataFrame, update: str | None = None, batch: int
     new = new.select(*rows.columns).withColumn("gen", F.lit(last + 1).cast(dict(old.dtypes)["gen"]))
     if new_ids:
         new = _named(new, next_id(old))
-    marked = old.join(gone.withColumn("gone", F.lit(True)), "id", "left").withColumn("dead", F.col("dead") | F.coalesce("gone", F.lit(False))).drop("gone")
-    return store.commit(marked.unionByName(new), last, **facts)
+    return store.commit_changes(new.select(*old.columns), gone, last, **facts)
 
 
 def _named(rows: DataFrame, first: int) -> DataFrame:

@@ -241,3 +241,20 @@ def test_archive_with_a_dictionary(spark, tmp_path):
     assert archive.dictionaries().count() == 1 and len(archive.codecs()) == 1 and all(r["ok"] for r in archive.verify().collect())
     archive.compact("gzip")
     assert archive.dictionaries().count() == 0 and all(r["ok"] for r in archive.verify().collect())
+
+
+def test_changes_are_merged_and_rewritten(spark, tmp_path, monkeypatch):
+    from shelfmark.plans import store as module
+
+    monkeypatch.setattr(module, "MOST_CHANGES", 3)
+    store = Store(spark, str(tmp_path / "s"))
+    schema = "id long, path string, type string, size long, digest string, mtime long, dead boolean, gen long"
+    for n in range(1, 8):
+        rows = [(10 * n, "a", "reg", n, f"d{n}", n, False, n), (10 * n + 1, f"p{n}", "reg", 1, "x", 1, False, n)]
+        assert append(store, spark.createDataFrame(rows, schema), update="digest") == n
+        assert len(store.manifest().get("changes", [])) == (n - 1) % 4
+    got = {r["id"]: (r["path"], r["dead"]) for r in store.read().collect()}
+    assert got == {10 * n: ("a", n < 7) for n in range(1, 8)} | {10 * n + 1: (f"p{n}", False) for n in range(1, 8)}
+    assert {r["id"] for r in store.read(2).filter("not dead").collect()} == {20, 11, 21}
+    with pytest.raises(Locked):
+        store.commit_changes(store.read().limit(0), store.read().limit(0), 6)
