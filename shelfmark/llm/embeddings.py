@@ -224,3 +224,13 @@ def link(vectors: DataFrame, cosine: float = COSINE, recall: float = 1.0) -> Dat
 
 def op7_embedding_links(spark, sf_dir: str) -> DataFrame:
     return link(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def oracle() -> str:
+    """Every pair of a label, and what is reachable."""
+    return """WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings),
+good AS (SELECT * FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+sides AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (SELECT vec_id AS id, vec_id AS root FROM e UNION SELECT sides.b, reach.root FROM reach JOIN sides ON sides.a = reach.id),
+least AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id), n AS (SELECT a, count(*) AS n FROM sides GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM e JOIN least ON id = vec_id LEFT JOIN n ON a = vec_id"""

@@ -443,6 +443,19 @@ def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text")).drop("text_hash")
 
 
+def oracle() -> str:
+    """Full sets, all pairs with a common shingle, and what is reachable."""
+    return """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS s FROM w),
+x AS (SELECT doc_id, unnest(s) AS g FROM s),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM x a JOIN x b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE 100 * n >= 75 * (len(sa.s) + len(sb.s) - n)),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT sides.b, reach.root FROM reach JOIN sides ON sides.a = reach.id),
+least AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN least ON id = doc_id"""
+
+
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the row of its least doc_id, once.
 

@@ -1,6 +1,6 @@
 """Registered queries of the subpackage and their SQL."""
 
-from . import urls
+from . import embeddings, minhash, repeats, urls
 from .contamination import op4_benchmark_leaks
 from .embeddings import op7_embedding_links
 from .minhash import op2_near_duplicates
@@ -22,4 +22,4 @@ QUERIES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": urls.oracle()}
+    return {"op2_near_duplicates": minhash.oracle(), "op3_url_filter": urls.oracle(), "op5_repeated_passages": repeats.oracle(), "op7_embedding_links": embeddings.oracle()}

@@ -312,3 +312,14 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def op5_repeated_passages(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def oracle() -> str:
+    """Every window of every text, counted."""
+    return """WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35)),
+again AS (SELECT g FROM p GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS j FROM (SELECT doc_id, i, unnest(range(0, 35)) AS k FROM p JOIN again USING (g))),
+words AS (SELECT doc_id, j, w[j] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM w)),
+kept AS (SELECT doc_id, count(gone.j) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (gone.j IS NULL) AS kept FROM words LEFT JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
