@@ -89,10 +89,10 @@ _selected("select_everything", "true", patterns=["."])
 _selected("select_directory", "starts_with(path, 'src1/en/')", patterns=["src1/en/"])
 _selected("select_glob", "regexp_full_match(path, 'src1[^/]*/[de][^/]/[^/]*7[.]txt')", patterns=["src1*/[de]?/*7.txt"])
 _selected("select_name_any_depth", "regexp_full_match(split_part(path, '/', 3), '0000[^/]*[.]txt') OR split_part(path, '/', 2) = 'fr'", patterns=["0000*.txt", "fr"])
-_selected("select_regex", "regexp_full_match(path, 'src[0-9]*[0-3]/(en|de)/.*5[.]txt')", expressions=["src[0-9]*[0-3]/(en|de)/.*5\\.txt"])
+_selected("select_regex", "regexp_full_match(path, 'src1?[5-7]/(en|de)/.*[5-6][.]txt')", expressions=["src1?[5-7]/(en|de)/.*[5-6]\\.txt"])
 _selected("exclude_parent", "NOT (split_part(path, '/', 2) = 'en' OR regexp_full_match(split_part(path, '/', 1), 'src1[^/]'))", exclude=["en", "src1?"])
 _selected("exclude_regex", "NOT regexp_full_match(split_part(path, '/', 1), 'src1.*')", exclude_expressions=["src1[^/]*"])
-_selected("select_then_exclude", "starts_with(path, 'src2/') AND regexp_full_match(path, '.*[13579][.]txt') AND NOT split_part(path, '/', 2) = 'de'", patterns=["src2"], expressions=[".*[13579]\\.txt"], exclude=["de"])
+_selected("select_then_exclude", "starts_with(path, 'src3/') AND regexp_full_match(path, '.*[02468]3[.]txt') AND NOT split_part(path, '/', 2) = 'de'", patterns=["src3"], expressions=[".*[02468]3\\.txt"], exclude=["de"])
 
 
 @query("""SELECT page_id, coalesce(nullif(array_to_string(list_filter(string_split(regexp_replace(regexp_replace('/' || coalesce(url, ''), '/(\\.?/)+', '/', 'g'), '/\\.$', ''), '/'), lambda c: c <> ''), '/'), ''), '.') AS stored FROM pages""")
