@@ -631,3 +631,20 @@ def test_toxicity(spark, docs, none):
     right = [got[i]["predicted"] == lab for i, _, _, lab in train if got[i]["held_out"]]
     assert len(got) == 402 and sum(right) / len(right) > 0.95 and got[1000]["predicted"] == 0
     assert all(r["score"] == 0 for r in toxicity.score(docs, y.limit(0)).collect()) and toxicity.score(none, y).count() == 0
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from shelfmark.llm import scratch
+
+    class Conf:
+        get = staticmethod(lambda *_: None)
+
+    class Context:
+        master = "spark://head:7077"
+        getConf = staticmethod(lambda: Conf)
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(Session)
