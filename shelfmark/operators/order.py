@@ -56,3 +56,18 @@ def next_id(rows: DataFrame) -> int:
 
 def every_kth(rows: DataFrame, order: list[str], k: int, group: list[str] = ()) -> DataFrame:
     return numbered(rows, order, "kth", group).filter(F.col("kth") % k == 0).drop("kth")
+
+
+def by_index(rows: DataFrame) -> DataFrame:
+    """In the order in which an index lists entries."""
+    return rows.orderBy("id")
+
+
+def by_offset(rows: DataFrame) -> DataFrame:
+    """Stored contents in the order in which they lie, as a compaction copies them."""
+    return rows.filter("len > 0").orderBy("off")
+
+
+def first_few(rows: DataFrame, order: list, n: int) -> DataFrame:
+    """The first n rows: each task keeps n, and only those meet."""
+    return rows.orderBy(*order).limit(n)

@@ -315,3 +315,20 @@ def store_path_flags(spark, d):
     """Whether a path can be stored as it is, and whether storing it strips a part."""
     url = F.coalesce("url", F.lit(""))
     return S.table(spark, d, "pages").select("page_id", ((url != "") & (url != ".") & P.is_stored_path(url)).alias("storable_as_is"), P.is_stripped(url).alias("stripped"))
+
+
+@query(f"WITH {OWN} SELECT id, path, dead FROM own ORDER BY id")
+def index_order(spark, d):
+    return N.by_index(shared(spark, d).select("id", "path", "dead"))
+
+
+@query(f"WITH {OWN}, c AS (SELECT id, len, coalesce(sum(len) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM own WHERE len IS NOT NULL) SELECT id, CAST(off AS BIGINT) AS off, len FROM c WHERE len > 0 ORDER BY off")
+def blob_order(spark, d):
+    rows = shared(spark, d).filter("len is not null").select("id", "len")
+    return N.by_offset(N.running_total(rows, ["id"], F.col("len"), "off")).select("id", "off", "len")
+
+
+@query(f"WITH {OWN} SELECT path, size FROM own WHERE NOT dead ORDER BY size DESC, path LIMIT 25")
+def largest_entries(spark, d):
+    """A report's first rows."""
+    return N.first_few(O.live(shared(spark, d)).select("path", "size"), [F.desc("size"), "path"], 25)
