@@ -327,6 +327,19 @@ def verify_stats(results: DataFrame, rows: DataFrame) -> DataFrame:
     return results.agg(F.count_if("ok").alias("checked"), F.count_if(~F.col("ok")).alias("failed"), F.min_by("path", F.when(~F.col("ok"), F.col("id"))).alias("first_failed")).crossJoin(decoded)
 
 
+def compared(one: DataFrame, other: DataFrame, fields: list[str]) -> DataFrame:
+    """(id, field, one, other) of every field in which two readings of a catalog differ; an entry
+    that one of them lacks differs in ``id`` only."""
+    side = lambda rows, name: rows.select("id", F.lit(True).alias(f"in_{name}"), *[F.col(f).alias(f"{name}_{f}") for f in fields])
+    both = side(one, "one").join(side(other, "other"), "id", "full_outer")
+    text = lambda c: F.col(c).cast("string")
+    entry = lambda when, field, a, b: F.when(when, F.struct(F.lit(field).alias("field"), a.alias("one"), b.alias("other")))
+    there = F.col("in_one").isNotNull() & F.col("in_other").isNotNull()
+    found = [entry(~there, "id", F.when(F.col("in_one"), text("id")), F.when(F.col("in_other"), text("id")))]
+    found += [entry(there & ~F.col(f"one_{f}").eqNullSafe(F.col(f"other_{f}")), f, text(f"one_{f}"), text(f"other_{f}")) for f in fields]
+    return both.select("id", F.explode(F.array_compact(F.array(*found))).alias("x")).select("id", "x.*")
+
+
 def extraction(chosen: DataFrame, rows: DataFrame) -> DataFrame:
     """(phase, path, action, content, link_to): how to write the chosen live entries.
 
@@ -373,12 +386,14 @@ def directories(rows: DataFrame) -> DataFrame:
 def verified(rows: DataFrame, content: DataFrame) -> DataFrame:
     """(id, path, owner, ok): each blob is hashed once, its result goes to all that share it.
 
-    content: id, bytes of the owners.
+    content: id, bytes of the owners, and their recorded digest if it is at hand.
     """
     target = rows.select(F.col("id").alias("hardlink"), F.col("data").alias("target_data"))
     owner = rows.join(target, "hardlink", "left").withColumn("owner", F.coalesce("target_data", F.when(F.col("hardlink").isNotNull(), F.coalesce("hardlink")), "data", "id"))
-    recorded = rows.select(F.col("id").alias("owner"), F.col("digest").alias("recorded"))
-    result = content.select(F.col("id").alias("owner"), F.sha2("bytes", 256).alias("actual")).join(recorded, "owner").select("owner", (F.col("actual") == F.col("recorded")).alias("ok"))
+    actual = content.withColumnRenamed("id", "owner").withColumn("actual", F.sha2("bytes", 256))
+    if "digest" not in content.columns:
+        actual = actual.join(rows.select(F.col("id").alias("owner"), "digest"), "owner")
+    result = actual.select("owner", (F.col("actual") == F.col("digest")).alias("ok"))
     return owner.join(result, "owner", "left").select("id", "path", "owner", F.coalesce("ok", F.lit(False)).alias("ok"))
 
 

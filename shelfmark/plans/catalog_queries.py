@@ -276,7 +276,7 @@ v AS (SELECT m.id, m.path, coalesce(t.data, m.hardlink, m.data, m.id) AS owner F
 
 def _verified(spark, d) -> DataFrame:
     rows = shared(spark, d)
-    content = rows.filter("data is null").select("id", F.when(F.col("id") % 50 == 3, F.concat("text", F.lit("?"))).otherwise(F.col("text")).alias("bytes"))
+    content = rows.filter("data is null").select("id", F.when(F.col("id") % 50 == 3, F.concat("text", F.lit("?"))).otherwise(F.col("text")).alias("bytes"), "digest")
     return O.verified(rows, content)
 
 

@@ -332,3 +332,12 @@ def blob_order(spark, d):
 def largest_entries(spark, d):
     """A report's first rows."""
     return N.first_few(O.live(shared(spark, d)).select("path", "size"), [F.desc("size"), "path"], 25)
+
+
+@query(f"""WITH {CAT}, b AS (SELECT id, CASE WHEN id % 31 = 0 THEN path || '~' ELSE path END AS path, CASE WHEN id % 37 = 0 THEN NULL ELSE mode END AS mode, dead FROM cat WHERE id % 41 > 0)
+SELECT a.id, 'path' AS field, a.path AS one, b.path AS other FROM cat a JOIN b USING (id) WHERE a.path <> b.path UNION ALL SELECT a.id, 'mode', CAST(a.mode AS VARCHAR), NULL FROM cat a JOIN b USING (id) WHERE b.mode IS NULL UNION ALL SELECT id, 'id', CAST(id AS VARCHAR), NULL FROM cat WHERE id % 41 = 0""")
+def compare_readings(spark, d):
+    """Two readings of a catalog, field by field; one lost entries and fields."""
+    one = S.catalog(spark, d)
+    other = one.filter("id % 41 > 0").withColumn("path", F.when(F.col("id") % 31 == 0, F.concat("path", F.lit("~"))).otherwise(F.col("path"))).withColumn("mode", F.when(F.col("id") % 37 != 0, F.col("mode")))
+    return O.compared(one, other, ["path", "mode", "dead"])
