@@ -31,3 +31,19 @@ def test_bad_sources(tmp_path):
     path.chmod(0o620)
     with pytest.raises(Usage, match="others may write"):
         S.read_file(str(path), KNOWN)
+
+
+def test_scopes_typed_keys_and_groups():
+    defaults = {"compress": "zstd", "quick": "no", "keep": "no", "newer": "no", "always": "yes", "passphrase-file": "", "workers": "4"}
+    file = {"compress": "xz", "keep": "yes", "workers": "2"}
+    shown = S.effective(defaults, file, {"quick": "yes"}, {}, rules=S.RULES)
+    assert {k: s.value for k, s in shown.items()} == defaults | file | {"quick": "yes"}
+    of = lambda op, typed={}: {k: s.source for k, s in S.effective(defaults, file, {"quick": "yes"}, typed, op, S.RULES).items() if s.source != "default"}
+    assert of("list") == {"workers": "file"} and of("create") == {"compress": "file", "workers": "file"} and of("verify") == {"quick": "environment", "workers": "file"}
+    assert of("extract") == {"keep": "file", "workers": "file"} and of("extract", {"newer": "yes"}) == {"newer": "command line", "workers": "file"}
+    with pytest.raises(Usage, match="typed"):
+        S.effective(defaults, {"passphrase-file": "x"}, rules=S.RULES)
+    assert S.effective(defaults, {}, {}, {"passphrase-file": "x"}, rules=S.RULES)["passphrase-file"].value == "x"
+    assert [S.boolean(t) for t in ("Yes", "off", "1")] == [True, False, True]
+    with pytest.raises(Usage):
+        S.boolean("maybe")
