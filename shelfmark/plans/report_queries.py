@@ -341,3 +341,14 @@ def compare_readings(spark, d):
     one = S.catalog(spark, d)
     other = one.filter("id % 41 > 0").withColumn("path", F.when(F.col("id") % 31 == 0, F.concat("path", F.lit("~"))).otherwise(F.col("path"))).withColumn("mode", F.when(F.col("id") % 37 != 0, F.col("mode")))
     return O.compared(one, other, ["path", "mode", "dead"])
+
+
+@query(f"WITH {CAT} SELECT id, path, size, digest, mtime, mode, uid, dead FROM cat")
+def portable_round_trip(spark, d):
+    """The catalog written as index files, with keys, and read again."""
+    from . import portable
+
+    keys = K.Keys(bytes(range(32)), bytes(16))
+    rows = S.catalog(spark, d).select("id", "path", "size", "digest", "mtime", "mode", "uid", "dead")
+    found = portable.files(rows, bytes(16), 7, keys)
+    return portable.entries_of(found, "id long, path string, size long, digest string, mtime long, mode int, uid long, dead boolean", keys)
