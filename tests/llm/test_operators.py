@@ -465,6 +465,15 @@ def test_pii_secrets_and_defined_cases(spark):
     assert by[5][0]["n_email"] == 20_000 and by[5][0]["n_secret"] == 1
 
 
+def test_pii_hints_lose_nothing():
+    rng = random.Random(8)
+    parts = ["a", "at", "DOT", "dot", "x.y", "com", " ", " ", "(", ")", "555", "123-45-6789", "555 123 4567", "-", ".", "[", "]", "é", "0123456789abcdefABCDEF"]
+    for _ in range(4000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        for kind, loosely in pii.LOOSE.items():
+            assert pii.HINTS[kind](t) or not loosely.search(t), (kind, t)
+
+
 def test_passages(spark):
     rng = random.Random(2)
     w = [f"w{i}" for i in range(400)]
