@@ -657,3 +657,26 @@ def test_a_cluster_must_name_its_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch.shared_dir(Session)
+
+
+def test_very_long_texts(spark):
+    """Two texts of 300,000 words that differ in one, through the operators that read whole texts."""
+    rng = random.Random(1)
+    long = [f"w{rng.randrange(50_000)}" for _ in range(300_000)]
+    other = [*long[:1000], "changed", *long[1001:]]
+    docs = spark.createDataFrame([(1, " ".join(long), "en", "a"), (2, " ".join(other), "en", "a"), (3, "short", None, None)], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(docs).collect()}
+    assert got[1]["component_id"] == got[2]["component_id"] == 1 and got[1]["n_shingles"] > 290_000 and not got[2]["kept"]
+    mixed = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
+    assert mixed[1]["size"] == 300_000 and abs(mixed[1]["taken"] + mixed[2]["taken"] - mixed[1]["target"]) <= 0.5
+    assert {r["doc_id"]: r["size"] for r in sharding.shard(docs, shards=2).collect()} == {1: len(" ".join(long)) + 8, 2: len(" ".join(other)) + 8, 3: 13}
+    cut = {r["doc_id"]: r for r in repeats.remove_repeats(docs).collect()}
+    assert cut[1]["n_words"] == 300_000 and cut[1]["n_removed"] == cut[2]["n_removed"] == 299_999
+    item = spark.createDataFrame([(7, " ".join(long[200_000:200_030])), (8, "nothing of the kind here")], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in contamination.matches(docs, item).collect()) == [(1, 7), (2, 7)]
+
+
+def test_clashing_columns(spark):
+    rows = [(1, [1.0, 0.0], 1, 9, 9, True), (2, [1.0, 0.001], 1, 9, 9, False), (2, [1.0, 0.001], 1, 9, 9, False), (None, [1.0, 0.0], 1, 9, 9, None)]
+    got = embeddings.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n_links int, component_id int, kept boolean")).collect()
+    assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in got) == [("1", 2, "1", True), ("2", 2, "1", False), ("2", 2, "1", False), ("None", 0, "None", True)]
