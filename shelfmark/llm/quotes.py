@@ -10,15 +10,15 @@ has what each linked level found. Without such a quote the parent is the turn be
 cut out, and messages are numbered by the reply tree: each after its parent, replies to one
 turn in their order, each with all that follows it.
 
-Numbering runs in two levels (blocks of TURNS turns), so a conversation of any length is
-split over tasks. Messages that follow their parent at once form a run, which the tree's
+Numbering runs in two levels (blocks of TURNS turns) on rows without texts, so a conversation of
+any length is split over tasks. Messages that follow their parent at once form a run, which the tree's
 order keeps whole; only the runs' first messages, one narrow row for each quote, and the
 blocks are ordered in one task a conversation; passages nobody quotes are dropped before the join.
 
 Defined cases: null texts are empty; texts of any length are parsed whole; null conv_id is one
 conversation of its own; null turns come first and are one turn, shown as null where it is
 quoted; every message has its own links, whatever others share its turn; of messages with equal
-turn, those that reply to an earlier turn come last, then role and text decide; repeated rows
+turn, those that reply to an earlier turn come last, then role and a hash of the text decide; repeated rows
 stay; quotes of nothing known link to nothing; an empty table gives no rows; extra columns ignored.
 """
 
@@ -146,7 +146,8 @@ def conversations(messages: DataFrame) -> DataFrame:
     upto = W.partitionBy("conv").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.select("conv", "block", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("offset"), "n", F.max("last").over(upto).alias("last_before"))
     earlier = W.partitionBy("conv", "block").orderBy("at").rangeBetween(W.unboundedPreceding, -1)
-    rows = parsed.drop("said", "quoted").withColumn("previous", F.max("at").over(earlier)).join(blocks.drop("n"), ["conv", "block"]).join(linked, "msg", "left")
+    # texts stay behind: order and links are found on narrow rows
+    rows = parsed.select("msg", "conv", "block", "at", "role", F.xxhash64("own").alias("own")).withColumn("previous", F.max("at").over(earlier)).join(blocks.drop("n"), ["conv", "block"]).join(linked, "msg", "left")
     rows = rows.withColumn("ordinary", F.coalesce("previous", "last_before"))
     rows = rows.withColumn("breaks", F.coalesce(F.col("quoted_at") != F.col("ordinary"), F.lit(False)))
     inside = W.partitionBy("conv", "block").orderBy("at", "breaks", "role", "own", "msg")
@@ -154,7 +155,8 @@ def conversations(messages: DataFrame) -> DataFrame:
     if not linked.isEmpty():
         rows = _by_replies(scratch.write(rows, "by-turn"), blocks)
     parent = F.coalesce("quoted_at", "ordinary")
-    return rows.select("conv_id", "turn", "role", "position", F.when(parent != FIRST, parent).alias("parent_turn"), shown("quoted_at").alias("quoted_turn"), "quoted_turns", "n_quotes", F.col("own").alias("text"))
+    found = rows.select("msg", "position", F.when(parent != FIRST, parent).alias("parent_turn"), shown("quoted_at").alias("quoted_turn"), "quoted_turns")
+    return parsed.join(found, "msg").select("conv_id", "turn", "role", "position", "parent_turn", "quoted_turn", "quoted_turns", "n_quotes", F.col("own").alias("text"))
 
 
 def op9_quoted_conversations(spark, sf_dir: str) -> DataFrame:
