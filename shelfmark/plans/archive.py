@@ -345,7 +345,7 @@ class Archive:
 
         return plain.repartition("id").sortWithinPartitions("id", "pos").mapInPandas(run, "id long, actual string")
 
-    def extract(self, top: str, patterns: list[str] = (), exclude: list[str] = (), strip: int = 0, policy: str = "always") -> None:
+    def extract(self, top: str, patterns: list[str] = (), exclude: list[str] = (), strip: int = 0, policy: str = "always", owners: bool = False, devices: bool = False) -> None:
         """Writes the chosen entries below ``top``, which driver and executors share."""
         rows = self.rows()
         chosen = O.select(O.live(rows), list(patterns), exclude=list(exclude)).filter("path != '.'")
@@ -359,7 +359,7 @@ class Archive:
         contents = steps.filter("action = 'write'").select("path", F.col("content").alias("id"))
         parts = contents.join(rows.select("id", "codec"), "id")
         plain = parts.join(self.plain(parts.select("id", "codec").distinct()), "id", "left").select("path", "pos", "plain")
-        T.write_steps(steps, rows, chosen, plain, top, self._key())
+        T.write_steps(steps, rows, chosen, plain, top, self._key(), owners, devices)
 
     def to_stream(self, out, patterns: list[str] = ()) -> None:
         """The contents of the chosen files, in order of path, to a binary stream; links give

@@ -226,13 +226,15 @@ def write_tree(steps: DataFrame, rows: DataFrame, content: DataFrame, top: str)
 
 def write_parts(parts, top: str, facts: dict, key: bytes | None = None) -> None:
     """Writes files from their chunks in order: (path, pos, plain) sorted by path and pos, with
-    facts {path: (digest, mode, mtime, xattrs)}; each goes beside its target and is renamed once
-    its digest is right, so a retried task writes the same file again."""
+    facts {path: (digest, mode, mtime, xattrs, owner)}; each goes beside its target and is renamed
+    once its digest is right, so a retried task writes the same file again. Chunks of zeros become
+    holes."""
     now, out, h, temp = None, None, None, None
 
     def finish():
+        out.truncate()
         out.close()
-        digest, mode, mtime, xattrs = facts[now]
+        digest, mode, mtime, xattrs, owner = facts[now]
         if digest is not None and h.hexdigest() != digest:
             os.unlink(temp)
             raise Corrupt(f"{now}: digest differs")
@@ -242,8 +244,10 @@ def write_parts(parts, top: str, facts: dict, key: bytes | None = None) -> None:
                     os.setxattr(temp, name, bytes(value))
                 except OSError:
                     pass  # the destination doesn't take it
+        if owner:
+            os.chown(temp, *owner)
         if mode is not None:
-            os.chmod(temp, mode)
+            os.chmod(temp, mode)  # after the owner, whose change clears bits
         if mtime is not None:
             os.utime(temp, ns=(mtime, mtime))
         os.replace(temp, below(top, now))
@@ -261,26 +265,33 @@ def write_parts(parts, top: str, facts: dict, key: bytes | None = None) -> None:
             raise Corrupt(f"{now}: a chunk is damaged")
         data = bytes(r["plain"] or b"")
         h.update(data)
-        out.write(data)
+        if data.strip(b"\0"):
+            out.write(data)
+        else:
+            out.seek(len(data), os.SEEK_CUR)
     if now is not None:
         finish()
 
 
-def write_steps(steps: DataFrame, rows: DataFrame, chosen: DataFrame, plain: DataFrame, top: str, key: bytes | None = None) -> None:
+def write_steps(steps: DataFrame, rows: DataFrame, chosen: DataFrame, plain: DataFrame, top: str, key: bytes | None = None, owners: bool = False, devices: bool = False) -> None:
     """Carries out ``extraction`` steps with contents (path, pos, plain): files in tasks, all else
-    in order of path on the driver. chosen: the entries under the paths that they are written to."""
+    in order of path on the driver. chosen: the entries under the paths that they are written to.
+    ``owners`` and ``devices`` need the privilege to set and to make them."""
     holder = rows.select(F.col("id").alias("held"), F.col("digest").alias("h_digest"), F.col("mode").alias("h_mode"), F.col("mtime").alias("h_mtime"))
-    meta = steps.join(chosen.select("path", "mode", "mtime", "link", "digest", "hardlink", "xattrs"), "path", "left")
+    meta = steps.join(chosen.select("path", "mode", "mtime", "link", "digest", "hardlink", "xattrs", "uid", "gid", "rdev"), "path", "left")
     meta = meta.join(holder, F.coalesce("hardlink", "content") == F.col("held"), "left")
-    files = meta.filter("action = 'write'").select("path", F.coalesce("h_digest", "digest").alias("digest"), F.when(F.col("hardlink").isNull(), F.col("mode")).otherwise(F.col("h_mode")).alias("mode"), F.when(F.col("hardlink").isNull(), F.col("mtime")).otherwise(F.col("h_mtime")).alias("mtime"), "xattrs")
+    files = meta.filter("action = 'write'").select("path", F.coalesce("h_digest", "digest").alias("digest"), F.when(F.col("hardlink").isNull(), F.col("mode")).otherwise(F.col("h_mode")).alias("mode"), F.when(F.col("hardlink").isNull(), F.col("mtime")).otherwise(F.col("h_mtime")).alias("mtime"), "xattrs", "uid", "gid")
     parts = plain.join(files, "path").repartition("path").sortWithinPartitions("path", "pos")
 
+    def owner_of(r):
+        return (r["uid"], r["gid"]) if owners and r["uid"] is not None and r["gid"] is not None else None
+
     def each(part):
         facts: dict = {}
 
         def told():
             for r in part:
-                facts.setdefault(r["path"], (r["digest"], r["mode"], r["mtime"], r["xattrs"]))
+                facts.setdefault(r["path"], (r["digest"], r["mode"], r["mtime"], r["xattrs"], owner_of(r)))
                 yield r
 
         write_parts(told(), top, facts, key)
@@ -297,8 +308,12 @@ def write_steps(steps: DataFrame, rows: DataFrame, chosen: DataFrame, plain: Dat
         if r["action"] == "symlink":
             os.symlink(r["link"], full)
             os.utime(full, ns=(r["mtime"], r["mtime"]), follow_symlinks=False)
+            if owner_of(r):
+                os.chown(full, *owner_of(r), follow_symlinks=False)
         elif r["action"] == "fifo":
             os.mkfifo(full, r["mode"])
+        elif devices and r["action"] in ("chardev", "blockdev"):
+            os.mknod(full, (r["mode"] or 0) | (stat.S_IFCHR if r["action"] == "chardev" else stat.S_IFBLK), os.makedev(*r["rdev"]))
     parts.foreachPartition(each)
     for r in meta.filter("phase = 3 and action = 'link'").orderBy("path").toLocalIterator():
         full = below(top, r["path"])
@@ -308,5 +323,7 @@ def write_steps(steps: DataFrame, rows: DataFrame, chosen: DataFrame, plain: Dat
         os.link(below(top, r["link_to"]), full)
     for r in meta.filter("phase = 4").orderBy(F.desc("path")).toLocalIterator():
         full = below(top, r["path"])
+        if owner_of(r):
+            os.chown(full, *owner_of(r))
         os.chmod(full, r["mode"])
         os.utime(full, ns=(r["mtime"], r["mtime"]))

@@ -258,3 +258,36 @@ def test_changes_are_merged_and_rewritten(spark, tmp_path, monkeypatch):
     assert {r["id"] for r in store.read(2).filter("not dead").collect()} == {20, 11, 21}
     with pytest.raises(Locked):
         store.commit_changes(store.read().limit(0), store.read().limit(0), 6)
+
+
+def test_owners_attributes_holes_and_devices(spark, tmp_path):
+    top = tmp_path / "in"
+    (top / "d").mkdir(parents=True)
+    (top / "d/holes").write_bytes(b"x" * 4096 + bytes(40 * 4096) + b"y" * 10 + bytes(8192))
+    (top / "zeros").write_bytes(bytes(16 * 4096))
+    (top / "own").write_bytes(b"own")
+    root = os.geteuid() == 0
+    if root:
+        os.chown(top / "own", 1234, 4321)
+        os.chmod(top / "own", 0o4755)
+    try:
+        os.setxattr(top / "own", "user.note", b"kept")
+        noted = True
+    except OSError:
+        noted = False
+    try:
+        os.mknod(top / "null", 0o20666, os.makedev(1, 3))
+        made = True
+    except OSError:
+        made = False
+    archive = Archive(spark, str(tmp_path / "store"))
+    archive.create(T.read_tree(spark, str(top)), str(top), "zstd", chunk=4096)
+    out = tmp_path / "out"
+    archive.extract(str(out), owners=root, devices=made)
+    for name in ("d/holes", "zeros", "own"):
+        assert (out / name).read_bytes() == (top / name).read_bytes()
+    s = os.stat(out / "own")
+    assert not root or (s.st_uid, s.st_gid, s.st_mode & 0o7777) == (1234, 4321, 0o4755)
+    assert not noted or os.getxattr(out / "own", "user.note") == b"kept"
+    assert not made or os.stat(out / "null").st_rdev == os.makedev(1, 3)
+    assert os.stat(out / "d/holes").st_blocks <= os.stat(top / "d/holes").st_blocks
