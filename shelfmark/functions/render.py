@@ -26,8 +26,14 @@ def owner_string(uid: Column, gid: Column, uname: Column, gname: Column) -> Colu
     return F.when(uid.isNull() | gid.isNull(), "-").otherwise(F.concat_ws("/", F.coalesce(uname, uid.cast("string")), F.coalesce(gname, gid.cast("string"))))
 
 
+def tenths(x: Column) -> Column:
+    """A double with one decimal as C's ``%.1f``: from its exact value, ties to even. Java's
+    ``%.1f`` takes the shortest decimal that tells the double and rounds ties up."""
+    return F.call_function("format_number", x, F.lit("0.0"))
+
+
 def saved_percent(plain: Column, stored: Column) -> Column:
-    return F.when(plain == 0, "-").otherwise(F.format_string("%.1f%%", 100.0 * (plain - stored) / plain))
+    return F.when(plain == 0, "-").otherwise(F.concat(tenths(100.0 * (plain - stored) / plain), F.lit("%")))
 
 
 def utc_time(name: str) -> Column:
@@ -73,7 +79,7 @@ def rfc3339(name: str) -> Column:
 
 
 def stored_percent(plain: Column, stored: Column) -> Column:
-    return F.when(plain == 0, "").otherwise(F.format_string(" (%.1f%%)", 100.0 * stored / plain))
+    return F.when(plain == 0, "").otherwise(F.concat(F.lit(" ("), tenths(100.0 * stored / plain), F.lit("%)")))
 
 
 def plural(n: Column, noun: str) -> Column:
@@ -83,9 +89,9 @@ def plural(n: Column, noun: str) -> Column:
 def human_bytes(n: Column) -> Column:
     """As ``sizes.human_bytes``."""
     units = ("KiB", "MiB", "GiB", "TiB", "PiB")
-    out = F.format_string("%.1f PiB", n / F.lit(float(1 << 50)))
+    out = F.concat(tenths(n / F.lit(float(1 << 50))), F.lit(" PiB"))
     for i, unit in reversed(list(enumerate(units[:-1], 1))):
-        out = F.when(n < 1 << 10 * (i + 1), F.format_string(f"%.1f {unit}", n / F.lit(float(1 << 10 * i)))).otherwise(out)
+        out = F.when(n < 1 << 10 * (i + 1), F.concat(tenths(n / F.lit(float(1 << 10 * i))), F.lit(f" {unit}"))).otherwise(out)
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(out)
 
 

@@ -203,3 +203,18 @@ def test_strict_rules(spark):
         (7, "big", "reg", 1, sha, 0, 0, None, None, 1, None, None, None, None, 1 << 40, [1]), (8, "short", "reg", 1, "00", 0, -1, None, None, None, "to", None, None, [(0, 0)], None, None)], schema)
     found = {(r["id"], r["rule"]) for r in O.violations(rows, 1, strict=True).collect()}
     assert found == {(2, "symlink without target"), (3, "device numbers"), (4, "attribute name"), (5, "segments out of order"), (6, "chunk count"), (7, "chunk limit"), (8, "digest length"), (8, "target of a non-link"), (8, "empty segment")}
+
+
+def test_one_decimal_as_c_prints_it(spark):
+    sizes_ = [(80, 27), (80, 26), (0, 0), (1, 1), (3, 5), (1 << 40, 5), (None, 1), (160, 54)]
+    got = spark.createDataFrame(sizes_, "size long, len long").select("size", "len", R.saved_percent(F.col("size"), F.col("len")).alias("saved"), R.stored_percent(F.col("size"), F.col("len")).alias("stored")).collect()
+    for r in got:
+        s, n = r["size"], r["len"]
+        assert r["saved"] == (None if s is None else "-" if s == 0 else "%.1f%%" % (100.0 * (s - n) / s)), r
+        assert r["stored"] == (None if s is None else "" if s == 0 else " (%.1f%%)" % (100.0 * n / s)), r
+    bytes_ = [0, 1023, 1024, 1280, 1792, 3 << 18, 5 << 18, (1 << 30) + (1 << 28), 1 << 52]
+    got = spark.createDataFrame([(b,) for b in bytes_], "n long").select(R.human_bytes(F.col("n")).alias("t")).collect()
+    assert [r["t"] for r in got] == [sizes.human_bytes(b) for b in bytes_]
+    values = [n + k / 100 for n in (-3, 0, 1, 7, 66, 99, 1023) for k in range(5, 100, 10)] + [-0.04, 0.0, -0.05, 66.25, 66.75, 0.15, 0.35, 100.0 * 53 / 80, 1e-9, 123456789.25, 99.95]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", R.tenths(F.col("x")).alias("t")).collect()
+    assert [r["t"] for r in got] == ["%.1f" % r["x"] for r in got]
