@@ -7,13 +7,16 @@ into a logistic output. The first embedding coordinate starts as the smoothed lo
 its bucket in the training texts, which half of the filters read first; the rest starts at
 random, so that other filters can learn what word odds don't tell; Adam trains everything.
 
-Training reads SAMPLE labelled rows and SAMPLE_BYTES of their texts at most, chosen by hash of
-doc_id, none of the held-out fold; a fifth of them calibrates a threshold for each language. It
-runs in one task, which keeps the words' buckets and not the texts; the driver gets the model.
-Scores depend on texts only.
+Training reads every labelled row outside the held-out fold. Rows are dealt by hash of doc_id to
+shards of about SHARD rows; of a shard's rows, in order of their hash, every fifth calibrates a
+threshold for each language and the others train. In each of EPOCHS rounds every shard trains a
+copy of the model, a batch of texts at a time, and the copies' changes are averaged, a bucket's
+by the number of steps that changed it. Changes are summed as whole numbers, so the model
+depends on the rows only, not on how tasks run. Tasks keep a batch and a model, the driver the
+model. Scores depend on texts only.
 
 Defined cases: null and empty texts get the score of no words; texts of any length are scored
-whole, and train if they fit SAMPLE_BYTES; without labelled rows every score is 0; contradictory
+and train whole; without labelled rows every score is 0; contradictory
 labels of a doc_id count as toxic; null doc_ids are scored and held out; repeated rows stay, the
 least text of a repeated doc_id trains; an empty table gives no rows; extra columns are ignored,
 in ``labels`` too.
@@ -21,24 +24,31 @@ in ``labels`` too.
 
 from __future__ import annotations
 
-import pickle
+import copy
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from .tables import read
 from .words import _LOWER, Words, mix, slices
 
 _U = np.uint64
 BUCKETS, SIZE, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
-#: Labelled rows, and bytes of their texts, used for training at most; folds and the one held out.
-SAMPLE, SAMPLE_BYTES, FOLDS, HELD_OUT = 8000, 64 << 20, 5, 0
+#: Labelled rows of a shard, about; folds and the one held out.
+SHARD, FOLDS, HELD_OUT = 8000, 5, 0
+#: Texts of more bytes don't train; None, the default: all do.
+SAMPLE_BYTES: int | None = None
 EPOCHS, RATE = 6, 0.01
-#: Text bytes whose words are handled at once; calibration texts scored at once.
-SLICE, STEP = 2 << 20, 250
+#: Texts and words of a training batch at most, but a text at least; words filtered at once.
+BATCH, BATCH_WORDS, PIECE = 64, 1 << 17, 1 << 19
+#: Text bytes whose words are handled at once.
+SLICE = 2 << 20
+#: Bits that tell which doc_ids may be labelled; changes are summed in units of 1 / UNIT.
+BITS, UNIT = 1 << 25, 1 << 24
+CUTS = np.linspace(0.1, 0.9, 17)
 _EDGE = np.array([not chr(b).isalnum() if b < 128 else False for b in range(256)])
 
 
@@ -104,130 +114,287 @@ class Model:
             return np.zeros(len(texts))
         return self.scores_of(*features(texts))
 
+    def peaks(self, ids: np.ndarray, first: np.ndarray, places: bool = True):
+        """As ``pooled``, without what grows with the words: the greatest values, and the first
+        words where they stand, if asked for."""
+        n = np.diff(first)
+        best, at = np.full((len(n), len(self.out)), -np.inf, np.float32), np.zeros((len(n), len(self.out)), np.int64)
+        if not len(ids):
+            return best, at
+        if len(ids) <= PIECE:
+            parts = [(0, len(n), 0, len(ids), first)]
+        else:  # windows that begin in a piece end at most WIDTHS[-1] - 1 words behind it
+            ends = [(d, a, min(a + PIECE + WIDTHS[-1] - 1, first[d + 1])) for d in range(len(n)) for a in range(first[d], first[d + 1], PIECE)]
+            parts = [(d, d + 1, a, b, np.array([0, b - a])) for d, a, b in ends]
+        for lo, hi, a, b, f in parts:
+            most, y, _ = self.pooled(ids[a:b], f)
+            more = most > best[lo:hi]
+            best[lo:hi][more] = most[more]
+            if places:
+                m = np.diff(f)
+                w, k = np.nonzero(y == np.repeat(most, m, axis=0))
+                here = np.zeros_like(most, np.int64)
+                here[np.repeat(np.arange(hi - lo), m)[w[::-1]], k[::-1]] = a + w[::-1]
+                at[lo:hi][more] = here[more]
+        return best, at
+
     def scores_of(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        best = self.pooled(ids, first)[0] if len(ids) else np.full((len(first) - 1, len(self.out)), -np.inf, np.float32)
+        best = self.peaks(ids, first, places=False)[0]
         return 1 / (1 + np.exp(-(np.maximum(best + self.shift, 0) @ self.out + self.bias[0]).astype(np.float64)))
 
-    def fit(self, ids: np.ndarray, n: np.ndarray, labels: np.ndarray, seed: int = 0) -> None:
-        """Trains on texts of n words each, whose buckets stand in ids."""
-        rng = np.random.default_rng(seed)
+    def start(self, zero: np.ndarray, one: np.ndarray, zeros: int, ones: int) -> None:
+        """Sets the word odds from the texts of each label, and those of them with each bucket."""
         self.known = True
-        first = np.concatenate([[0], np.cumsum(n)])
-        owner = np.repeat(np.arange(len(n)), n)
-        found = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
-        for k in range(ids.shape[1]):
-            pairs = np.unique(owner.astype(np.int64) * BUCKETS + ids[:, k])
-            for y in (0, 1):
-                found[y] += np.bincount((pairs % BUCKETS)[labels[pairs // BUCKETS] == y], minlength=BUCKETS)
-        ones = max(1, int(labels.sum()))
-        zeros = max(1, len(labels) - ones)
-        rate = ones / zeros
+        rate = max(1, ones) / max(1, zeros)
         # shrunk to no evidence: rare buckets say little
-        self.emb[:, 0] = np.log((found[1] + 2 * rate) / (found[0] * rate + 2 * rate) + 0).clip(-3, 6) / 4 * (found[0] + found[1] > 1)
+        self.emb[:, 0] = np.log((one + 2 * rate) / (zero * rate + 2 * rate)).clip(-3, 6) / 4 * (zero + one > 1)
         self.bias[:] = -3.0
         self.shift[:] = -0.3
-        state = {}
 
-        def adam(name: str, value: np.ndarray, grad: np.ndarray, rows=slice(None)) -> None:
-            m, v, t = state.setdefault(name, [np.zeros_like(value), np.zeros_like(value), 0])
-            state[name][2] = t = t + 1
-            m[rows] = 0.9 * m[rows] + 0.1 * grad
-            v[rows] = 0.999 * v[rows] + 0.001 * grad**2
-            value[rows] -= RATE * (m[rows] / (1 - 0.9**t)) / (np.sqrt(v[rows] / (1 - 0.999**t)) + 1e-8)
+    def dense(self) -> list[np.ndarray]:
+        """What every step changes; the embedding is apart."""
+        return [*self.conv, self.out, self.bias, self.shift]
 
+    def fit(self, ids: np.ndarray, n: np.ndarray, labels: np.ndarray, seed: int = 0) -> None:
+        """Trains on texts of n words each, whose buckets stand in ids, all at once."""
+        rng = np.random.default_rng(seed)
+        first = np.concatenate([[0], np.cumsum(n)])
+        self.start(*found(ids, n, labels), len(labels) - int(labels.sum()), int(labels.sum()))
+        learner = Learner(self)
         for _ in range(EPOCHS):
             order = rng.permutation(len(n))
-            for at in range(0, len(order), 64):
-                docs = order[at : at + 64]
-                own = np.concatenate([np.arange(first[d], first[d + 1]) for d in docs])
-                if not len(own):
-                    continue
-                f = np.concatenate([[0], np.cumsum(n[docs])])
-                part = ids[own]
-                best, y, x = self.pooled(part, f)
-                z = np.maximum(best + self.shift, 0)
-                p = 1 / (1 + np.exp(-(z @ self.out + self.bias[0])))
-                g = (p - labels[docs]).astype(np.float32) / len(docs)
-                back = g[:, None] * self.out[None] * (z > 0)
-                adam("out", self.out, z.T @ g)
-                adam("bias", self.bias, g.sum(keepdims=True))
-                adam("shift", self.shift, back.sum(0))
-                # where each filter has its greatest value
-                place = np.where(y == np.repeat(best, n[docs], axis=0), np.arange(len(y))[:, None], len(y))
-                some = np.flatnonzero(n[docs])
-                d, j = np.nonzero(back[some])
-                at = np.minimum.reduceat(place, f[:-1][some], axis=0)[d, j]
-                grad, (w, k) = back[some][d, j], np.divmod(j, FILTERS)
-                rows, grads = [], []
-                conv_grad = [np.zeros_like(c) for c in self.conv]
-                for own, c in enumerate(self.conv):
-                    of = w == own
-                    g, i, filters = grad[of][:, None], at[of], k[of]
-                    for o in range(len(c)):
-                        np.add.at(conv_grad[own][o].T, filters, g * x[i + o])
-                        rows.append(part[i + o].ravel())
-                        grads.append(np.repeat(g * c[o][:, filters].T, part.shape[1], axis=0))
-                rows, grads = np.concatenate(rows), np.concatenate(grads)
-                for w, c in enumerate(self.conv):
-                    adam(f"conv{w}", c, conv_grad[w])
-                if len(rows):
-                    r, back_to = np.unique(rows, return_inverse=True)
-                    e = np.zeros((len(r), SIZE), np.float32)
-                    np.add.at(e, back_to, grads)
-                    adam("emb", self.emb, e, r)
-
-
-def train(batches) -> tuple[Model, dict[str, float]]:
-    """A model and thresholds by language from Arrow batches of text, lang and toxic."""
-    model, parts, langs, y = Model(), [], [], []
+            for at in range(0, len(order), BATCH):
+                docs = order[at : at + BATCH]
+                learner.step(ids[np.concatenate([np.arange(first[d], first[d + 1]) for d in docs])], n[docs], labels[docs])
+
+
+def found(ids: np.ndarray, n: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts of each label that hold each bucket."""
+    owner, out = np.repeat(np.arange(len(n), dtype=np.int64), n), [np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)]
+    for k in range(ids.shape[1]):
+        pairs = np.unique(owner * BUCKETS + ids[:, k])
+        for y in (0, 1):
+            out[y] += np.bincount((pairs % BUCKETS)[labels[pairs // BUCKETS] == y], minlength=BUCKETS)
+    return out[0], out[1]
+
+
+class Learner:
+    """Steps of Adam on a model, and how many of them changed each bucket (touched) and all else."""
+
+    def __init__(self, model: Model):
+        self.model, self.state = model, {}
+        self.touched, self.steps = np.zeros(BUCKETS, np.int64), 0
+
+    def adam(self, name: str, value: np.ndarray, grad: np.ndarray, rows=slice(None)) -> None:
+        m, v, t = self.state.setdefault(name, [np.zeros_like(value), np.zeros_like(value), 0])
+        self.state[name][2] = t = t + 1
+        m[rows] = 0.9 * m[rows] + 0.1 * grad
+        v[rows] = 0.999 * v[rows] + 0.001 * grad**2
+        value[rows] -= RATE * (m[rows] / (1 - 0.9**t)) / (np.sqrt(v[rows] / (1 - 0.999**t)) + 1e-8)
+
+    def step(self, ids: np.ndarray, n: np.ndarray, labels: np.ndarray) -> None:
+        if not len(ids):
+            return
+        model = self.model
+        best, place = model.peaks(ids, np.concatenate([[0], np.cumsum(n)]))
+        z = np.maximum(best + model.shift, 0)
+        p = 1 / (1 + np.exp(-(z @ model.out + model.bias[0])))
+        g = (p - labels).astype(np.float32) / len(n)
+        back = g[:, None] * model.out[None] * (z > 0)
+        self.adam("out", model.out, z.T @ g)
+        self.adam("bias", model.bias, g.sum(keepdims=True))
+        self.adam("shift", model.shift, back.sum(0))
+        d, j = np.nonzero(back)
+        at, grad, (w, k) = place[d, j], back[d, j], np.divmod(j, FILTERS)
+        rows, grads = [], []
+        conv_grad = [np.zeros_like(c) for c in model.conv]
+        for own, c in enumerate(model.conv):
+            of = w == own
+            g, i, filters = grad[of][:, None], at[of], k[of]
+            for o in range(len(c)):
+                part = ids[i + o]
+                np.add.at(conv_grad[own][o].T, filters, g * model.emb[part].sum(1))
+                rows.append(part.ravel())
+                grads.append(np.repeat(g * c[o][:, filters].T, part.shape[1], axis=0))
+        rows, grads = np.concatenate(rows), np.concatenate(grads)
+        for w, c in enumerate(model.conv):
+            self.adam(f"conv{w}", c, conv_grad[w])
+        self.steps += 1
+        if len(rows):
+            r, back_to = np.unique(rows, return_inverse=True)
+            e = np.zeros((len(r), SIZE), np.float32)
+            np.add.at(e, back_to, grads)
+            self.adam("emb", model.emb, e, r)
+            self.touched[r] += 1
+
+    def changes(self, base: Model) -> pa.RecordBatch:
+        """What the steps changed, times their number: a row for each bucket, then SIZE by SIZE all else."""
+        r = np.flatnonzero(self.touched)
+        flat = _flat(self.model.dense()) - _flat(base.dense())
+        change = np.concatenate([self.model.emb[r] - base.emb[r], flat]).astype(np.float64)
+        n = np.concatenate([self.touched[r], np.full(len(flat), self.steps)])
+        sums = np.rint(change * n[:, None] * UNIT).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r, BUCKETS + np.arange(len(flat))])), pa.array(n), *map(pa.array, sums.T)], _CHANGES)
+
+
+_CHANGES = ["at", "n", *[f"d{k}" for k in range(SIZE)]]
+
+
+def _flat(values: list[np.ndarray]) -> np.ndarray:
+    one = np.concatenate([v.ravel() for v in values])
+    return np.concatenate([one, np.zeros(-len(one) % SIZE, np.float32)]).reshape(-1, SIZE)
+
+
+def averaged(model: Model, changes: pa.Table) -> Model:
+    """The model after the summed changes of all shards."""
+    out = copy.deepcopy(model)
+    at = changes.column("at").to_numpy()
+    mean = np.stack([changes.column(c).to_numpy() for c in _CHANGES[2:]], axis=1) / UNIT / np.maximum(1, changes.column("n").to_numpy())[:, None]
+    own = at < BUCKETS
+    out.emb[at[own]] += mean[own].astype(np.float32)
+    flat = np.zeros_like(_flat(model.dense()))
+    flat[at[~own] - BUCKETS] = mean[~own]
+    k = 0
+    for v in out.dense():
+        v += flat.ravel()[k : k + v.size].reshape(v.shape)
+        k += v.size
+    return out
+
+
+def _prepared(batches):
+    """Labelled rows of shards in order, with their buckets and whether they calibrate."""
+    shard, k = None, 0
     for batch in slices(batches, SLICE):
         ids, first = features(batch.column("text"))
-        parts.append((ids, np.diff(first)))
-        langs += batch.column("lang").to_pylist()
-        y += batch.column("toxic").to_pylist()
-    if not y:
-        return model, {}
-    y, ids, n = np.array(y, np.int64), np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    parts.clear()
-    check = np.arange(len(y)) % 5 == 4
-    model.fit(ids[np.repeat(~check, n)], n[~check], y[~check])
-    first = np.concatenate([[0], np.cumsum(n)])
-    thresholds = {}
-    ends = [(i, min(i + STEP, len(y))) for i in range(0, len(y), STEP)]
-    score = np.concatenate([model.scores_of(ids[first[i] : first[j]], first[i : j + 1] - first[i]) for i, j in ends])
-    for lang in {x for x in langs if x is not None}:
-        own = np.array([x == lang for x in langs]) & check
-        if y[own].sum() >= 10 and (1 - y[own]).sum() >= 10:
-            cuts = np.linspace(0.1, 0.9, 17)
-            f1 = [2 * (y[own] & (score[own] >= c)).sum() / max(1, y[own].sum() + (score[own] >= c).sum()) for c in cuts]
-            best = max(f1)
-            thresholds[lang] = float(min((c for c, f in zip(cuts, f1) if f == best), key=lambda c: abs(c - 0.5)))
-    return model, thresholds
+        check = []
+        for s in batch.column("shard").to_pylist():
+            shard, k = s, k + 1 if s == shard else 0
+            check.append(k % 5 == 4)
+        ids = ids.astype("<u2")
+        packed = pa.array([ids[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("lang"), batch.column("toxic"), pa.array(check), packed], ["shard", "lang", "toxic", "check", "ids"])
+
+
+def _texts(batches):
+    """Batches of at most BATCH texts of one shard: shard, buckets, words of each text, labels, langs."""
+    shard, ids, y, langs, words = None, [], [], [], 0
+    for batch in batches:
+        for s, label, lang, data in zip(*[batch.column(c).to_pylist() for c in ("shard", "toxic", "lang")], batch.column("ids")):
+            own = np.frombuffer(data.as_buffer(), "<u2").reshape(-1, 4)
+            if y and (s != shard or len(y) == BATCH or words + len(own) > BATCH_WORDS):
+                yield shard, np.concatenate(ids).astype(np.int32), np.array([len(x) for x in ids]), np.array(y), langs
+                ids, y, langs, words = [], [], [], 0
+            shard, words = s, words + len(own)
+            ids.append(own)
+            y.append(label)
+            langs.append(lang)
+    if y:
+        yield shard, np.concatenate(ids).astype(np.int32), np.array([len(x) for x in ids]), np.array(y), langs
+
+
+def _count(batches):
+    """Texts of each label with each bucket, and at BUCKETS of all."""
+    out = np.zeros((2, BUCKETS + 1), np.int64)
+    for _, ids, n, y, _ in _texts(batches):
+        out[:, :BUCKETS] += found(ids, n, y)
+        out[:, BUCKETS] += np.bincount(y, minlength=2)[:2]
+    at = np.flatnonzero(out.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[0][at]), pa.array(out[1][at])], ["at", "zero", "one"])
+
+
+def _round(shared):
+    def run(batches):
+        shard = learner = None
+        for s, ids, n, y, _ in _texts(batches):
+            if s != shard:
+                if learner:
+                    yield learner.changes(shared.value)
+                shard, learner = s, Learner(copy.deepcopy(shared.value))
+            learner.step(ids, n, y)
+        if learner:
+            yield learner.changes(shared.value)
 
+    return run
 
-def _train(batches):
-    model, thresholds = train(batches)
-    if model.known:
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model, thresholds))], pa.binary())], ["model"])
+
+def _hits(shared):
+    """For each language and cut: labels, and rejected texts by label."""
+
+    def run(batches):
+        out = {}
+        for _, ids, n, y, langs in _texts(batches):
+            over = shared.value.scores_of(ids, np.concatenate([[0], np.cumsum(n)]))[:, None] >= CUTS
+            for lang, label, hit in zip(langs, y, over):
+                if lang is not None:
+                    out.setdefault(lang, np.zeros((2, 1 + len(CUTS)), np.int64))[label] += [1, *hit]
+        rows = [(lang, k, *map(int, c)) for lang, counts in out.items() for k, c in enumerate(counts.T)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 4, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["lang", "k", "zero", "one"])
+
+    return run
 
 
 def fold() -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
 
 
+def labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id may be in ``known``: all that are, and few others up to some
+    tens of millions of ids, so that few texts travel to their labels."""
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    word, bit = (h / 64).cast("long").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {BITS}) % 64 as int))")
+    words = known.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))  # BITS / 64 rows at most
+    return docs.withColumn("word", word).join(F.broadcast(words), "word").filter(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")
+
+
+def prepared(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every labelled row outside the held-out fold: shard, lang, toxic, check, ids. A shard is in one partition."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").filter(fold() != HELD_OUT)
+    known = labels.filter("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic")).filter(fold() != HELD_OUT)
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n = max(1, -(-known.count() // SHARD))
+    rows = labelled(docs, known).select("doc_id", F.struct("text", "lang").alias("row"), F.lit(None).cast("int").alias("toxic"))
+    both = rows.unionByName(known.select("doc_id", F.lit(None).cast(rows.schema["row"].dataType).alias("row"), "toxic"))
+    h = F.xxhash64("doc_id")
+    # one row for each doc_id, the least of repeated ones
+    both = both.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(n)).cast("int")).repartitionById(n, "shard")
+    met = both.groupBy("shard", h.alias("h"), "doc_id").agg(F.max("toxic").alias("toxic"), F.min("row").alias("row")).filter("toxic is not null and row is not null")
+    if SAMPLE_BYTES is not None:
+        met = met.filter(F.coalesce(F.octet_length("row.text"), F.lit(0)) <= SAMPLE_BYTES)
+    rows = met.sortWithinPartitions("shard", "h", "doc_id").select("shard", "row.lang", "toxic", "row.text")
+    return rows.mapInArrow(_prepared, "shard int, lang string, toxic int, check boolean, ids binary")
+
+
 def trained(docs: DataFrame, labels: DataFrame) -> tuple[Model, dict[str, float]]:
     """The model and the thresholds by language that the labelled rows of ``docs`` give."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = known.filter(fold() != HELD_OUT).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    # one row for each chosen doc_id, the least of repeated ones
-    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "toxic")).alias("row"))
-    upto = W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    sized = rows.select("doc_id", F.coalesce(F.octet_length("row.text"), F.lit(0)).alias("bytes")).filter(F.col("bytes") <= SAMPLE_BYTES)
-    fit = sized.withColumn("upto", F.sum("bytes").over(upto)).filter(F.col("upto") <= SAMPLE_BYTES).select("doc_id")  # SAMPLE narrow rows
-    rows = rows.join(F.broadcast(fit), "doc_id").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("row.*")
-    made = rows.mapInArrow(_train, "model binary").collect()  # a row at most
-    return pickle.loads(made[0]["model"]) if made else (Model(), {})
+    context, model = docs.sparkSession.sparkContext, Model()
+    rows = prepared(docs, labels).persist(StorageLevel.DISK_ONLY)
+    try:
+        counts = rows.filter("not check").mapInArrow(_count, "at long, zero long, one long").groupBy("at").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one")).toArrow()
+        if not counts.num_rows:
+            return model, {}
+        odds = np.zeros((2, BUCKETS + 1), np.int64)
+        odds[:, counts.column("at").to_numpy()] = counts.column("zero").to_numpy(), counts.column("one").to_numpy()
+        model.start(*odds[:, :BUCKETS], *map(int, odds[:, BUCKETS]))
+        schema = ", ".join(f"{c} long" for c in _CHANGES)
+        for _ in range(EPOCHS):
+            shared = context.broadcast(model)
+            changes = rows.filter("not check").mapInArrow(_round(shared), schema).groupBy("at").agg(*[F.sum(c).alias(c) for c in _CHANGES[1:]]).toArrow()  # a row for each bucket at most
+            model = averaged(model, changes)
+            shared.destroy()
+        shared = context.broadcast(model)
+        hits = rows.filter("check").mapInArrow(_hits(shared), "lang string, k int, zero long, one long").groupBy("lang", "k").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one")).collect()
+        shared.destroy()
+    finally:
+        rows.unpersist()
+    of: dict[str, list] = {}
+    for r in sorted(hits, key=lambda r: (r["lang"], r["k"])):
+        of.setdefault(r["lang"], []).append((r["zero"], r["one"]))
+    thresholds = {}
+    for lang, ((zeros, ones), *cut) in of.items():
+        if ones >= 10 and zeros >= 10:
+            f1 = [2 * tp / max(1, ones + fp + tp) for fp, tp in cut]
+            thresholds[lang] = float(min((c for c, f in zip(CUTS, f1) if f == max(f1)), key=lambda c: abs(c - 0.5)))
+    return model, thresholds
 
 
 def _judged(shared, thresholds: dict[str, float], batch) -> tuple[np.ndarray, np.ndarray]:

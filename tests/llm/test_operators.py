@@ -642,6 +642,45 @@ def test_toxicity(spark, docs, none):
     assert all(r["score"] == 0 for r in toxicity.score(docs, y.limit(0)).collect()) and toxicity.score(none, y).count() == 0
 
 
+def test_toxicity_trains_on_every_labelled_row(spark):
+    """What only rows behind the first 8000 tell is learnt, however rows are dealt to tasks."""
+    from pyspark.sql import functions as F
+
+    ids = spark.range(12_000).withColumnRenamed("id", "doc_id").select("doc_id", F.xxhash64("doc_id").alias("h"), (toxicity.fold() == 0).alias("held"))
+    rng = random.Random(2)
+    held, known = [], []
+    for r in sorted(ids.collect(), key=lambda r: (r["h"], r["doc_id"])):
+        (held if r["held"] else known).append(r["doc_id"])
+    toxic = {*known[8000::2], *held[::4]}
+    d = spark.createDataFrame([(i, text(rng, 6) + " vile" * (i in toxic), "en") for i in held + known], "doc_id long, text string, lang string")
+    y = spark.createDataFrame([(i, int(i in toxic)) for i in held + known], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(d, y).collect()}
+    assert len(known) > 9000 and sum(got[i] == (i in toxic) for i in held) >= 0.99 * len(held)
+    models = [toxicity.trained(d.repartition(n), y.repartition(n))[0] for n in (1, 7)]
+    assert all((a == b).all() for a, b in zip([models[0].emb, *models[0].dense()], [models[1].emb, *models[1].dense()]))
+
+
+def test_toxicity_of_a_text_in_pieces(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(4)
+    texts = [text(rng, n) for n in (0, 1, 2, 3, 40, 0, 7)]
+    ids, first = toxicity.features(pa.array(texts))
+    model = toxicity.Model()
+    whole = model.peaks(ids, first)
+    best, y, _ = model.pooled(ids, first)
+    for d, (a, b) in enumerate(zip(first, first[1:])):
+        for k in range(best.shape[1]):
+            if np.isfinite(best[d, k]):
+                assert whole[1][d, k] == a + int(np.argmax(y[a:b, k])) and whole[0][d, k] == best[d, k]
+    for piece in (1, 2, 5, 30):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        parts = model.peaks(ids, first)
+        assert np.allclose(parts[0], whole[0], atol=1e-5)
+        for d, k in zip(*np.nonzero(np.isfinite(best))):
+            assert abs(y[parts[1][d, k], k] - best[d, k]) < 1e-5
+
+
 def test_a_cluster_must_name_its_shared_folder():
     from shelfmark.llm import scratch
 
